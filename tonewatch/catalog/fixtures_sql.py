@@ -21,7 +21,8 @@ def replace_all(text: str, pattern: str, by: str = "") -> str:
     return f"regexp_replace({text}, {quoted(pattern)}, {quoted(by)}, 'g')"
 
 
-STOP_LIST = "(" + ", ".join(quoted(w) for w in ENGLISH_STOP_WORDS) + ")"
+_STOPS = ", ".join(quoted(w) for w in ENGLISH_STOP_WORDS)
+STOP_LIST, STOP_ARRAY = f"({_STOPS})", f"[{_STOPS}]"
 
 
 def strip_emoji(text: str) -> str:

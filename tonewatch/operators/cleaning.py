@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ENGLISH_STOP_WORDS
 from ..functions import labels, text
+from .pinning import pinned
 
 
 def rename_columns(df: DataFrame) -> DataFrame:
@@ -61,7 +62,8 @@ def clean_text_column(
     """Emoji, links, mentions, unknown token, case, non-letters, whitespace, stop words: in that order.
 
     Each guarded step names its input several times.  Steps of their own keep
-    that input a plain column, so no pattern runs twice for a row.
+    that input a plain column, so no pattern runs twice for a row.  The result is
+    pinned, so that a filter on it does not run all patterns a second time.
     """
     steps = (
         text.strip_emoji,
@@ -74,7 +76,7 @@ def clean_text_column(
     for step in steps:
         df = df.withColumn(output_col, step(source))
         source = F.col(output_col)
-    return df
+    return pinned(df, output_col)
 
 
 def preprocess(raw: DataFrame) -> DataFrame:
