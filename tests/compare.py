@@ -103,7 +103,8 @@ def main() -> int:
             else:
                 result = differences(df, con, sql)
         except Exception as error:  # noqa: BLE001
-            result = f"{type(error).__name__}: {str(error)[:1500]}"
+            causes = [line for line in str(error).splitlines() if line.startswith("Caused by")]
+            result = f"{type(error).__name__}: {str(error)[:300]} {causes}".replace("\n", " ")
         bad += result is not None and not result.startswith("rows only")
         print(f"{name:28s} {time.time() - start:6.1f}s  {result or 'ok'}", flush=True)
     print(f"{len(names)} queries, {bad} bad")
