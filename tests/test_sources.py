@@ -25,7 +25,7 @@ def test_csv_written_by_pandas_is_read_right(spark, tmp_path):
     assert [r["Text"] for r in csv_tables.read_csv(spark, str(tmp_path / "t.csv")).collect()] == list(frame["Text"])
 
 
-def test_dataset_write_counts_rows_on_the_way(spark):
+def test_dataset_write_returns_its_row_count(spark):
     path = scratch_path(spark, "dataset")
     assert writers.write_dataset(spark.range(123), path) == 123
     assert spark.read.parquet(path).count() == 123

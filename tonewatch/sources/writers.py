@@ -7,15 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def write_dataset(df: DataFrame, path: str) -> int:
-    """Write the dataset and return its row count, observed on the way and not by a second pass."""
-    written = Observation()
-    df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-    return written.get["rows"]
+    """Write the dataset and return its row count.
+
+    The count comes from the written files' footers, so nothing is computed
+    twice.  An observation would save that look too, but on this Spark version it
+    stays with the session and makes later model closures unserializable.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).count()
 
 
 def write_splits(df: DataFrame, path: str, split_col: str = "split") -> None:
