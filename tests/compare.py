@@ -82,6 +82,7 @@ def main() -> int:
     from pyspark.sql import SparkSession
 
     import __spark_entry__ as entry
+    from tonewatch.session import drop_scratch
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(entry.queries())
@@ -108,6 +109,7 @@ def main() -> int:
         bad += result is not None and not result.startswith("rows only")
         print(f"{name:28s} {time.time() - start:6.1f}s  {result or 'ok'}", flush=True)
     print(f"{len(names)} queries, {bad} bad")
+    drop_scratch(spark)
     return bad
 
 

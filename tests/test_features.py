@@ -1,9 +1,10 @@
 import pytest
-from pyspark.ml.feature import IDF, CountVectorizer
+from pyspark.ml.feature import IDF, CountVectorizer, StopWordsRemover, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tonewatch.catalog import fixtures as fx
+from tonewatch.constants import ENGLISH_STOP_WORDS
 from tonewatch.operators import annotate, features
 
 
@@ -12,6 +13,17 @@ def docs(spark, sf_dir):
     return fx.document_tokens(spark, sf_dir).select("doc_id", "filtered_words").cache()
 
 
+def test_words_equal_the_ml_stages(spark):
+    texts = ["The cat  sat\ton", " lead", "trail \n ", "", "   ", "İK Don't THE", "a\x0bb\xa0c", "one"]
+    rows = spark.createDataFrame([(t,) for t in texts], "Text string")
+    stops = list(ENGLISH_STOP_WORDS)
+    expected = StopWordsRemover(inputCol="words", outputCol="kept", stopWords=stops).transform(
+        Tokenizer(inputCol="Text", outputCol="words").transform(rows)
+    )
+    ours = features.stopwords_remover(features.tokenize(rows), output_col="kept")
+    assert ours.select("words", "kept").collect() == expected.select("words", "kept").collect()
+
+
 def test_vocabulary_and_counts_equal_the_ml_vectorizer(docs):
     vocab = features.count_vectorizer_vocab(docs, size=50).cache()
     fitted = CountVectorizer(inputCol="filtered_words", outputCol="f", vocabSize=50).fit(docs)

@@ -340,7 +340,7 @@ def normalize_alpha(spark, d):
 @query("remove_stopwords", f"""
 SELECT doc_id, {sql.drop_stop_words('_t')} AS text FROM (SELECT doc_id, {sql.normalize_alpha('text')} AS _t FROM documents)""")
 def remove_stopwords(spark, d):
-    rows = fx.table(spark, d, "documents").select("doc_id", text.normalize_alpha(F.col("text")).alias("text"))
+    rows = fx.texts(spark, d).select("doc_id", text.normalize_alpha(F.col("text")).alias("text"))
     return rows.withColumn("text", text.drop_stop_words(F.col("text")))
 
 
@@ -359,5 +359,5 @@ def clean_text_light(spark, d):
 
 @query("preprocess", WITH + sql.PREPROCESSED + " SELECT doc_id, label, text FROM preprocessed")
 def preprocess(spark, d):
-    raw = fx.labeled_text_dirty(spark, d).select("doc_id", *RAW)
+    raw = fx.labeled_text_dirty(spark, d, fx.texts(spark, d)).select("doc_id", *RAW)
     return cleaning.preprocess(raw).select("doc_id", F.col("Label").alias("label"), F.col("Text").alias("text"))

@@ -15,6 +15,7 @@ from ..operators.cleaning import clean_text_column, filter_nonempty_length
 from ..operators.features import feature_tokens
 from ..operators.quality import evaluate
 from ..operators.splits import fold_of
+from ..sources.tables import read_table
 
 # (trial, seed, hit rate): two equal trials, and one that never hits.
 CV_TRIALS = ((1, 11, 0.5), (2, 12, 0.65), (3, 12, 0.65), (4, 13, 0.0))
@@ -33,12 +34,18 @@ NOISE = (
 SUFFIXES = ("ing", "ed", "es", "s")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+    return read_table(spark, f"{sf_dir}/{name}.parquet", spread_by)
 
 
-def labeled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, for work on their texts."""
+    return table(spark, sf_dir, "documents", spread_by="doc_id")
+
+
+def labeled_text(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    documents = table(spark, sf_dir, "documents") if documents is None else documents
+    marks = table(spark, sf_dir, "labels")
     name = (
         F.when(F.col("toxic") == 1, "Negative").when(F.col("quality") == 1, "Positive").otherwise("Neutral")
     )
@@ -47,9 +54,9 @@ def labeled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def labeled_text_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labeled_text_dirty(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     u_label, u_text = unit_hash(1, F.col("doc_id")), unit_hash(2, F.col("doc_id"))
-    return labeled_text(spark, sf_dir).withColumns({
+    return labeled_text(spark, sf_dir, documents).withColumns({
         "Label": F.when(u_label < 0.05, "Irrelevant").when(u_label < 0.08, "Other")
         .when(u_label < 0.10, "").otherwise(F.col("Label")),
         "Text": F.when(u_text < 0.03, F.lit(None).cast("string")).when(u_text < 0.05, "   ")
@@ -63,12 +70,12 @@ def noisy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ending = F.lit("")
     for i, noise in enumerate(NOISE):
         ending = F.when(pick == i, F.lit(noise)).otherwise(ending)
-    documents = table(spark, sf_dir, "documents")
+    documents = texts(spark, sf_dir)
     return documents.select("doc_id", F.concat("text", F.lit(" "), ending).alias("Text"))
 
 
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("Text"))
+    documents = texts(spark, sf_dir).select("doc_id", F.col("text").alias("Text"))
     return filter_nonempty_length(clean_text_column(documents))
 
 
@@ -77,7 +84,7 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labeled_text(spark, sf_dir).select("doc_id", "lang", "Label", "Text")
+    rows = labeled_text(spark, sf_dir, texts(spark, sf_dir)).select("doc_id", "lang", "Label", "Text")
     rows = rows.withColumn("Label", encode_label(F.col("Label")))
     return filter_nonempty_length(clean_text_column(rows))
 

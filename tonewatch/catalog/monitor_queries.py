@@ -80,7 +80,7 @@ def roc_auc(spark, d):
 
 @query("text_content_drift")
 def text_content_drift(spark, d):
-    documents = fx.table(spark, d, "documents")
+    documents = fx.texts(spark, d)
     even = drift.text_content_drift(*fx.even_batches(documents))
     shifted = drift.text_content_drift(documents.filter("lang = 'en'"), documents.filter("lang <> 'en'"))
     return even.withColumn("batches", F.lit("even")).unionByName(shifted.withColumn("batches", F.lit("shifted")))

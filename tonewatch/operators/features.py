@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import CountVectorizerModel, HashingTF, StopWordsRemover, Tokenizer
+from pyspark.ml.feature import CountVectorizerModel, HashingTF
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +13,17 @@ from .lookup import lookup_join
 
 
 def tokenize(df: DataFrame, input_col: str = "Text", output_col: str = "words") -> DataFrame:
-    """Lower-case and split on single whitespace characters."""
-    return Tokenizer(inputCol=input_col, outputCol=output_col).transform(df)
+    """Lower-case and split on single whitespace characters, as the ML tokenizer does.
+
+    Like there, no empty words end the list, and blank text has no words at all.
+    Built-in functions keep the words in Spark's own format; the ML stage would
+    turn every word into a Java string and back.
+    """
+    lowered = F.lower(F.col(input_col))
+    body = F.regexp_replace(lowered, r"\s+$", "")
+    blank = (body == "") & (F.col(input_col) != "")
+    words = F.when(blank, F.array().cast("array<string>")).otherwise(F.split(body, r"\s", -1))
+    return df.withColumn(output_col, words)
 
 
 def stopwords_remover(
@@ -23,8 +32,9 @@ def stopwords_remover(
     output_col: str = "filtered_words",
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
 ) -> DataFrame:
-    remover = StopWordsRemover(inputCol=input_col, outputCol=output_col, stopWords=list(stop_words))
-    return remover.transform(df)
+    """Drop stop words from word lists, whatever their case."""
+    stops = sorted({word.lower() for word in stop_words})
+    return df.withColumn(output_col, F.filter(input_col, lambda word: ~F.lower(word).isin(stops)))
 
 
 def feature_tokens(df: DataFrame, text_col: str = "Text") -> DataFrame:

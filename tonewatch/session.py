@@ -42,9 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tonewatch/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing has written to yet."""
-    return f"{shared_dir(spark)}/tonewatch/{name}-{uuid.uuid4().hex}"
+    """A path under this application's part of the shared folder that nothing has written to yet."""
+    return f"{_application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once no result needs them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

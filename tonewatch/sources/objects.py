@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import NO_VERSION, OBJECT_STORE_SCHEMES
+from ..operators.lookup import lookup_join
+from ..session import materialize
 
 
 def object_latest_version(versions: DataFrame, requests: DataFrame, path_col: str = "path") -> DataFrame:
@@ -17,16 +19,15 @@ def object_latest_version(versions: DataFrame, requests: DataFrame, path_col: st
     """
     pattern = rf"^({'|'.join(OBJECT_STORE_SCHEMES)})://([^/?#]+)/+([^?#]+)"
     path = F.col(path_col)
-    wanted = requests.withColumns({
-        "bucket": F.nullif(F.regexp_extract(path, pattern, 2), F.lit("")),
-        "key": F.nullif(F.regexp_extract(path, pattern, 3), F.lit("")),
-    })
-    latest = versions.filter("is_latest").groupBy("bucket", "key").agg(
+    bucket, key = F.regexp_extract(path, pattern, 2), F.regexp_extract(path, pattern, 3)
+    wanted = requests.withColumn("_object", F.when(key != "", F.concat(bucket, F.lit("/"), key)))
+    latest = versions.filter("is_latest").groupBy(F.concat("bucket", F.lit("/"), "key").alias("_object")).agg(
         F.min_by("version_id", F.struct("is_delete_marker", "version_id")).alias("version_id")
     )
-    found = wanted.join(latest, ["bucket", "key"], "left")
-    version = F.when(F.col("key").isNotNull(), F.coalesce("version_id", F.lit(NO_VERSION)))
-    return found.withColumn("version_id", version).drop("bucket", "key")
+    # Many requests may name one object, or none at all: the lookup spreads such rows.
+    found = lookup_join(wanted, materialize(latest, "latest_objects"), "_object")
+    version = F.when(F.col("_object").isNotNull(), F.coalesce("version_id", F.lit(NO_VERSION)))
+    return found.withColumn("version_id", version).drop("_object")
 
 
 def dataset_manifest(rows: DataFrame, versions: DataFrame, path_col: str = "path", split_col: str = "split") -> DataFrame:
