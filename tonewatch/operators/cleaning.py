@@ -30,7 +30,8 @@ def drop_header_row(df: DataFrame) -> DataFrame:
 
 
 def drop_null_text(df: DataFrame, text_col: str = "Text") -> DataFrame:
-    return df.dropna(subset=[text_col])
+    """A plain null test, which reaches the Parquet scan; ``dropna`` does not."""
+    return df.filter(F.col(text_col).isNotNull())
 
 
 def filter_not_blank(df: DataFrame, columns: Sequence[str] = ("Text", "Label")) -> DataFrame:
@@ -83,10 +84,11 @@ def preprocess(raw: DataFrame) -> DataFrame:
     """Raw ``(Product, Label, Text)`` rows to clean ``(Label int, Text)``; other columns ride along.
 
     The label test comes before the patterns: it is cheap and its result does
-    not depend on the text, so rows of unknown classes cost no cleaning.
+    not depend on the text, so rows of unknown classes cost no cleaning.  It names
+    the known classes, which the scan can use to skip row groups.
     """
     rows = drop_null_text(rename_columns(raw))
     rows = filter_not_blank(rows).drop("Product")
+    rows = rows.filter(F.col("Label").isin(list(labels.LABEL_CODES)))
     rows = rows.withColumn("Label", labels.encode_label(F.col("Label")))
-    rows = filter_known_label(rows)
     return filter_nonempty_length(clean_text_column(rows))

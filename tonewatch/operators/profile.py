@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,14 +74,14 @@ def dataset_summary(
         )).alias("std")
     )
     summary = base.join(spread, "column", "left")
-    if numeric:
-        quantiles = [
-            exact_quantiles(
-                counts.filter(F.col("column") == name), F.col("number"), (0.25, 0.5, 0.75), weight="n"
-            ).withColumn("column", F.lit(name))
-            for name in numeric
-        ]
-        summary = summary.join(reduce(DataFrame.unionByName, quantiles), "column", "left")
+    quantiles = {q: F.lit(None).cast("double") for q in ("q25", "q50", "q75")}
+    for name in numeric:
+        own = counts.filter(F.col("column") == name)
+        row = exact_quantiles(own, F.col("number"), (0.25, 0.5, 0.75), weight="n")
+        found = row.select(F.struct(*quantiles)).scalar()
+        quantiles = {
+            q: F.when(F.col("column") == name, found[q]).otherwise(value) for q, value in quantiles.items()
+        }
     most_common = F.col("top.key")
     for name in text:
         digest = summary.filter(F.col("column") == name).select("top.key").scalar()
@@ -93,7 +92,7 @@ def dataset_summary(
         most_common.alias("most_common"),
         F.col("top.n").alias("most_common_count"),
         "min", "max", "mean", "std",
-        *(["q25", "q50", "q75"] if numeric else []),
+        *[value.alias(q) for q, value in quantiles.items()],
     )
 
 
