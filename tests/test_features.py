@@ -36,6 +36,14 @@ def test_vocabulary_and_counts_equal_the_ml_vectorizer(docs):
         assert r["n"] == total[r["doc_id"]]
 
 
+@pytest.mark.parametrize("size", [1, 40, 5000])
+def test_vocabulary_found_by_its_last_count_is_the_same(docs, size):
+    counts = docs.select(F.explode("filtered_words").alias("term")).groupBy("term").count().cache()
+    direct = features.top_terms(counts, size).collect()
+    assert direct == features.top_terms(counts, size, max_candidates=0).collect()
+    assert len(direct) == min(size, counts.count())
+
+
 def test_idf_equals_the_ml_estimator(docs):
     weights = {r["term"]: r["idf"] for r in features.idf_weights(docs).collect()}
     counted = CountVectorizer(inputCol="filtered_words", outputCol="tf").fit(docs)

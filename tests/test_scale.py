@@ -131,3 +131,16 @@ def test_psi_with_a_tiny_share_and_bins_empty_on_both_sides(spark):
     cur = [float(i % 25) for i in range(5000)]
     a, b = (spark.createDataFrame([(v,) for v in side], "x double") for side in (ref, cur))
     assert drift.psi_numeric(a, b, "x").first()["value"] == pytest.approx(brute_psi(ref, cur, True), abs=1e-9)
+
+
+def test_psi_leaves_out_missing_and_infinite_values(spark):
+    ref, cur = [i / 3 for i in range(200)], [i / 2 for i in range(150)]
+    bad = [None, float("nan"), float("inf"), float("-inf")]
+    a, b = (spark.createDataFrame([(v,) for v in side + bad], "x double") for side in (ref, cur))
+    assert drift.psi_numeric(a, b, "x").first()["value"] == pytest.approx(brute_psi(ref, cur, True), abs=1e-9)
+
+
+def test_psi_against_an_empty_batch_does_not_fail(spark):
+    df = spark.createDataFrame([(i / 7, str(i % 3)) for i in range(100)], "x double, c string")
+    assert drift.psi_table(df, df.limit(0), ["c"], ["x"]).count() == 2
+    assert drift.psi_table(df.limit(0), df, ["c"], ["x"]).count() == 2

@@ -34,6 +34,12 @@ def _both_sides(reference: DataFrame, current: DataFrame, columns: Sequence[str]
     )
 
 
+def _finite(name: str) -> Column:
+    """The column as a number; NaN and infinities count as missing."""
+    value = F.col(name).cast("double")
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def _numeric_stats(sides: DataFrame, columns: Sequence[str]) -> dict:
     """Range, size and a lower bound of the reference's distinct values: one row for all columns.
 
@@ -43,7 +49,7 @@ def _numeric_stats(sides: DataFrame, columns: Sequence[str]) -> dict:
     """
     aggregates = []
     for name in columns:
-        value = F.col(name).cast("double")
+        value = _finite(name)
         slot = F.when(F.col("_ref"), F.pmod(F.xxhash64(value), F.lit(_HASH_BITS)))
         aggregates += [
             F.min(value).alias(f"lo_{name}"),
@@ -56,7 +62,7 @@ def _numeric_stats(sides: DataFrame, columns: Sequence[str]) -> dict:
 
 def _numeric_key(sides: DataFrame, name: str, stats: dict) -> tuple[Column, int | None]:
     """Bin number as the key, or the value itself where the reference has few values."""
-    value = F.col(name).cast("double")
+    value = _finite(name)
     few = stats[f"slots_{name}"] <= MAX_DISCRETE_VALUES
     if few:
         values = sides.filter(F.col("_ref") & value.isNotNull()).select(value.alias("v")).distinct()
@@ -67,7 +73,8 @@ def _numeric_key(sides: DataFrame, name: str, stats: dict) -> tuple[Column, int
     bins = math.ceil(math.log2(stats[f"n_{name}"]) + 1)
     width = (high - low) / bins
     number = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
-    return number.cast("string"), bins
+    # ``least`` skips nulls, so a missing value must be kept out of the last bin.
+    return F.when(value.isNotNull(), number).cast("string"), bins
 
 
 def _zero_fill(smallest: Column) -> Column:

@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ENGLISH_STOP_WORDS, HASHING_FEATURES
+from ..session import materialize
 from .lookup import lookup_join
+from .running import running_totals
+
+MAX_CANDIDATES = 50_000_000
 
 
 def tokenize(df: DataFrame, input_col: str = "Text", output_col: str = "words") -> DataFrame:
@@ -48,7 +52,24 @@ def count_vectorizer_vocab(docs: DataFrame, words_col: str = "filtered_words", s
     texts arrives as one row per partition.
     """
     terms = docs.select(F.explode(words_col).alias("term")).groupBy("term")
-    counts = terms.agg(F.count(F.lit(1)).alias("count"))
+    return top_terms(terms.agg(F.count(F.lit(1)).alias("count")), size)
+
+
+def top_terms(counts: DataFrame, size: int, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
+    """The ``size`` largest of ``(term, count)`` rows.
+
+    Every partition sends its own ``size`` best rows to the task that picks among
+    them.  Where that would be too many, the count of the last term in the
+    vocabulary is found first, from how many terms share each count, and only
+    terms that reach it are sent.
+    """
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if size * partitions > max_candidates:
+        counts = materialize(counts, "term_counts")
+        shared = counts.groupBy((-F.col("count")).cast("double").alias("order")).agg(F.count(F.lit(1)).alias("n"))
+        ahead = running_totals(materialize(shared, "terms_per_count"), "order", ["n"])
+        last = ahead.filter(F.col("before_n") < size).agg(F.max("order")).scalar()
+        counts = counts.filter(-F.col("count") <= last)
     return counts.orderBy(F.desc("count"), F.asc("term")).limit(size)
 
 
@@ -80,14 +101,18 @@ def idf_weights(docs: DataFrame, words_col: str = "filtered_words") -> DataFrame
     """Documents per term and ``ln((m + 1) / (df + 1))``.
 
     Words are made distinct within their row, so no distinct count is needed.
+    Each document adds one null term, whose count is ``m``, and the counts are
+    written: the texts are read once for both.
     """
-    documents = docs.agg(F.count(F.lit(1)).alias("m")).scalar()
-    per_term = docs.select(F.explode(F.array_distinct(words_col)).alias("term")).groupBy("term")
-    counted = per_term.agg(F.count(F.lit(1)).alias("df"))
-    return counted.withColumn("idf", F.ln((documents + 1) / (F.col("df") + 1)))
+    marked = F.array_append(F.array_distinct(words_col), F.lit(None).cast("string"))
+    per_term = docs.select(F.explode(marked).alias("term")).groupBy("term")
+    counted = materialize(per_term.agg(F.count(F.lit(1)).alias("df")), "document_frequencies")
+    documents = counted.filter(F.col("term").isNull()).select("df").scalar()
+    terms = counted.filter(F.col("term").isNotNull())
+    return terms.withColumn("idf", F.ln((documents + 1) / (F.col("df") + 1)))
 
 
 def tfidf_weights(term_counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """Weight of each term in each document; ``idf`` should be a written table."""
+    """Weight of each term in each document."""
     weighted = lookup_join(term_counts, idf.select("term", "idf"), "term", "inner")
     return weighted.withColumn("tfidf", F.col("tf") * F.col("idf"))
