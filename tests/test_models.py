@@ -60,3 +60,23 @@ def test_expressions_run_on_a_stream(spark, tmp_path):
     ).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert [tuple(r) for r in spark.sql("select Text, confidence from cleaned").collect()] == [("hello world", 0.5)]
+
+
+def test_hashed_counts_lose_no_word(spark, sf_dir):
+    rows = driver.queries()["hashing_tf"](spark, sf_dir).collect()
+    assert rows and all(r["total"] == r["words"] >= r["slots_used"] for r in rows)
+
+
+def test_grid_search_scores_every_point(spark, sf_dir):
+    rows = driver.queries()["grid_search_cv"](spark, sf_dir).collect()
+    assert len(rows) == 2 and all(0 < r["f1"] <= 1 for r in rows)
+
+
+def test_network_on_pooled_vectors_learns(spark, sf_dir):
+    assert driver.queries()["train_nn_classifier"](spark, sf_dir).first()["accuracy"] > 1 / 3
+
+
+def test_data_drift_report_fails_where_batches_differ(spark, sf_dir):
+    status = {r["test"]: r["status"] for r in driver.queries()["data_drift_report"](spark, sf_dir).collect()}
+    assert status["drift:lang"] == status["drift:text"] == status["dataset_drift"] == "FAIL"
+    assert set(status) == {"drift:lang", "drift:text", "drift:prediction", "drift:confidence", "dataset_drift"}
