@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import mixing, packing, quality_rules, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,22 @@ def token_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     read = token_files.read_token_files(manifest)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op3_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query("op6_quality_rules", quality_rules.quality_sql())
+def rules_on_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every document."""
+    return quality_rules.quality(documents(spark, sf_dir))
+
+
+@query("op9_poisson_mixing", mixing.mixing_sql("doc_id, text, lang, source, n_chars"))
+def poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, repeated so that every source has the same share of the characters."""
+    return mixing.mix(documents(spark, sf_dir))
