@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, simhash, token_files
+from . import fingerprints, mixing, packing, quality_rules, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,9 @@ def rules_on_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, repeated so that every source has the same share of the characters."""
     return mixing.mix(documents(spark, sf_dir))
+
+
+@query("op8_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprint_changes(documents(spark, sf_dir))
