@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 #: Longer parts are encoded each time they occur.
 LONGEST_REMEMBERED = 48
 BYTES_PER_ID = 4
@@ -123,3 +123,8 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def id_kind(path: str) -> str:
+    """The least unsigned type that holds every id of the tokenizer: 16 bits or 32."""
+    return "<u2" if encoder(path).vocabulary <= 1 << 16 else "<u4"

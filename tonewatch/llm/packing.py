@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import Batches, arrow_map, require
-from .encoding import BYTES_PER_ID, encoder
+from .encoding import encoder, id_kind
 
 CAPACITY = 1024
 #: Buckets dealt to pieces as they are cut; the plan uses as many of them as it needs.
@@ -33,6 +33,7 @@ BUCKETS = 1 << 20
 PIECES_PER_BUCKET = 4000
 _BATCH_BYTES = 1 << 23
 
+PACKED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 PIECES = "doc_id long, piece int, start long, length int, ids binary, bucket int"
 
 
@@ -94,10 +95,10 @@ def plan(counts: Mapping[int, int], capacity: int = CAPACITY) -> dict[int, list[
 
 
 def _cut(tokenizer: str, capacity: int, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Batches) -> Batches:
-        encode = encoder(tokenizer).encode
+        encode, kind = encoder(tokenizer).encode, id_kind(tokenizer)
+        end = np.array([end_id], dtype=kind).tobytes()
+        width = len(end)
         dealt = TaskContext.get().partitionId() * 7919
         rows: list[tuple] = []
         size = 0
@@ -110,12 +111,12 @@ def _cut(tokenizer: str, capacity: int, end_id: int):
 
         for part in batches:
             for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"], strict=True):
-                ids = encode([text.as_py()])[0] + end
-                n = len(ids) // BYTES_PER_ID
+                ids = np.frombuffer(encode([text.as_py()])[0], dtype="<u4").astype(kind).tobytes() + end
+                n = len(ids) // width
                 start, number = 0, 0
                 length = n if n <= capacity else n % capacity or capacity
                 while start < n:
-                    own = ids[start * BYTES_PER_ID : (start + length) * BYTES_PER_ID]
+                    own = ids[start * width : (start + length) * width]
                     rows.append((doc_id, number, start, length, own, dealt % BUCKETS))
                     dealt, size = dealt + 1, size + len(own)
                     start, number, length = start + length, number + 1, capacity
@@ -134,13 +135,24 @@ def pieces_of(
 ) -> DataFrame:
     """Encode each text, append ``end_id``, cut what is longer than ``capacity``: columns ``PIECES``.
 
-    All pieces of a cut document but its first are ``capacity`` long.
+    All pieces of a cut document but its first are ``capacity`` long.  ``ids``
+    has the width that the vocabulary needs (``id_kind``).
     """
     require(docs, [id_col, text_col])
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return arrow_map(texts, _cut(tokenizer, capacity, end_id), PIECES)
 
 
+def _widen(kind: str):
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            at = batch.schema.get_field_index("ids")
+            wide = [np.frombuffer(x.as_buffer(), dtype=kind).astype("<u4").tobytes() for x in batch["ids"]]
+            yield batch.set_column(at, "ids", pa.array(wide, pa.binary()))
+
+    return run
+
+
 def pack(
     docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 2, id_col: str = "doc_id",
     text_col: str = "text",
@@ -173,8 +185,9 @@ def pack(
     run = F.element_at(F.filter("runs", lambda r: r["first_rank"] <= F.col("rank")), -1)
     placed = placed.withColumn("run", run).withColumn("nth", F.col("rank") - F.col("run.first_rank"))
     in_sequence = F.col("nth") % F.col("run.per_sequence")
-    return placed.select(
+    settled = placed.select(
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids",
         (F.col("run.sequence") + F.floor(F.col("nth") / F.col("run.per_sequence"))).alias("sequence_id"),
         (F.col("run.offset") + in_sequence * F.col("length")).alias("offset"),
     )
+    return arrow_map(settled, _widen(id_kind(tokenizer)), PACKED)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
 from .common import Batches, arrow_map, open_store, require, write_file
-from .encoding import encoder
+from .encoding import encoder, id_kind
 
 BYTES_PER_PART = 32 << 20
 _BATCH_BYTES = 1 << 23
@@ -43,7 +43,7 @@ def _encode(tokenizer: str, end_id: int, cuts: list[int]):
     """Adds the part of each document; equal ids that fill several parts are dealt among them."""
     def run(batches: Batches) -> Batches:
         own = encoder(tokenizer)
-        kind = "<u2" if own.vocabulary <= 1 << 16 else "<u4"
+        kind = id_kind(tokenizer)
         at, dealt = np.array(cuts, dtype=np.int64), 0
         for batch in batches:
             rows, size = [], 0
@@ -129,7 +129,7 @@ def write_token_files(
     folder = folder or scratch_path(spark, "token_files")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cuts = _cuts(texts, bytes_per_part)
-    width = 2 if encoder(tokenizer).vocabulary <= 1 << 16 else 4
+    width = np.dtype(id_kind(tokenizer)).itemsize
     encoded = arrow_map(texts, _encode(tokenizer, end_id, cuts), "part int, doc_id long, n_tokens long, ids binary")
     dealt = encoded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
     return materialize(arrow_map(dealt, _write(folder, width), MANIFEST), "token_manifest")
