@@ -9,13 +9,14 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 Batches = Iterator[pa.RecordBatch]
 
 
-def arrow_map(df: DataFrame, function: Callable[[Batches], Batches], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, function: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` whose workers find this package where the driver has it installed."""
     environment = df.sparkSession.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]

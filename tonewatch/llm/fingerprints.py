@@ -13,61 +13,30 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import Batches, arrow_map, partitions_for, require
+from .words import windows, word_hashes
 
 PERMUTATIONS = 64
 SHINGLE_WORDS = 5
 #: Texts of this many bytes go to one partition.
 BYTES_PER_PARTITION = 32 << 20
-_REMEMBERED_WORDS = 500_000
 _SHINGLES_AT_ONCE = 1 << 16
 _DOCS_AT_ONCE = 256
 
 _rng = np.random.Generator(np.random.PCG64(20_11))
 _FACTORS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2)
-_ORDER = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64((1 << 64) - 1)
 
 
-class _Words(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _REMEMBERED_WORDS:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_words = _Words()
-
-
-def word_hashes(words: Sequence[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
-
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
     """A hash per shingle; fewer words than a shingle has are one shingle, no words none."""
-    if not len(words):
-        return words
-    size = min(size, len(words))
-    number = len(words) - size + 1
-    found = words[:number].copy()
-    for i in range(1, size):
-        found *= _ORDER
-        found += words[i : i + number]
-    found ^= found >> np.uint64(29)
-    found *= _ORDER
-    return found ^ (found >> np.uint64(32))
+    return windows(words, min(size, len(words))) if len(words) else words
 
 
 def signatures(sets: Sequence[np.ndarray]) -> np.ndarray:

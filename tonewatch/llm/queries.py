@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, quality_rules, simhash, token_files
+from . import fingerprints, mixing, packing, quality_classifier, quality_rules, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,10 @@ def poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MinHash fingerprints of every document and of its edited text."""
     return fingerprints.fingerprint_changes(documents(spark, sf_dir))
+
+
+@query("op5_importance_resampling")
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log weight and verdict of every document."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.resample(documents(spark, sf_dir), labels)
