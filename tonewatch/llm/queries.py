@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, quality_classifier, quality_rules, simhash, token_files
+from . import fingerprints, language_id, mixing, packing, quality_classifier, quality_rules, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,11 @@ def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log weight and verdict of every document."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_classifier.resample(documents(spark, sf_dir), labels)
+
+
+@query("op10_language_id")
+def language_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = documents(spark, sf_dir)
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.withColumn("held_out", language_id.held_out(F.col("doc_id")))
