@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, mixing, packing, quality_classifier, quality_rules, simhash, token_files
+from . import fingerprints, language_id, mixing, packing, quality_classifier, quality_rules, simhash, suffix_tree, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,9 @@ def language_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = language_id.identify(docs, language_id.fit(docs))
     return found.withColumn("held_out", language_id.held_out(F.col("doc_id")))
+
+
+@query("op7_suffix_tree_scores")
+def suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned from those that are not held out."""
+    return suffix_tree.score(documents(spark, sf_dir))
