@@ -18,8 +18,10 @@ from itertools import combinations, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import materialize
 from .common import Batches, arrow_map, require
@@ -222,6 +224,13 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = SHARD
     return arrow_map(dealt, _links(max_bits), "a long, b long")
 
 
+def component_roots(distinct: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``distinct(fingerprint, ...)`` with ``root``, the same for all fingerprints connected within ``max_bits``."""
+    roots = components(links(distinct.select("fingerprint"), max_bits, shard_rows))
+    rooted = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left")
+    return rooted.select(*distinct.columns, F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id",
     text_col: str = "text", shard_rows: int = SHARD_ROWS,
@@ -238,15 +247,47 @@ def near_duplicates(
     marked = materialize(fingerprints(docs, words_per_shingle, id_col, text_col), "fingerprints")
     least = F.min("doc_id").alias("least_id")
     distinct = materialize(marked.groupBy("fingerprint").agg(least), "distinct_fingerprints")
-    roots = components(links(distinct.select("fingerprint"), max_bits, shard_rows))
-    rooted = distinct.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")
-    )
+    rooted = component_roots(distinct, max_bits, shard_rows)
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     labels = materialize(rooted.join(named, "root").select("fingerprint", "component_id"), "component_labels")
     return marked.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+_ADDED = ("__row", "__fingerprint")
+
+
+def keep_one(
+    docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id",
+    text_col: str = "text", shard_rows: int = SHARD_ROWS,
+) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with all columns of ``docs``.
+
+    It is the row with the least ``doc_id``; among rows with the same id any one
+    of them, and a row without id only where no other has one.
+    """
+    require(docs, [id_col, text_col])
+    schema = StructType(list(docs.schema.fields)).add("__row", "long").add("__fingerprint", "long")
+
+    def run(batches: Batches) -> Batches:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            texts = batch[text_col].cast(pa.binary()).to_pylist()
+            found = np.array([fingerprint(x, words_per_shingle) for x in texts], dtype=np.uint64).view(np.int64)
+            added = [pa.array(np.arange(row, row + batch.num_rows)), pa.array(found)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *_ADDED])
+            row += batch.num_rows
+
+    marked = materialize(arrow_map(docs, run, schema), "marked_documents")
+    rows = marked.select(
+        F.col("__fingerprint").alias("fingerprint"), F.col("__row").alias("row"), F.col(id_col).alias("id")
+    )
+    distinct = materialize(rows.select("fingerprint").distinct(), "distinct_fingerprints")
+    rooted = materialize(component_roots(distinct, max_bits, shard_rows), "component_labels")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
+    first = rows.join(rooted, "fingerprint").groupBy("root").agg(F.min_by("row", order).alias("__row"))
+    return marked.join(first.select("__row"), "__row", "left_semi").select(*docs.columns)
+
+
 def hex_digits(fingerprint: Column) -> Column:
     """The 16 lowercase hexadecimal digits of a fingerprint."""
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
