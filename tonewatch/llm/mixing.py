@@ -15,6 +15,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.pinning import pinned
+from ..session import materialize
 from .common import require
 
 DRAW_RATE = 16.0
@@ -52,17 +54,16 @@ def rates(docs: DataFrame, targets: Mapping[str, float] | None, source_col: str,
     sources there are.  A source without characters keeps rate 1.
     """
     length = F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
-    sizes = docs.groupBy(F.col(source_col).cast("string").alias("_source")).agg(F.sum(length).alias("_size"))
+    sizes = docs.groupBy(F.col(source_col).cast("string").alias("__source")).agg(F.sum(length).alias("__size"))
     if targets is None:
-        weighted = sizes.withColumn("_weight", F.lit(1))
+        weighted = sizes.withColumn("__weight", F.lit(1))
     else:
-        weights = docs.sparkSession.createDataFrame(list(targets.items()), "_name string, _weight double")
-        weighted = sizes.join(weights, F.col("_source").eqNullSafe(F.col("_name")), "left").fillna(0.0, ["_weight"])
-    total = weighted.agg(F.sum("_size").alias("_total"), F.sum("_weight").alias("_weights"))
-    rate = F.col("_total") * F.col("_weight") / (F.col("_weights") * F.col("_size"))
-    return weighted.join(F.broadcast(total)).select(  # one row, and one row per source
-        "_source", F.when(F.col("_size") > 0, rate).otherwise(1.0).alias("_rate")
-    )
+        weights = docs.sparkSession.createDataFrame(list(targets.items()), "__name string, __weight double")
+        weighted = sizes.join(weights, F.col("__source").eqNullSafe(F.col("__name")), "left").fillna(0.0, ["__weight"])
+    weighted = materialize(weighted, "source_sizes")  # a row per source
+    total, weights = weighted.agg(F.coalesce(F.sum("__size"), F.lit(0)), F.sum("__weight")).first()
+    rate = F.lit(total) * F.col("__weight") / (F.lit(weights) * F.col("__size"))
+    return weighted.select("__source", F.when(F.col("__size") > 0, rate).otherwise(1.0).alias("__rate"))
 
 
 def mix(
@@ -82,26 +83,26 @@ def mix(
     require(docs, [id_col, source_col, text_col])
     kept = [c for c in docs.columns if c not in ADDED]
     tables = rates(docs, targets, source_col, text_col).withColumns({
-        "_draws": F.ceil(F.col("_rate") / DRAW_RATE),
+        "__draws": F.ceil(F.col("__rate") / DRAW_RATE),
     })
-    tables = tables.withColumn("_cdf", _cumulative(F.col("_rate") / F.greatest("_draws", F.lit(1))))
-    rated = docs.select(*kept).join(tables, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
+    tables = tables.withColumn("__cdf", _cumulative(F.col("__rate") / F.greatest("__draws", F.lit(1))))
+    rated = docs.select(*kept).join(tables, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     digest = F.md5(F.concat(F.lit(f"{seed}|"), name, F.lit("|"), text).cast("binary"))
-    drawn = rated.withColumn("_digest", digest)
+    drawn = rated.withColumn("__digest", digest)
     uniforms = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.col("_draws").cast("int"), F.lit(1))),
-        lambda j: _uniform(F.md5(F.concat(F.col("_digest"), F.lit("/"), j.cast("string")).cast("binary"))),
+        F.sequence(F.lit(1), F.greatest(F.col("__draws").cast("int"), F.lit(1))),
+        lambda j: _uniform(F.md5(F.concat(F.col("__digest"), F.lit("/"), j.cast("string")).cast("binary"))),
     )
     copies = F.aggregate(
-        uniforms, F.lit(0), lambda n, u: n + F.size(F.filter("_cdf", lambda c: c <= u))
+        uniforms, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u))
     )
-    counted = drawn.withColumn("copies", copies).filter("copies > 0")
+    counted = pinned(drawn.withColumn("copies", copies), "copies").filter("copies > 0")
     copied = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    key = F.md5(F.concat(F.col("_digest"), F.lit("#"), F.col("copy").cast("string")).cast("binary"))
+    key = F.md5(F.concat(F.col("__digest"), F.lit("#"), F.col("copy").cast("string")).cast("binary"))
     keyed = copied.withColumn("shuffle_key", F.conv(F.substring(key, 1, 15), 16, 10).cast("long"))
-    mixed = keyed.select(*kept, "copy", "copies", F.col("_rate").alias("rate"), "shuffle_key")
+    mixed = keyed.select(*kept, "copy", "copies", F.col("__rate").alias("rate"), "shuffle_key")
     return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
