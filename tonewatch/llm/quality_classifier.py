@@ -10,6 +10,7 @@ is found by counting, not by sorting.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
@@ -28,7 +29,7 @@ from .words import windows, word_hashes
 SLOT_BITS = 17
 SLOTS = 1 << SLOT_BITS
 #: Added to the counts of both models, so that rare n-grams say little.
-SMOOTHING = 30.0
+SMOOTHING = 8.0
 #: The most labelled documents that the target model and the cut are learned from.
 SAMPLE = 20_000
 #: Of them, one in so many is kept from the model to find the cut.
@@ -40,6 +41,10 @@ TEMPERATURE = 0.1
 SEED = 7
 
 
+#: Words, and runs of marks between them; letters beyond ASCII are bytes above 127.
+_WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
+
+
 class Model(NamedTuple):
     ratios: np.ndarray  # log ratio of each slot, words first, then pairs
     fitted: list[int]
@@ -47,7 +52,7 @@ class Model(NamedTuple):
 
 
 def _slots(text: bytes | None) -> np.ndarray:
-    words = word_hashes((text or b"").split())
+    words = word_hashes(_WORDS.findall(text or b""))
     shift = np.uint64(64 - SLOT_BITS)
     single = (windows(words, 1) >> shift).astype(np.int64)
     return np.concatenate([single, (windows(words, 2) >> shift).astype(np.int64) + SLOTS])
