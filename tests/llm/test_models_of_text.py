@@ -196,6 +196,23 @@ def sum_of(model, prefix):
     return result
 
 
+def test_words_shorter_than_the_order():
+    model = language_id.learn(COUNTS, 5)
+    both, sizes = language_id.word_scores(model, ["a", "banana"])
+    alone, size = language_id.word_scores(model, ["a"])
+    assert np.allclose(both[0], alone[0]) and size[0] == sizes[0] == 2
+
+
+def test_scores_do_not_depend_on_what_is_remembered(monkeypatch):
+    model = language_id.learn(COUNTS, 3)
+    texts = ["an lip banana", None, "tulip Ananas! 12", "", "x y z banana an"]
+    whole = language_id.Scorer(model).score(texts)
+    monkeypatch.setattr(language_id, "_TOKENS_AT_ONCE", 2)
+    monkeypatch.setattr(language_id, "_REMEMBERED", 4)
+    parts = language_id.Scorer(model).score(texts)
+    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
+
+
 def test_highest_order_counts_occurrences():
     model = language_id.learn({"x": {"ab": 3, "ac": 1}}, 2)
     chars = language_id._Chars(["ab"])

@@ -33,7 +33,8 @@ DEVIATIONS, TOWARDS_RANDOM = 6.0, 0.6
 UNKNOWN = "und"
 
 _REMEMBERED = 300_000
-_LONGEST_REMEMBERED = 64
+#: Texts are taken together up to so many tokens.
+_TOKENS_AT_ONCE = 1 << 16
 _MULTIPLIER = 0xD6E8FEB86659FD93
 _START, _END = "\x02", "\x03"
 _SHARPNESS = (0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0)
@@ -72,7 +73,7 @@ class _Chars:
     def hashes(self, order: int) -> np.ndarray:
         """At each place the hash of the ``order`` characters that end there; 0 for none."""
         total, power = np.zeros(len(self.codes), np.uint64), 1
-        for back in range(order):
+        for back in range(min(order, len(self.codes))):
             total[back:] += (self.codes[: len(self.codes) - back] + np.uint64(1)) * np.uint64(power)
             power = power * _MULTIPLIER % (1 << 64)
         return total
@@ -248,21 +249,31 @@ class Scorer:
         """Log probabilities per language and characters of each text; no letters, no characters."""
         total = np.zeros((len(texts), len(self.model.languages)))
         size = np.zeros(len(texts), np.int64)
+        tokens: list[str] = []
+        owners: list[tuple[int, int]] = []
         for i, text in enumerate(texts):
-            tokens = text.split() if text else []
-            if not tokens:
-                continue
-            new = {t for t in tokens if t not in self.known}
-            if new:
-                if len(self.known) + len(new) > _REMEMBERED:
-                    self._forget()
-                    new = set(tokens)
-                self._learn(sorted(new))
-            at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-            total[i] = self.sums[at].sum(axis=0)
-            size[i] = self.sizes[at].sum()
+            own = text.split() if text else []
+            tokens += own
+            owners.append((i, len(own)))
+            if len(tokens) >= _TOKENS_AT_ONCE or i + 1 == len(texts):
+                self._add(tokens, owners, total, size)
+                tokens, owners = [], []
         return total, size
 
+    def _add(self, tokens: list[str], owners: list[tuple[int, int]], total: np.ndarray, size: np.ndarray) -> None:
+        """Add the tokens of some texts, ``(text, number)`` in a row, to the sums."""
+        new = set(tokens).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > _REMEMBERED:
+                self._forget()
+                new = set(tokens)
+            self._learn(sorted(new))
+        at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        text = np.repeat([i for i, _ in owners], [n for _, n in owners])
+        for k in range(total.shape[1]):
+            total[:, k] += np.bincount(text, self.sums[at, k], len(total))
+        size += np.bincount(text, self.sizes[at], len(size)).astype(np.int64)
+
 
 def _posterior(total: np.ndarray, size: np.ndarray, sharpness: float) -> np.ndarray:
     """Probabilities of the languages from log probabilities, softened by the root of the length."""
