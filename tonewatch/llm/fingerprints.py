@@ -84,11 +84,12 @@ def _edited(text: str, following: str) -> tuple[str, str, str]:
     return stays, comes, stays + comes
 
 
-RESULT = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+#: While rows wait for their neighbours, digests are bytes: half of what their digits take.
+_RESULT = (
+    "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
     "near_edited double, near_next double"
 )
-_NAMES = [x.split()[0] for x in RESULT.split(", ")]
+_NAMES = [x.split()[0] for x in _RESULT.split(", ")]
 
 
 def _compare(ids: Sequence[int | None], texts: Sequence[str], size: int) -> list[tuple]:
@@ -98,7 +99,7 @@ def _compare(ids: Sequence[int | None], texts: Sequence[str], size: int) -> list
         words.append(word_hashes(normalized(text)))
     for text, following, own in zip(texts, texts[1:], words, strict=False):
         stays, comes, edited = _edited(text, following)
-        edits.append(hashlib.sha256(edited.encode()).hexdigest())
+        edits.append(hashlib.sha256(edited.encode()).digest())
         kept = normalized(stays)
         same = max(len(kept) - 1, 0)  # the last word that stays may go on in what comes
         if same < size:
@@ -116,7 +117,7 @@ def _compare(ids: Sequence[int | None], texts: Sequence[str], size: int) -> list
     own = [*slots(np.minimum(common, full)), last]
     changed = slots(np.minimum(common, new))
     return [
-        (doc_id, len(text), sha, a.tobytes().hex(), b.tobytes().hex(), float(np.mean(a == b)), float(np.mean(a == c)))
+        (doc_id, len(text), sha, a.tobytes(), b.tobytes(), float(np.mean(a == b)), float(np.mean(a == c)))
         for doc_id, text, sha, a, b, c in zip(ids, texts, edits, own, changed, own[1:], strict=False)
     ]
 
@@ -126,7 +127,7 @@ def _columns(rows: list[tuple], kinds: Sequence[pa.DataType], names: Sequence[st
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 _SEAM_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string()]
 _SEAM_NAMES = ["part", "first_text", "last_id", "last_text"]
 
@@ -178,7 +179,9 @@ def fingerprint_changes(
 
     The edited text has its last ``floor(n_chars / 4)`` code points replaced by
     the first as many, or all, of the next document, in ascending order of
-    ``doc_id``; the first document follows the last.  Columns: ``RESULT``.  Null
+    ``doc_id``; the first document follows the last.  Columns ``doc_id, n_chars,
+    edited_sha256, fingerprint, edited_fingerprint`` (lowercase hexadecimal),
+    ``near_edited, near_next`` (share of equal slots).  Null
     texts are empty; rows without id come first; rows with the same id follow
     each other by a hash of their text; a single row is its own next one; an
     empty table gives no rows.  Other columns of ``docs`` are not read.
@@ -194,7 +197,7 @@ def fingerprint_changes(
     ).sortWithinPartitions(*order)
     seams = ", part long, first_text string, last_id long, last_text string"
     found = materialize(
-        arrow_map(ordered.select("doc_id", "text"), _sliding(shingle_words), RESULT + seams), "fingerprint_changes"
+        arrow_map(ordered.select("doc_id", "text"), _sliding(shingle_words), _RESULT + seams), "fingerprint_changes"
     )
     cuts = found.filter("part IS NOT NULL")
     # The order of the parts alone is one task's work: a number per part.
@@ -202,5 +205,7 @@ def fingerprint_changes(
     parts = parts.withColumn("next", F.coalesce("next", F.min("part").over(Window.partitionBy())))
     firsts = cuts.select(F.col("part").alias("next"), F.col("first_text").alias("next_text"))
     lasts = cuts.select("part", "last_id", "last_text").join(parts, "part").join(firsts, "next")
-    rest = arrow_map(lasts.select("last_id", "last_text", "next_text"), _across(shingle_words), RESULT)
-    return found.filter("part IS NULL").select(*_NAMES).unionByName(rest)
+    rest = arrow_map(lasts.select("last_id", "last_text", "next_text"), _across(shingle_words), _RESULT)
+    whole = found.filter("part IS NULL").select(*_NAMES).unionByName(rest)
+    digests = ("edited_sha256", "fingerprint", "edited_fingerprint")
+    return whole.withColumns({c: F.lower(F.hex(c)) for c in digests})
