@@ -43,10 +43,10 @@ DISCOUNT = 0.75
 END = xxhash.xxh64_intdigest(b"\n")
 _RARE = -1
 _ID_BITS = 20
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 _LONGEST_REMEMBERED = 64
-_TOKENS_AT_ONCE = 1 << 20
-_TALLIED = 4_000_000
+_TOKENS_AT_ONCE = 1 << 18
+_TALLIED = 1_000_000
 
 
 class Level(NamedTuple):
@@ -96,9 +96,9 @@ def _slices(batches: Batches, columns: Sequence[str]) -> Iterator[tuple[list, li
     """Rows and their words, a bounded number of tokens at a time."""
     rows, words, size = [], [], 0
     for batch in batches:
-        for *row, text in zip(*(batch[c].to_pylist() for c in [*columns, "text"]), strict=True):
-            rows.append(row)
-            words.append((text or b"").lower().split())
+        for *row, text in zip(*(batch[c] for c in [*columns, "text"]), strict=True):
+            rows.append([x.as_py() for x in row])
+            words.append((text.as_py() or b"").lower().split())
             size += len(words[-1]) + 1
             if size >= _TOKENS_AT_ONCE:
                 yield rows, words
