@@ -3,10 +3,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from tonewatch.catalog import fixtures as fx
+from tonewatch.constants import SMOKE_SAMPLES
 from tonewatch.functions.confidence import max_confidence_text
 from tonewatch.operators.cleaning import clean_text_column
-from tonewatch.plans import scoring, training
-from tonewatch.session import materialize
+from tonewatch.operators import splits
+from tonewatch.plans import reports, scoring, training
+from tonewatch.session import materialize, scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +30,7 @@ def test_saved_model_predicts_the_same(spark):
 def test_scored_batch_has_probabilities(spark, clean):
     model = training.train_logreg(clean, use_hashing=True, num_features=500)
     rows = scoring.score_batch(model, scoring.smoke_samples(spark)).collect()
-    assert len(rows) == 8
+    assert len(rows) == len(SMOKE_SAMPLES)
     for r in rows:
         assert sum(r["probabilities"]) == pytest.approx(1)
         assert r["confidence"] == max(r["probabilities"])
@@ -62,21 +64,53 @@ def test_expressions_run_on_a_stream(spark, tmp_path):
     assert [tuple(r) for r in spark.sql("select Text, confidence from cleaned").collect()] == [("hello world", 0.5)]
 
 
-def test_hashed_counts_lose_no_word(spark, sf_dir):
-    rows = driver.queries()["hashing_tf"](spark, sf_dir).collect()
-    assert rows and all(r["total"] == r["words"] >= r["slots_used"] for r in rows)
-
-
-def test_grid_search_scores_every_point(spark, sf_dir):
-    rows = driver.queries()["grid_search_cv"](spark, sf_dir).collect()
-    assert len(rows) == 2 and all(0 < r["f1"] <= 1 for r in rows)
-
-
-def test_network_on_pooled_vectors_learns(spark, sf_dir):
-    assert driver.queries()["train_nn_classifier"](spark, sf_dir).first()["accuracy"] > 1 / 3
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Three classes that differ by one word in five; the classes are of one size."""
+    signal = F.element_at(F.array(*map(F.lit, ("awful", "great", "plain"))), F.col("Label") + 1)
+    noise = F.concat_ws(" ", *[F.concat(F.lit("w"), (F.xxhash64("doc_id", F.lit(i)) % 40).cast("string")) for i in range(4)])
+    rows = spark.range(360).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("int").alias("Label"))
+    return materialize(rows.withColumn("Text", F.concat_ws(" ", noise, signal)), "planted")
+
+
+@pytest.mark.parametrize("use_hashing", [True, False])
+def test_classifiers_find_a_planted_signal(spark, planted, use_hashing):
+    train, validate = splits.split_train_validate(planted, "doc_id")
+    model = training.train_logreg(train, use_hashing=use_hashing)
+    scored = scoring.score_batch(model, validate)
+    assert scored.filter("prediction = Label").count() > 0.95 * validate.count()
+
+
+def test_grid_search_prefers_what_finds_the_signal(spark, planted):
+    folds = training.tokenized_folds(planted, "doc_id", k=2)
+    search = training.grid_search(folds, True, k=2, num_features=(2, 5000), reg_params=(0.01,))
+    scores = {r["params"]: r["f1"] for r in training.grid_trials(search, folds).collect()}
+    assert len(scores) == 2 and scores["numFeatures=5000, regParam=0.01"] > 0.95 > scores["numFeatures=2, regParam=0.01"]
+
+
+def test_network_finds_a_planted_signal(spark, planted):
+    vector = F.array(*[F.when(F.col("Label") == i, 1.0).otherwise(0.0) + F.rand(i) / 5 for i in range(3)])
+    rows = materialize(planted.select("doc_id", F.col("Label").alias("label"), vector.alias("embedding")), "vectors")
+    train, validate = splits.split_train_validate(rows, "doc_id")
+    model = training.train_nn_classifier(train, 3, 3)
+    scored = model.transform(validate.withColumn("features", training.array_to_vector(F.col("embedding"))))
+    assert scored.filter("prediction = label").count() > 0.95 * validate.count()
+
+
+def test_gate_judges_scored_rows_and_writes_them(spark, planted):
+    model = training.train_logreg(planted, use_hashing=True)
+    names = F.element_at(F.array(*map(F.lit, ("Negative", "Positive", "Neutral"))), F.col("Label") + 1)
+    extra = spark.createDataFrame([(1000, "Irrelevant", "w1 great"), (1001, None, "w2 great"), (1002, "Neutral", " ")], "doc_id long, Label string, Text string")
+    raw = planted.select("doc_id", names.alias("Label"), "Text").unionByName(extra)
+    paths = [scratch_path(spark, n) for n in ("predictions", "snapshot")]
+    row = scoring.score_and_gate(model, raw, *paths, batch_id="b").first()
+    assert row["scored"] == 361 and row["accuracy"] > 0.95 and row["test_pass"]
+    assert [spark.read.parquet(p).count() for p in paths] == [361, 361]
+    assert scoring.score_and_gate(model, raw, *paths, batch_id="b", gate=1.0).first()["test_pass"] is False
 
 
 def test_data_drift_report_fails_where_batches_differ(spark, sf_dir):
-    status = {r["test"]: r["status"] for r in driver.queries()["data_drift_report"](spark, sf_dir).collect()}
+    tests = reports.data_drift_report(*fx.shifted_batches(fx.predictions(spark, sf_dir)), categorical=["prediction", "lang"])
+    status = {r["test"]: r["status"] for r in tests.collect()}
     assert status["drift:lang"] == status["drift:text"] == status["dataset_drift"] == "FAIL"
     assert set(status) == {"drift:lang", "drift:text", "drift:prediction", "drift:confidence", "dataset_drift"}

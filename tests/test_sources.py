@@ -9,10 +9,11 @@ from tonewatch.sources import csv_tables, objects, writers
 
 
 def test_csv_keeps_quotes_commas_breaks_and_spaces(spark):
-    rows = [("p", "Neutral", 'say "hi", ok'), ("p", "Neutral", "two\nlines"), ("p", "Neutral", "  pad  "), ("p", None, "x")]
+    rows = [("p", "Neutral", 'say "hi", ok'), ("p", "Neutral", "two\nlines"), ("p", "Neutral", "  pad  "), ("p", None, "x"),
+            ("", "", ""), (None, None, None), ("p", "", None), ("", None, "\\N")]
     path = scratch_path(spark, "csv")
     csv_tables.write_csv(spark.createDataFrame(rows, RAW_COMMENTS), path)
-    back = csv_tables.read_csv(spark, path)
+    back = csv_tables.read_csv(spark, path, multi_line=True)
     assert back.schema == RAW_COMMENTS
     assert sorted(map(str, back.collect())) == sorted(str(r) for r in spark.createDataFrame(rows, RAW_COMMENTS).collect())
 
@@ -22,7 +23,26 @@ def test_csv_written_by_pandas_is_read_right(spark, tmp_path):
 
     frame = pd.DataFrame({"Product": ["a", "b", "c"], "Label": ["x", "y", "z"], "Text": ['q "w", e', "l1\nl2", "plain"]})
     frame.to_csv(tmp_path / "t.csv", index=False)
-    assert [r["Text"] for r in csv_tables.read_csv(spark, str(tmp_path / "t.csv")).collect()] == list(frame["Text"])
+    assert [r["Text"] for r in csv_tables.read_csv(spark, str(tmp_path / "t.csv"), multi_line=True).collect()] == list(frame["Text"])
+
+
+def test_empty_text_and_null_survive_csv_without_a_header(spark):
+    rows = {("", "a"), (None, "b"), ("x", ""), ("y", None)}
+    path = scratch_path(spark, "csv")
+    csv_tables.write_csv(spark.createDataFrame(list(rows), "Label string, Text string"), path, header=False)
+    assert set(map(tuple, csv_tables.read_csv_headerless(spark, path, ["Label", "Text"]).collect())) == rows
+
+
+def test_malformed_records_can_be_counted(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("Product,Label,Text\na,b,c\na,b\na,b,c,d\n")
+    rows = csv_tables.read_csv(spark, str(tmp_path / "t.csv"), malformed_col="bad").cache()
+    assert rows.count() == 3 and rows.filter("bad IS NOT NULL").count() == 2
+
+
+def test_csv_files_are_bounded_by_bytes(spark, tmp_path):
+    rows = spark.range(1000).select(F.repeat(F.lit("x"), 100).alias("Text")).coalesce(1)
+    csv_tables.write_csv(rows, str(tmp_path / "out"), bytes_per_file=20_000)
+    assert 4 <= len(list((tmp_path / "out").glob("*.csv"))) <= 8
 
 
 def test_dataset_write_returns_its_row_count(spark):
@@ -31,11 +51,11 @@ def test_dataset_write_returns_its_row_count(spark):
     assert spark.read.parquet(path).count() == 123
 
 
-def test_alert_log_is_appended_as_json_lines(spark):
+def test_alert_log_keeps_each_run_once(spark):
     path = scratch_path(spark, "alerts")
     alerts = spark.range(2).select(F.lit("t").alias("timestamp"), F.struct(F.lit("é").alias("name")).alias("details"))
-    writers.append_alert_log(alerts, path)
-    writers.append_alert_log(alerts, path)
+    for run in ("a", "b", "a"):
+        writers.append_alert_log(alerts, path, run)
     lines = [json.loads(r["value"]) for r in spark.read.text(path).collect()]
     assert lines == [{"timestamp": "t", "details": {"name": "é"}}] * 4
 
@@ -78,8 +98,23 @@ def test_registry_lookups(spark):
     assert {r["name"]: r["version"] for r in registry.latest_model_version(versions, names).collect()} == {"m": 3, "absent": None}
     assert [(r["name"], r["version"]) for r in registry.model_version_by_stage(versions).collect()] == [("m", 2)]
     assert registry.all_model_versions(versions, "m").count() == 3
-    decisions = spark.createDataFrame([("m", 3, "promote"), ("n", 1, "keep")], "name string, source_version long, decision string")
-    added = registry.promote_version(versions, decisions, F.lit(99))
-    new = added.filter("version = 4").collect()
-    assert added.count() == 5
-    assert [(r["name"], r["stage"], r["run_id"], r["tags"]) for r in new] == [("m", "Production", "r3", {"k": "c", "Production": "True"})]
+
+
+def test_promotion_tags_the_source_and_copies_it_to_production(spark):
+    versions = spark.createDataFrame(
+        [("m", 1, None, "r1", 10, 0.5, {"Production": "True", "k": "a"}), ("m", 2, None, "r2", 5, 0.6, None),
+         ("n", 7, None, "r3", 20, 0.9, {"k": "c"}), ("live", 4, "Production", "r4", 1, None, {"k": "d"})],
+        "name string, version long, stage string, run_id string, last_updated_timestamp long, accuracy double, tags map<string, string>",
+    )
+    decisions = spark.createDataFrame(
+        [("m", 1, "live", "promote"), ("m", 2, "live", "promote"), ("n", 7, "first", "promote"), ("n", 7, "live", "keep")],
+        "name string, source_version long, destination string, decision string",
+    )
+    rows = registry.promote_version(versions, decisions, F.lit(99)).collect()
+    found = {(r["name"], r["version"]): (r["stage"], r["run_id"], r["tags"]) for r in rows}
+    yes = {"Production": "True"}
+    assert len(rows) == 7 and found == {
+        ("m", 1): (None, "r1", {"k": "a", **yes}), ("m", 2): (None, "r2", yes), ("n", 7): (None, "r3", {"k": "c", **yes}),
+        ("live", 4): ("Production", "r4", {"k": "d"}), ("live", 5): ("Production", "r1", {"k": "a", **yes}),
+        ("live", 6): ("Production", "r2", yes), ("first", 1): ("Production", "r3", {"k": "c", **yes}),
+    }

@@ -123,3 +123,26 @@ def test_annotations_point_into_the_text(spark, value):
 def test_whitespace_tokens_has_no_empty_words(spark):
     rows = spark.createDataFrame([("  a\t b\n",), ("",), ("  ",)], "t string")
     assert [r[0] for r in rows.select(whitespace_tokens(F.col("t"))).collect()] == [["a", "b"], [], []]
+
+
+# The ranges of code points that count as emoji, each as its first and last.
+EMOJI_RANGES = (
+    (0x1F600, 0x1F64F), (0x1F300, 0x1F5FF), (0x1F680, 0x1F6FF), (0x1F1E0, 0x1F1FF), (0x2500, 0x2BEF),
+    (0x2702, 0x27B0), (0x24C2, 0x1F251), (0x1F926, 0x1F937), (0x10000, 0x10FFFF), (0x2640, 0x2642),
+    (0x2600, 0x2B55), (0x200D, 0x200D), (0x23CF, 0x23CF), (0x23E9, 0x23E9), (0x231A, 0x231A),
+    (0xFE0F, 0xFE0F), (0x3030, 0x3030),
+)
+
+
+def test_emoji_class_over_all_code_points(spark):
+    points = spark.range(1, 0x110000).filter("id < 55296 OR id > 57343")
+    high, low = F.lit(0xD800) + F.floor((F.col("id") - 0x10000) / 1024), F.lit(0xDC00) + (F.col("id") - 0x10000) % 1024
+    units = F.when(F.col("id") < 0x10000, F.col("id")).otherwise(high * 65536 + low)
+    width = F.when(F.col("id") < 0x10000, 4).otherwise(8)
+    char = F.decode(F.unhex(F.lpad(F.hex(units.cast("long")), width, F.lit("0"))), "UTF-16BE")
+    stripped = text.strip_emoji(F.concat(F.lit("a"), char, F.lit("b"))) == "ab"  # nothing else may go
+    inside = F.lit(False)
+    for first, last in EMOJI_RANGES:
+        inside = inside | F.col("id").between(first, last)
+    wrong = points.filter(stripped != inside)
+    assert wrong.count() == 0

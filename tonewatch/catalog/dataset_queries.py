@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import SMOKE_SAMPLES
 from ..functions import labels, text
 from ..operators import checks, cleaning, splits
+from ..operators.drift import psi_table as drift_table
 from ..plans import reports
 from ..plans.scoring import smoke_samples
 from ..schemas import RAW_COMMENTS
@@ -26,18 +27,18 @@ WITH = "WITH "
 def scan_csv(spark, d):
     path = scratch_path(spark, "csv")
     csv_tables.write_csv(fx.labeled_text(spark, d).select(*RAW), path)
-    return csv_tables.read_csv(spark, path, RAW_COMMENTS).toDF("product", "label", "text")
+    return csv_tables.read_csv(spark, path, RAW_COMMENTS, multi_line=True).toDF("product", "label", "text")
 
 
 @query("scan_csv_headerless", WITH + sql.DIRTY + """
-SELECT product, nullif(name, '') AS label, md5(body) AS text_md5 FROM dirty""")
+SELECT product, name AS label, md5(body) AS text_md5 FROM dirty""")
 def scan_csv_headerless(spark, d):
     path = scratch_path(spark, "csv")
     csv_tables.write_csv(fx.labeled_text_dirty(spark, d).select(*RAW), path, header=False)
-    rows = csv_tables.read_csv_headerless(spark, path, RAW)
+    rows = csv_tables.read_csv_headerless(spark, path, RAW, multi_line=True)
     return rows.select(
         F.col("Product").alias("product"),
-        F.nullif(F.col("Label"), F.lit("")).alias("label"),
+        F.col("Label").alias("label"),
         F.md5("Text").alias("text_md5"),
     )
 
@@ -100,6 +101,8 @@ def sink_drift_snapshot(spark, d):
 @query("sink_report", WITH + ", ".join([
     sql.PREDICTIONS,
     sql.evaluation("predictions", name="old"), sql.evaluation("predictions_new", name="cur"),
+    f"shift_ref AS (SELECT * FROM predictions WHERE lang = 'en'), shift_cur AS (SELECT * FROM predictions WHERE lang <> 'en')",
+    sql.psi("shift_ref", "shift_cur", "lang", "p_lang", True),
     f"summary AS (SELECT count(*) FILTER (name = '')::DOUBLE AS missing, min(length(body))::DOUBLE AS shortest FROM labeled)",
 ]) + """
 SELECT 'model_drift' AS report, test, CASE WHEN round(value, 9) >= round(threshold, 9) THEN 'SUCCESS' ELSE 'FAIL' END AS status,
@@ -109,16 +112,19 @@ FROM (SELECT 'accuracy' AS test, cur.accuracy AS value, old.accuracy * 0.9 AS th
   UNION ALL SELECT 'recall', cur.macro_recall, old.macro_recall * 0.9 FROM old, cur
   UNION ALL SELECT 'f1', cur.macro_f1, old.macro_f1 * 0.9 FROM old, cur)
 UNION ALL SELECT 'dataset_summary', 'missing_labels', CASE WHEN missing <= 0 THEN 'SUCCESS' ELSE 'FAIL' END, missing, '2024-01-01T00:00:00' FROM summary
-UNION ALL SELECT 'dataset_summary', 'min_length', CASE WHEN shortest >= 1 THEN 'SUCCESS' ELSE 'FAIL' END, shortest, '2024-01-01T00:00:00' FROM summary""")
+UNION ALL SELECT 'dataset_summary', 'min_length', CASE WHEN shortest >= 1 THEN 'SUCCESS' ELSE 'FAIL' END, shortest, '2024-01-01T00:00:00' FROM summary
+UNION ALL SELECT 'data_drift', 'drift:lang', CASE WHEN psi >= 0.1 THEN 'FAIL' ELSE 'SUCCESS' END, round(psi, 6), '2024-01-01T00:00:00' FROM p_lang""")
 def sink_report(spark, d):
     path = scratch_path(spark, "reports")
     when = F.lit("2024-01-01T00:00:00")
     drift = checks.model_quality_tests(fx.predictions(spark, d), fx.predictions_new(spark, d))
     coded = fx.predictions(spark, d).select("label", "text")
-    for tests in (drift, reports.dataset_summary_report(coded)):
-        writers.append_report(tests, path, when)
+    columns = drift_table(*fx.shifted_batches(fx.predictions(spark, d)), categorical=["lang"])
+    kinds = (drift, reports.dataset_summary_report(coded), checks.drift_tests(columns))
+    for run, tests in enumerate([*kinds, kinds[0]]):  # the last run is repeated
+        writers.append_report(tests, path, when, f"r{run % len(kinds)}")
     body = F.from_json("value", "test string, status string, value double, timestamp string")
-    stored = spark.read.schema("value string, report string").text(path)
+    stored = spark.read.schema("value string, run_id string, report string").text(path)
     return stored.select("report", body.alias("t")).select(
         "report", "t.test", "t.status", F.round("t.value", 6).alias("value"), "t.timestamp"
     )
@@ -157,7 +163,8 @@ def sink_alert_log(spark, d):
         _tests_by_product(spark, d), checks.alert_type_of(F.lit("model_drift")), "ops@example.org",
         F.lit("2024-01-01T00:00:00"),
     )
-    writers.append_alert_log(rows, path)
+    for _ in range(2):
+        writers.append_alert_log(rows, path, "r1")
     entry = F.from_json(
         "value",
         "timestamp string, alert_type string, status string, "

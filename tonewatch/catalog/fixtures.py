@@ -89,7 +89,7 @@ def clean_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_nonempty_length(clean_text_column(rows))
 
 
-def _wrong_above(seed: int, rate: float, label: Column) -> Column:
+def wrong_above(seed: int, rate: float, label: Column) -> Column:
     return F.when(unit_hash(seed, F.col("doc_id")) < rate, label).otherwise((label + 1) % 3)
 
 
@@ -99,7 +99,7 @@ def predictions(spark: SparkSession, sf_dir: str, seed: int = 3, rate: float = 0
     u = unit_hash(6, F.col("doc_id"))
     return rows.select(
         "doc_id", "Product", "lang", "n_chars", F.col("Text").alias("text"), "label",
-        _wrong_above(seed, rate, F.col("label")).alias("prediction"),
+        wrong_above(seed, rate, F.col("label")).alias("prediction"),
         (F.lit(0.34) + F.lit(0.66) * u).alias("confidence"),
     )
 
@@ -131,7 +131,7 @@ def cv_trials(spark: SparkSession, sf_dir: str, folds: int = 3) -> DataFrame:
     rows = predictions(spark, sf_dir).select("doc_id", "label")
     rows = rows.withColumn("fold", fold_of(F.col("doc_id"), folds))
     guesses = F.array(*[
-        F.struct(F.lit(trial).alias("trial"), _wrong_above(seed, rate, F.col("label")).alias("prediction"))
+        F.struct(F.lit(trial).alias("trial"), wrong_above(seed, rate, F.col("label")).alias("prediction"))
         for trial, seed, rate in CV_TRIALS
     ])
     return evaluate(rows.select("fold", "label", F.inline(guesses)), by=["trial", "fold"])
@@ -142,9 +142,9 @@ def _score(seed: int) -> Column:
 
 
 def annotation_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One printed annotation per document, in ten well- and ill-formed variants."""
+    """One printed annotation per document, in thirteen well- and ill-formed variants."""
     a, b, c = _score(21), _score(22), _score(23)
-    pick = F.floor(unit_hash(20, F.col("doc_id")) * 10)
+    pick = F.floor(unit_hash(20, F.col("doc_id")) * 13)
     forms = (
         F.concat(F.lit("[Row(annotatorType='category', result='1', metadata={'0': '"), a, F.lit("', '1': '"), b,
                  F.lit("', 'sentence': '7', '2': '"), c, F.lit("'}, embeddings=[])]")),
@@ -157,6 +157,9 @@ def annotation_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("metadata={'0': "), a, F.lit(", '1': "), b, F.lit("}")),
         F.concat(F.lit("metadata={'0': 'abc', '1': '"), b, F.lit("'}")),
         F.concat(F.lit('metadata={"0": "'), c, F.lit('"}')),
+        F.concat(F.lit("metadata= {'0': '"), a, F.lit("'}")),
+        F.concat(F.lit("metadata={'0': '"), a, F.lit("', 'more': {'1': '0.99'}, '2': '"), b, F.lit("'}")),
+        F.concat(F.lit("metadata={'0': '"), a, F.lit("d', '1': '"), c, F.lit("'}")),
     )
     text = F.lit(None).cast("string")
     for i, form in enumerate(forms):

@@ -169,7 +169,7 @@ def score(seed: int) -> str:
 
 
 ANNOTATIONS = f"""forms AS (
-  SELECT doc_id, floor({u(20)} * 10)::INT AS pick, {score(21)} AS a, {score(22)} AS b, {score(23)} AS c FROM documents),
+  SELECT doc_id, floor({u(20)} * 13)::INT AS pick, {score(21)} AS a, {score(22)} AS b, {score(23)} AS c FROM documents),
 annotations AS (SELECT doc_id, CASE pick
   WHEN 0 THEN '[Row(annotatorType=''category'', result=''1'', metadata={{''0'': ''' || a || ''', ''1'': ''' || b || ''', ''sentence'': ''7'', ''2'': ''' || c || '''}}, embeddings=[])]'
   WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN 'no meta' WHEN 4 THEN 'metadata={{''sentence'': ''0''}}'
@@ -177,7 +177,9 @@ annotations AS (SELECT doc_id, CASE pick
   WHEN 6 THEN 'metadata={{''0'': ''' || a || '''}} metadata={{''0'': ''0.99''}}'
   WHEN 7 THEN 'metadata={{''0'': ' || a || ', ''1'': ' || b || '}}'
   WHEN 8 THEN 'metadata={{''0'': ''abc'', ''1'': ''' || b || '''}}'
-  WHEN 9 THEN 'metadata={{"0": "' || c || '"}}' END AS category, pick, a, b, c FROM forms)"""
+  WHEN 9 THEN 'metadata={{"0": "' || c || '"}}' WHEN 10 THEN 'metadata= {{''0'': ''' || a || '''}}'
+  WHEN 11 THEN 'metadata={{''0'': ''' || a || ''', ''more'': {{''1'': ''0.99''}}, ''2'': ''' || b || '''}}'
+  WHEN 12 THEN 'metadata={{''0'': ''' || a || 'd'', ''1'': ''' || c || '''}}' END AS category, pick, a, b, c FROM forms)"""
 
 LEMMAS = f"""bench_clean AS ({clean_select('benchmark', 'text', 'item_id')}),
 bench_words AS (SELECT DISTINCT unnest({words_of()}) AS form FROM bench_clean),

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import GRID_NUM_FEATURES, GRID_REG_PARAM, GRID_VOCAB_SIZE, SMOKE_SAMPLES, SPLIT_SEED, TRAIN_RATIO
 from ..functions.text import whitespace_tokens
 from ..operators import annotate, quality, splits
 from ..plans import scoring, training
 from ..session import materialize, scratch_path
 from . import fixtures as fx
+from . import fixtures_sql as sql
 from .registry import query
 
-FEATURES = 1000
 CLASSES = 3
+FOLDS = 5
+
+CLEAN = "WITH " + sql.LABELED + ", clean AS (SELECT * FROM (" + sql.clean_select(
+    "labeled", "body", "doc_id") + ") WHERE length(text) > 0), " + (
+    f"validate AS (SELECT * FROM clean WHERE {sql.u(SPLIT_SEED)} >= {TRAIN_RATIO})"
+)
 
 
 def _train_validate(spark, d):
@@ -37,18 +44,27 @@ def train_logreg_tfidf(spark, d):
     return _quality(training.train_logreg(train, use_hashing=True), validate)
 
 
-@query("score_batch")
+@query("score_batch", CLEAN + """
+SELECT md5(text) AS text_md5, 3::INT AS classes, true AS is_most_likely FROM (SELECT text FROM validate UNION ALL SELECT * FROM (VALUES """
+       + ", ".join(f"({sql.quoted(t)})" for t, _ in SMOKE_SAMPLES) + "))")
 def score_batch(spark, d):
     train, validate = _train_validate(spark, d)
-    model = training.train_logreg(train, use_hashing=True, num_features=FEATURES)
+    model = training.train_logreg(train, use_hashing=True)
     batch = validate.select("Text").unionByName(scoring.smoke_samples(spark).select("Text"))
-    return scoring.score_batch(model, batch)
+    scored = scoring.score_batch(model, batch)
+    most = F.array_max("probabilities")
+    fits = (F.abs(F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p) - 1) < 1e-9) & (F.col("confidence") == most)
+    return scored.select(
+        F.md5("Text").alias("text_md5"), F.size("probabilities").alias("classes"),
+        (fits & (F.get("probabilities", F.col("prediction")) == most)).alias("is_most_likely"),
+    )
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", CLEAN + """
+SELECT count(*) AS "rows", 0::BIGINT AS different FROM validate""")
 def model_roundtrip(spark, d):
     train, validate = _train_validate(spark, d)
-    model = training.train_logreg(train, use_hashing=True, num_features=FEATURES)
+    model = training.train_logreg(train, use_hashing=True)
     path = scratch_path(spark, "model")
     training.save_model(model, path)
     before, after = (
@@ -60,18 +76,58 @@ def model_roundtrip(spark, d):
     )
 
 
-@query("kfold_cross_validate")
+@query("score_and_gate", "WITH " + sql.DIRTY + ", cleaned AS (SELECT * FROM (" + sql.clean_select(
+    "(SELECT * FROM dirty WHERE name <> 'Irrelevant')", "body", "doc_id") + """) WHERE length(text) > 0)
+SELECT count(*) AS scored, count(*) AS predictions, count(*) AS snapshot, true AS gate_fits FROM cleaned""")
+def score_and_gate(spark, d):
+    train, _ = _train_validate(spark, d)
+    model = training.train_logreg(train, use_hashing=True)
+    raw = fx.labeled_text_dirty(spark, d).select("doc_id", "Label", "Text")
+    predictions, snapshots = scratch_path(spark, "predictions"), scratch_path(spark, "snapshots")
+    result = scoring.score_and_gate(model, raw, predictions, snapshots, batch_id="b1")
+    written = [spark.read.parquet(p).count() for p in (predictions, snapshots)]
+    return result.select(
+        "scored", F.lit(written[0]).cast("long").alias("predictions"), F.lit(written[1]).cast("long").alias("snapshot"),
+        (F.col("test_pass") == (F.col("accuracy") > 0.8)).alias("gate_fits"),
+    )
+
+
+def _in_range(*figures):
+    checked = F.lit(True)
+    for figure in figures:
+        checked = checked & F.col(figure).between(0, 1)
+    return checked.alias("figures_in_range")
+
+
+@query("kfold_cross_validate", CLEAN + f"""
+SELECT floor({sql.u(SPLIT_SEED)} * {FOLDS})::INT AS fold, count(*) AS scored, true AS figures_in_range FROM clean GROUP BY 1""")
 def kfold_cross_validate(spark, d):
-    folds = training.tokenized_folds(fx.clean_labeled(spark, d), "doc_id", k=3)
-    estimator = training.Pipeline(stages=training.learned_stages(True, num_features=FEATURES))
-    return training.k_fold_cross_validate(folds, estimator, k=3)
+    folds = training.tokenized_folds(fx.clean_labeled(spark, d), "doc_id", k=FOLDS)
+    estimator = training.Pipeline(stages=training.learned_stages(True))
+    found = training.k_fold_cross_validate(folds, estimator, k=FOLDS)
+    rows = folds.groupBy("fold").agg(F.count("*").alias("scored"))
+    return found.join(rows, "fold").select("fold", "scored", _in_range("accuracy", "precision", "recall", "f1"))
+
 
+def _grid_sql(size_name, sizes):
+    points = [(r, n) for r in GRID_REG_PARAM for n in sizes]
+    return [", ".join(sorted((f"regParam={r}", f"{size_name}={n}"))) for r, n in points]
 
-@query("grid_search_cv")
+
+@query("grid_search_cv", CLEAN + "SELECT grid, params, (SELECT count(*) FROM clean) AS \"rows\", true AS figures_in_range FROM (VALUES " + ", ".join(
+    f"('{grid}', '{params}')"
+    for grid, points in (("hashing", _grid_sql("numFeatures", GRID_NUM_FEATURES)), ("counts", _grid_sql("vocabSize", GRID_VOCAB_SIZE)))
+    for params in points
+) + ") AS t(grid, params)")
 def grid_search_cv(spark, d):
     folds = training.tokenized_folds(fx.clean_labeled(spark, d), "doc_id", k=3)
-    search = training.grid_search(folds, use_hashing=True, num_features=(FEATURES,), reg_params=(0.01, 0.1))
-    return training.grid_trials(search, folds)
+    rows = folds.agg(F.count("*")).scalar()
+    hashing, counts = (
+        training.grid_trials(training.grid_search(folds, use_hashing=hashing), folds)
+        .withColumn("grid", F.lit("hashing" if hashing else "counts"))
+        for hashing in (True, False)
+    )
+    return hashing.unionByName(counts).select("grid", "params", rows.alias("rows"), _in_range("f1"))
 
 
 @query("train_nn_classifier")

@@ -150,11 +150,16 @@ def alert_documents(spark, d):
     return checks.alert_documents(_tests_by_product(spark, d), checks.alert_type_of(F.lit("model_drift")))
 
 
-@query("retrain_signal", TESTS_BY_PRODUCT + """
+@query("retrain_signal", TESTS_BY_PRODUCT + """,
+kinds AS (SELECT *, CASE length(report) % 3 WHEN 0 THEN 'data_drift' WHEN 1 THEN 'model_drift' ELSE 'dataset_summary' END AS kind FROM tests)
 SELECT report, count(*) FILTER (status = 'FAIL') AS num_fail, count(*) FILTER (status = 'FAIL') > 0 AS notify,
-  CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'train' END AS request FROM tests GROUP BY report""")
+  CASE WHEN count(*) FILTER (status = 'FAIL') > 0 AND kind = 'model_drift' THEN 'train' END AS request
+FROM kinds GROUP BY report, kind""")
 def retrain_signal(spark, d):
-    return checks.retrain_signal(_tests_by_product(spark, d), kind=F.lit("model_drift"))
+    kind = F.get(
+        F.array(F.lit("data_drift"), F.lit("model_drift"), F.lit("dataset_summary")), F.length("report") % 3
+    )
+    return checks.retrain_signal(_tests_by_product(spark, d), kind=kind)
 
 
 @query("latest_model_version", WITH + sql.VERSIONS + """,
@@ -191,7 +196,7 @@ SELECT round(cur.accuracy, 6) AS new_accuracy, round(cur.precision, 6) AS new_pr
   CASE WHEN cur.accuracy > old.accuracy THEN 'promote' ELSE 'keep' END AS decision FROM old, cur""")
 def champion_challenger(spark, d):
     rows = fx.predictions(spark, d).withColumn(
-        "challenger", fx._wrong_above(4, 0.65, F.col("label"))
+        "challenger", fx.wrong_above(4, 0.65, F.col("label"))
     )
     result = quality.champion_challenger(rows, "prediction", "challenger")
     figures = [c for c in result.columns if c != "decision"]
@@ -217,19 +222,27 @@ def run_log(spark, d):
 
 
 @query("promote_version", WITH + sql.VERSIONS + """,
-newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY last_updated_timestamp DESC, version DESC) AS rn FROM versions) WHERE rn = 1),
-champ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY version DESC) AS rn FROM versions WHERE stage = 'Production') WHERE rn = 1),
-promoted AS (SELECT n.* FROM newest n JOIN champ c ON n.name = c.name WHERE n.accuracy > c.accuracy),
-appended AS (SELECT name, (SELECT max(version) FROM versions v WHERE v.name = p.name) + 1 AS version, 'Production' AS stage, run_id, kind, 'True' AS production FROM promoted p)
-SELECT name, version, stage, run_id, kind, NULL AS production FROM versions UNION ALL SELECT * FROM appended""")
+newest AS (SELECT *, substr(name, 7)::BIGINT AS n FROM (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY last_updated_timestamp DESC, version DESC) AS rn FROM versions) WHERE rn = 1),
+promoted AS (SELECT c.*, 'model_' || (c.n % 20) AS destination,
+    row_number() OVER (PARTITION BY c.n % 20 ORDER BY c.name, c.version) AS place
+  FROM newest c JOIN newest o ON o.name = 'model_' || (c.n % 20) WHERE c.n >= 20 AND c.accuracy > o.accuracy),
+copies AS (SELECT destination AS name, (SELECT max(version) FROM versions v WHERE v.name = destination) + place AS version,
+  'Production' AS stage, run_id, kind, 'True' AS production FROM promoted)
+SELECT v.name, v.version, v.stage, v.run_id, v.kind, CASE WHEN p.name IS NOT NULL THEN 'True' END AS production
+FROM versions v LEFT JOIN promoted p ON v.name = p.name AND v.version = p.version UNION ALL SELECT * FROM copies""")
 def promote_version(spark, d):
+    """Models below number 20 are in production; the newest version of any other challenges one of them."""
     versions = fx.model_versions(spark, d)
-    newest = registry.latest_model_version(versions).select(
-        "name", F.col("version").alias("source_version"), F.col("accuracy").alias("new")
+    number = F.substring("name", 7, 20).cast("long")
+    newest = registry.latest_model_version(versions)
+    challengers = newest.filter(number >= 20).select(
+        "name", F.col("version").alias("source_version"), F.col("accuracy").alias("new"),
+        F.concat(F.lit("model_"), (number % 20).cast("string")).alias("destination"),
     )
-    champion = registry.model_version_by_stage(versions).select("name", F.col("accuracy").alias("old"))
-    decisions = newest.join(champion, "name").select(
-        "name", "source_version",
+    champions = newest.select(F.col("name").alias("destination"), F.col("accuracy").alias("old"))
+    decisions = challengers.join(champions, "destination").select(
+        "name", "source_version", "destination",
         F.when(F.col("new") > F.col("old"), "promote").otherwise("keep").alias("decision"),
     )
     promoted = registry.promote_version(versions, decisions, F.lit("2024-02-01 00:00:00"))
@@ -238,16 +251,65 @@ def promote_version(spark, d):
     )
 
 
-@query("model_drift_report", QUALITY)
+def _outcome_sql(alert):
+    """What follows from a CTE ``tests``."""
+    return f""",
+numbered AS (SELECT *, row_number() OVER (PARTITION BY report ORDER BY test) AS no FROM tests WHERE status = 'FAIL'),
+lines AS (SELECT *, no || '. ' || test || '  FAILED' || chr(10) || 'Description: ' || description || chr(10) AS line FROM numbered),
+blocks AS (SELECT report, count(*) AS num_fail, string_agg(line, '' ORDER BY no) AS fail_info FROM lines GROUP BY report)
+SELECT t.report, count(*) AS num_tests, coalesce(any_value(num_fail), 0)::BIGINT AS num_fail, coalesce(any_value(fail_info), '') AS fail_info,
+  coalesce(any_value(num_fail), 0) > 0 AS notify,
+  CASE WHEN any_value(num_fail) > 0 AND t.report = 'model_drift' THEN 'train' END AS request,
+  coalesce(any_value(num_fail), 0)::BIGINT AS alerts, CASE WHEN any_value(num_fail) > 0 THEN '{alert}' END AS alert_type
+FROM tests t LEFT JOIN blocks b ON t.report = b.report GROUP BY t.report"""
+
+
+def _outcome(tests):
+    """What follows from a report, with its alerts counted."""
+    sent = checks.alerts(tests, checks.alert_type_of(F.col("report")), "ops@example.org", F.lit("2024-01-01T00:00:00"))
+    counted = sent.groupBy("alert_type").agg(F.count("*").alias("alerts"))
+    outcome = reports.outcome(tests).withColumn("alert_type", F.when(F.col("notify"), checks.alert_type_of(F.col("report"))))
+    return outcome.join(counted, "alert_type", "left").withColumn("alerts", F.coalesce("alerts", F.lit(0).cast("long")))
+
+
+@query("model_drift_report", QUALITY.split("SELECT 'model_drift' AS report")[0].rstrip() + """,
+tests AS (SELECT 'model_drift' AS report, test, CASE WHEN round(value, 9) >= round(threshold, 9) THEN 'SUCCESS' ELSE 'FAIL' END AS status,
+  test || ' is ' || round(value, 4)::DECIMAL(18, 4)::VARCHAR || ', expected at least ' || round(threshold, 4)::DECIMAL(18, 4)::VARCHAR AS description
+  FROM pairs)""" + _outcome_sql("Model Drift Detected"))
 def model_drift_report(spark, d):
     reference, current = (
         df.withColumns({c: F.col(c).cast("double").cast("string") for c in ("label", "prediction")})
         for df in (fx.predictions(spark, d), fx.predictions_new(spark, d))
     )
-    return _quality_columns(reports.model_drift_report(reference, current))
-
-
-@query("data_drift_report")
+    return _outcome(reports.model_drift_report(reference, current))
+
+
+DATA_DRIFT = WITH + sql.LABELED + ", " + sql.ANNOTATIONS + f""",
+parsed AS (SELECT doc_id, coalesce(CASE pick WHEN 0 THEN greatest(a, b, c) WHEN 6 THEN a WHEN 7 THEN greatest(a, b)
+  WHEN 8 THEN b WHEN 9 THEN c WHEN 10 THEN a WHEN 11 THEN greatest(a, b) WHEN 12 THEN c END::DOUBLE, 0.0) AS confidence FROM annotations),
+snapshots AS (SELECT doc_id, lang, CASE WHEN {sql.u(3)} < 0.8 THEN label ELSE (label + 1) % 3 END AS prediction, confidence, NULL::VARCHAR AS unused
+  FROM (SELECT doc_id, lang, {sql.ENCODE} AS label FROM labeled) l JOIN parsed p USING (doc_id)),
+snap_ref AS (SELECT * FROM snapshots WHERE lang = 'en'), snap_cur AS (SELECT * FROM snapshots WHERE lang <> 'en'),
+""" + ", ".join([
+    sql.psi("snap_ref", "snap_cur", "prediction", "p1", True),
+    sql.psi("snap_ref", "snap_cur", "lang", "p2", True),
+    sql.psi("snap_ref", "snap_cur", "confidence", "p3", False),
+]) + """,
+cols AS (SELECT 'prediction' AS "column", psi AS value, psi >= 0.1 AS drifted FROM p1 UNION ALL SELECT 'lang', psi, psi >= 0.1 FROM p2
+  UNION ALL SELECT 'confidence', psi, psi >= 0.1 FROM p3 UNION ALL SELECT 'unused', NULL, true),
+tests AS (SELECT 'data_drift' AS report, 'drift:' || "column" AS test, CASE WHEN drifted THEN 'FAIL' ELSE 'SUCCESS' END AS status,
+    'Drift of ' || "column" || ' is ' || coalesce(round(value, 4)::DECIMAL(18, 4)::VARCHAR, 'unknown, it has no values on one side') || ', threshold 0.1000' AS description
+  FROM cols
+  UNION ALL SELECT 'data_drift', 'dataset_drift', CASE WHEN avg(drifted::INT) >= 0.5 THEN 'FAIL' ELSE 'SUCCESS' END,
+    'Share of drifted columns is ' || round(avg(drifted::INT), 4)::DECIMAL(18, 4)::VARCHAR FROM cols)"""
+
+
+@query("data_drift_report", DATA_DRIFT + _outcome_sql("Data Drift Detected"))
 def data_drift_report(spark, d):
-    reference, current = fx.shifted_batches(fx.predictions(spark, d))
-    return reports.data_drift_report(reference, current, categorical=["prediction", "lang"])
+    """From printed annotations to what is asked for; one monitored column has no values."""
+    scored = fx.predictions(spark, d).drop("confidence").join(fx.annotation_strings(spark, d), "doc_id")
+    scored = scored.withColumn("unused", F.lit(None).cast("string"))
+    reference, current = scored.filter("lang = 'en'"), scored.filter("lang <> 'en'")
+    return _outcome(reports.data_drift_report(
+        reference, current, categorical=["prediction", "lang", "unused"], text_col=None, annotation_col="category"
+    ))

@@ -128,7 +128,8 @@ def fold_assignment(spark, d):
 @query("fold_union", f"""
 SELECT doc_id, fold FROM (SELECT doc_id, floor({sql.u(42)} * 3)::INT AS fold FROM documents) WHERE fold <> 0""")
 def fold_union(spark, d):
-    return splits.fold_complement(fx.table(spark, d, "documents").select("doc_id"), "doc_id", k=3, held_out=0)
+    folds = splits.k_fold_split(fx.table(spark, d, "documents").select("doc_id"), "doc_id", k=3)
+    return splits.fold_union(folds, held_out=0)
 
 
 @query("missing_value_count", CODED + " SELECT count(*) FILTER (label IS NULL) AS missing FROM coded")
@@ -181,11 +182,23 @@ def exact_quantiles(spark, d):
 
 
 @query("dataset_summary_report", CODED + f""", facts AS (
-  SELECT count(*) FILTER (label IS NULL)::DOUBLE AS missing, min(length(body))::DOUBLE AS shortest
-  FROM coded WHERE label IS DISTINCT FROM 3)
-SELECT 'dataset_summary' AS report, 'missing_labels' AS test, CASE WHEN missing <= 0 THEN 'SUCCESS' ELSE 'FAIL' END AS status,
-  missing AS value, 0.0::DOUBLE AS threshold, 'missing_labels is ' || round(missing, 4)::DECIMAL(18, 4)::VARCHAR || ', limit 0.0000' AS description FROM facts
-UNION ALL SELECT 'dataset_summary', 'min_length', CASE WHEN shortest >= 1 THEN 'SUCCESS' ELSE 'FAIL' END,
-  shortest, 1.0, 'min_length is ' || round(shortest, 4)::DECIMAL(18, 4)::VARCHAR || ', limit 1.0000' FROM facts""")
+  SELECT count(*) FILTER (label IS NULL)::DOUBLE AS missing, min(length(body))::DOUBLE AS shortest,
+    count(*) AS n, count(DISTINCT label) AS labels, count(DISTINCT body) AS texts, count(DISTINCT length(body)) AS lengths
+  FROM coded WHERE label IS DISTINCT FROM 3),
+tests AS (SELECT 'dataset_summary' AS report, 'missing_labels' AS test, missing <= 0 AS ok,
+  'missing_labels is ' || round(missing, 4)::DECIMAL(18, 4)::VARCHAR || ', limit 0.0000' AS description FROM facts
+UNION ALL SELECT 'dataset_summary', 'min_length', shortest >= 1, 'min_length is ' || round(shortest, 4)::DECIMAL(18, 4)::VARCHAR || ', limit 1.0000' FROM facts),
+lines AS (SELECT row_number() OVER (ORDER BY test) AS no, * FROM tests WHERE NOT ok)
+SELECT 'dataset_summary' AS report, 2::BIGINT AS num_tests, (SELECT count(*) FROM lines) AS num_fail,
+  coalesce((SELECT string_agg(no || '. ' || test || '  FAILED' || chr(10) || 'Description: ' || description || chr(10), '' ORDER BY no) FROM lines), '') AS fail_info,
+  (SELECT count(*) FROM lines) > 0 AS notify, NULL::VARCHAR AS request,
+  [n, n, n] AS rows_profiled, [lengths, labels, texts] AS distinct_values FROM facts""")
 def dataset_summary_report(spark, d):
-    return reports.dataset_summary_report(_coded(spark, d).select("Label", "Text"))
+    rows = _coded(spark, d).select("Label", "Text")
+    profiled = reports.dataset_summary_profile(rows).groupBy().agg(
+        F.array_sort(F.collect_list(F.struct("column", "row_count", "distinct_values"))).alias("p")
+    )
+    shown = profiled.select(
+        F.lit("dataset_summary").alias("report"), F.col("p.row_count").alias("rows_profiled"), F.col("p.distinct_values").alias("distinct_values")
+    )
+    return reports.outcome(reports.dataset_summary_report(rows)).join(shown, "report")

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from ..constants import ACCURACY_GATE, ALERT_TYPES, QUALITY_TOLERANCE
 from .quality import METRICS, evaluate
 
-TEST_COLUMNS = ("report", "test", "status", "value", "threshold", "description")
-
-
 def status_of(passed: Column) -> Column:
     return F.when(passed, F.lit("SUCCESS")).otherwise(F.lit("FAIL"))
 
@@ -35,7 +32,8 @@ def drift_tests(columns: DataFrame, report: str = "data_drift") -> DataFrame:
         "value",
         "threshold",
         F.concat(
-            F.lit("Drift of "), F.col("column"), F.lit(" is "), shown(F.col("value")),
+            F.lit("Drift of "), F.col("column"), F.lit(" is "),
+            F.coalesce(shown(F.col("value")), F.lit("unknown, it has no values on one side")),
             F.lit(", threshold "), shown(F.col("threshold")),
         ).alias("description"),
     )

@@ -7,14 +7,13 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, StopWordsRemover, Tokenizer
+from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
     DRIFT_SHARE,
-    ENGLISH_STOP_WORDS,
     MAX_DISCRETE_VALUES,
     PSI_THRESHOLD,
     PSI_ZERO_SHARE,
@@ -22,6 +21,7 @@ from ..constants import (
 )
 from ..functions.hashing import unit_hash
 from ..session import materialize
+from .features import feature_tokens
 from .running import roc_auc
 
 _HASH_BITS = 32768
@@ -60,13 +60,15 @@ def _numeric_stats(sides: DataFrame, columns: Sequence[str]) -> dict:
     return sides.agg(*aggregates).first().asDict()
 
 
-def _numeric_key(sides: DataFrame, name: str, stats: dict) -> tuple[Column, int | None]:
+def _numeric_key(sides: DataFrame, name: str, stats: dict, max_discrete: int) -> tuple[Column, int | None]:
     """Bin number as the key, or the value itself where the reference has few values."""
     value = _finite(name)
-    few = stats[f"slots_{name}"] <= MAX_DISCRETE_VALUES
+    if not stats[f"n_{name}"]:
+        return F.lit(None).cast("string"), None
+    few = stats[f"slots_{name}"] <= max_discrete
     if few:
         values = sides.filter(F.col("_ref") & value.isNotNull()).select(value.alias("v")).distinct()
-        few = values.count() <= MAX_DISCRETE_VALUES
+        few = values.count() <= max_discrete
     if few:
         return value.cast("string"), None
     low, high = stats[f"lo_{name}"], stats[f"hi_{name}"]
@@ -87,11 +89,14 @@ def psi_table(
     categorical: Sequence[str] = (),
     numeric: Sequence[str] = (),
     threshold: float = PSI_THRESHOLD,
+    max_discrete: int = MAX_DISCRETE_VALUES,
 ) -> DataFrame:
     """Population stability index of each column: ``(column, value, threshold, drifted)``.
 
     All columns are counted in one pass over the two batches, and only counts
-    per bin or category are shuffled.
+    per bin or category are shuffled.  A column without values on one side has a
+    null value and counts as drifted.  A numeric column whose reference has at
+    most ``max_discrete`` distinct values is taken by value, any other in bins.
     """
     numeric = list(numeric)
     sides = _both_sides(reference, current, [*categorical, *numeric])
@@ -99,7 +104,7 @@ def psi_table(
     keys: dict[str, tuple[Column, int | None]] = {
         name: (F.col(name).cast("string"), None) for name in categorical
     }
-    keys.update({name: _numeric_key(sides, name, stats) for name in numeric})
+    keys.update({name: _numeric_key(sides, name, stats, max_discrete) for name in numeric})
 
     entries = F.array(*[
         F.struct(F.lit(name).alias("column"), key.alias("key")) for name, (key, _) in keys.items()
@@ -142,11 +147,12 @@ def psi_table(
         F.max("seen").alias("seen"),
     )
     empty_bins = F.coalesce(bin_count - F.col("seen"), F.lit(0))
-    return summed.select(
+    monitored = sides.sparkSession.createDataFrame([(name,) for name in keys], "column string")
+    return monitored.join(summed, "column", "left").select(
         "column",
         (F.col("seen_part") + empty_bins * F.col("empty_term")).alias("value"),
         F.lit(float(threshold)).alias("threshold"),
-    ).withColumn("drifted", F.col("value") >= F.col("threshold"))
+    ).withColumn("drifted", F.coalesce(F.col("value") >= F.col("threshold"), F.lit(True)))
 
 
 def psi_categorical(reference: DataFrame, current: DataFrame, column: str, threshold: float = PSI_THRESHOLD) -> DataFrame:
@@ -173,10 +179,8 @@ def domain_scores(
         )
         .filter(F.col("text").isNotNull())
     )
-    words = Tokenizer(inputCol="text", outputCol="words")
-    kept = StopWordsRemover(inputCol="words", outputCol="kept", stopWords=list(ENGLISH_STOP_WORDS))
-    counts = HashingTF(inputCol="kept", outputCol="counts", numFeatures=num_features)
-    hashed = counts.transform(kept.transform(words.transform(both)))
+    kept = feature_tokens(both, "text")
+    hashed = HashingTF(inputCol="filtered_words", outputCol="counts", numFeatures=num_features).transform(kept)
     vectors = materialize(hashed.select("key", "counts", "label"), "domain_vectors")
     in_train = unit_hash(seed, F.col("key")) < 0.5
     model = Pipeline(stages=[

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import CountVectorizerModel, HashingTF
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ENGLISH_STOP_WORDS, HASHING_FEATURES
@@ -13,7 +13,8 @@ from ..session import materialize
 from .lookup import lookup_join
 from .running import running_totals
 
-MAX_CANDIDATES = 50_000_000
+#: So many terms that share the last count are sorted by one task.
+SORTED_TIES = 50_000
 
 
 def tokenize(df: DataFrame, input_col: str = "Text", output_col: str = "words") -> DataFrame:
@@ -55,22 +56,47 @@ def count_vectorizer_vocab(docs: DataFrame, words_col: str = "filtered_words", s
     return top_terms(terms.agg(F.count(F.lit(1)).alias("count")), size)
 
 
-def top_terms(counts: DataFrame, size: int, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
-    """The ``size`` largest of ``(term, count)`` rows.
+def top_terms(counts: DataFrame, size: int, sorted_ties: int = SORTED_TIES) -> DataFrame:
+    """The ``size`` largest of ``(term, count)`` rows, in no particular order.
 
-    Every partition sends its own ``size`` best rows to the task that picks among
-    them.  Where that would be too many, the count of the last term in the
-    vocabulary is found first, from how many terms share each count, and only
-    terms that reach it are sent.
+    How many terms share each count shows where the vocabulary ends; of the
+    terms that share the last count the smallest are taken, up to a term that is
+    found by counting prefixes.  No task sees more than ``sorted_ties`` terms,
+    however many share a count.
     """
-    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if size * partitions > max_candidates:
-        counts = materialize(counts, "term_counts")
-        shared = counts.groupBy((-F.col("count")).cast("double").alias("order")).agg(F.count(F.lit(1)).alias("n"))
-        ahead = running_totals(materialize(shared, "terms_per_count"), "order", ["n"])
-        last = ahead.filter(F.col("before_n") < size).agg(F.max("order")).scalar()
-        counts = counts.filter(-F.col("count") <= last)
-    return counts.orderBy(F.desc("count"), F.asc("term")).limit(size)
+    counts = materialize(counts, "term_counts")
+    shared = counts.groupBy((-F.col("count")).cast("double").alias("order")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = running_totals(materialize(shared, "terms_per_count"), "order", ["n"])
+    found = ahead.filter(F.col("before_n") < size).agg(F.max_by(F.struct("order", "before_n", "n"), "order")).first()[0]
+    if found is None:
+        return counts
+    last, wanted = int(-found["order"]), size - found["before_n"]
+    ties = counts.filter(F.col("count") == last).select("term")
+    if found["n"] <= wanted:
+        return counts.filter(F.col("count") >= last)
+    within = F.col("term") <= _smallest_cut(ties, wanted, found["n"], sorted_ties)
+    return counts.filter((F.col("count") > last) | ((F.col("count") == last) & within))
+
+
+def _smallest_cut(terms: DataFrame, wanted: int, number: int, sorted_terms: int) -> str:
+    """The ``wanted``-th smallest of ``number`` distinct terms.
+
+    Counts by first character show in which group it lies; that group is cut by
+    its next character, until it is small enough to be sorted.
+    """
+    prefix = ""
+    while number > sorted_terms:
+        start = F.substring("term", 1, len(prefix) + 1)
+        groups = terms.filter(F.startswith("term", F.lit(prefix))).groupBy(start.alias("start")).count()
+        for row in sorted(groups.collect()):  # a row per character of the alphabet
+            if wanted <= row["count"]:
+                break
+            wanted -= row["count"]
+        if row["start"] == prefix:
+            return prefix
+        prefix, number = row["start"], row["count"]
+    rest = terms.filter(F.startswith("term", F.lit(prefix))).orderBy("term").limit(wanted)
+    return rest.agg(F.max("term")).first()[0]
 
 
 def vectorizer_from_vocab(vocab: DataFrame, input_col: str = "filtered_words", output_col: str = "features") -> CountVectorizerModel:
@@ -84,8 +110,8 @@ def term_frequencies(
 ) -> DataFrame:
     """Occurrences of each vocabulary term per document; ``vocab`` should be a written table."""
     words = docs.select(key, F.explode(words_col).alias("term"))
-    known = lookup_join(words, vocab.select("term"), "term", "inner")
-    return known.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return lookup_join(counted, vocab.select("term"), "term", "inner")
 
 
 def hashing_tf(
@@ -97,6 +123,12 @@ def hashing_tf(
     return HashingTF(inputCol=words_col, outputCol=output_col, numFeatures=num_features).transform(docs)
 
 
+def sparse_slots(vector_col: str) -> Column:
+    """Size, indices and values of a sparse vector column, without the zeros a dense array would hold."""
+    kind = f"{vector_col} struct<type: int, size: int, indices: array<int>, values: array<double>>"
+    return F.from_json(F.to_json(F.struct(vector_col)), kind)[vector_col]
+
+
 def idf_weights(docs: DataFrame, words_col: str = "filtered_words") -> DataFrame:
     """Documents per term and ``ln((m + 1) / (df + 1))``.
 

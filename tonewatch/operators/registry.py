@@ -7,7 +7,7 @@ no more than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import RUN_NAME_FORMAT
@@ -37,25 +37,38 @@ def model_version_by_stage(versions: DataFrame, stage: str = "Production") -> Da
 
 
 def promote_version(versions: DataFrame, decisions: DataFrame, updated_at: Column) -> DataFrame:
-    """Append, for each promoted ``(name, source_version)``, the next version in production.
+    """Tag each promoted version and append a copy of it to the production model.
 
-    ``decisions`` holds ``name, source_version, decision``, one row per model.
+    ``decisions`` holds ``name, source_version, destination, decision``; promoted
+    sources get the tag ``Production``, and ``destination`` their copies as its
+    next versions, in order of name and version.  A tag that is already there
+    stays, and missing tags count as none.
     """
-    highest = versions.groupBy("name").agg(F.max("version").alias("highest"))
-    promoted = decisions.filter(F.col("decision") == "promote").select("name", "source_version")
-    source = versions.select(
-        "name", F.col("version").alias("source_version"), "run_id", "accuracy", "tags"
+    promoted = decisions.filter(F.col("decision") == "promote").select(
+        "name", F.col("source_version").alias("version"), "destination"
+    ).distinct()
+    none = F.create_map().cast("map<string,string>")
+    others = F.map_filter(F.coalesce("tags", none), lambda key, _: key != "Production")
+    tagged = F.map_concat(others, F.create_map(F.lit("Production"), F.lit("True")))
+    marks = promoted.groupBy("name", "version").agg(F.lit(True).alias("_promoted"))
+    marked = versions.join(marks, ["name", "version"], "left").withColumn(
+        "tags", F.when(F.col("_promoted"), tagged).otherwise(F.col("tags"))
     )
-    copies = promoted.join(source, ["name", "source_version"]).join(highest, "name").select(
-        "name",
-        (F.col("highest") + 1).alias("version"),
-        F.lit("Production").alias("stage"),
-        "run_id",
-        updated_at.cast(versions.schema["last_updated_timestamp"].dataType).alias("last_updated_timestamp"),
-        "accuracy",
-        F.map_concat("tags", F.create_map(F.lit("Production"), F.lit("True"))).alias("tags"),
+    highest = versions.groupBy(F.col("name").alias("destination")).agg(F.max("version").alias("highest"))
+    place = F.row_number().over(Window.partitionBy("destination").orderBy("name", "version"))
+    copies = (
+        promoted.withColumn("place", place).join(versions, ["name", "version"])
+        .join(highest, "destination", "left").select(
+            F.col("destination").alias("name"),
+            (F.coalesce("highest", F.lit(0)) + F.col("place")).alias("version"),
+            F.lit("Production").alias("stage"),
+            "run_id",
+            updated_at.cast(versions.schema["last_updated_timestamp"].dataType).alias("last_updated_timestamp"),
+            "accuracy",
+            tagged.alias("tags"),
+        )
     )
-    return versions.unionByName(copies)
+    return marked.select(versions.columns).unionByName(copies.select(versions.columns))
 
 
 def run_name(started_at: Column) -> Column:

@@ -1,4 +1,4 @@
-"""The three monitoring reports.  Each returns test rows; alerts and requests follow from those."""
+"""The three monitoring reports.  Each returns test rows; ``outcome`` says what follows from them."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DRIFT_SHARE, EXCLUDED_CLASS, PSI_THRESHOLD, QUALITY_TOLERANCE, TEXT_DRIFT_THRESHOLD
+from ..functions.confidence import max_confidence_text
 from ..functions.labels import cast_label
-from ..operators.checks import drift_tests, model_quality_tests, shown, status_of
+from ..operators.checks import drift_tests, failure_block, model_quality_tests, retrain_signal, shown, status_of
 from ..operators.drift import dataset_drift_share, psi_table, text_content_drift
-from ..operators.profile import summary_tests
+from ..operators.profile import dataset_summary, summary_tests, text_length
 from ..session import materialize
 
 
@@ -25,8 +26,16 @@ def data_drift_report(
     threshold: float = PSI_THRESHOLD,
     text_threshold: float = TEXT_DRIFT_THRESHOLD,
     drift_share: float = DRIFT_SHARE,
+    annotation_col: str | None = None,
 ) -> DataFrame:
-    """One test per column and one for the share of drifted columns."""
+    """One test per column and one for the share of drifted columns.
+
+    With ``annotation_col`` the ``confidence`` comes from that printed annotation.
+    """
+    if annotation_col is not None:
+        reference, current = (
+            df.withColumn("confidence", max_confidence_text(F.col(annotation_col))) for df in (reference, current)
+        )
     columns = psi_table(reference, current, categorical, numeric, threshold)
     if text_col is not None:
         columns = columns.unionByName(text_content_drift(reference, current, text_col, key_col, text_threshold))
@@ -52,8 +61,30 @@ def model_drift_report(
     return model_quality_tests(as_codes(reference), as_codes(current), tolerance, average)
 
 
-def dataset_summary_report(clean: DataFrame) -> DataFrame:
-    """Tests of a ``(Label, Text)`` dataset without the excluded class; missing labels stay, to be seen."""
+def _summary_rows(clean: DataFrame) -> DataFrame:
     rows = clean.withColumnsRenamed({"Label": "label", "Text": "text"})
     rows = rows.withColumn("label", cast_label(F.col("label").cast("string")))
-    return summary_tests(rows.filter(~F.col("label").eqNullSafe(EXCLUDED_CLASS)))
+    return rows.filter(~F.col("label").eqNullSafe(EXCLUDED_CLASS))
+
+
+def dataset_summary_report(clean: DataFrame) -> DataFrame:
+    """Tests of a ``(Label, Text)`` dataset without the excluded class; missing labels stay, to be seen."""
+    return summary_tests(_summary_rows(clean))
+
+
+def dataset_summary_profile(clean: DataFrame) -> DataFrame:
+    """The profile that goes with ``dataset_summary_report``: a row per column of the same rows."""
+    rows = materialize(_summary_rows(clean).select("label", "text"), "summary_rows")
+    return dataset_summary(text_length(rows))
+
+
+def outcome(tests: DataFrame) -> DataFrame:
+    """One row per report: tests, failures with their text block, whether to notify, the request that follows."""
+    counted = tests.groupBy("report").agg(F.count(F.lit(1)).alias("num_tests"))
+    # A report has a fixed number of tests, so these tables hold a row per report.
+    signal = retrain_signal(tests).select("report", "num_fail", "notify", "request")
+    blocks = failure_block(tests).select("report", "fail_info")
+    joined = counted.join(signal, "report").join(blocks, "report", "left")
+    return joined.select(
+        "report", "num_tests", "num_fail", F.coalesce("fail_info", F.lit("")).alias("fail_info"), "notify", "request"
+    )

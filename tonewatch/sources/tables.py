@@ -1,22 +1,16 @@
-"""Parquet tables, spread over the cluster where their files alone would not be."""
+"""Parquet tables, dealt by a key where the caller asks for it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of an input that has fewer partitions than there are cores.
+def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
+    """A table as it lies, or dealt by the hash of ``spread_by``, whatever its size.
 
-    Work on texts is bound by the processor, and a small file, or one with a
-    single row group, is one task.  An input with partitions enough, as any large
-    one has, is returned as it is and nothing is shuffled.  ``key`` must be
-    unique or nearly so; later joins and groups on it then need no shuffle.
+    The caller names a key, unique or nearly so, where rows are taken apart and
+    brought together by it again: rows that stay on their key's partition need no
+    other shuffle, and a single small file no longer is one task's work.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() <= cores else df
-
-
-def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
     df = spark.read.parquet(path)
-    return df if spread_by is None else spread(df, spread_by)
+    return df if spread_by is None else df.repartition(spread_by)

@@ -39,12 +39,17 @@ def write_drift_snapshot(df: DataFrame, path: str, batch_id: str | None = None)
     df.write.mode("overwrite").parquet(path if batch_id is None else f"{path}/batch_id={batch_id}")
 
 
-def append_report(tests: DataFrame, path: str, timestamp: Column) -> None:
-    """Append test rows as JSON documents, in one folder per report type."""
+def append_report(tests: DataFrame, path: str, timestamp: Column, run_id: str) -> None:
+    """Add a run's test rows as JSON documents, in one folder per run and report type.
+
+    A run that is repeated replaces what it wrote before.
+    """
     body = F.to_json(F.struct(*[c for c in tests.columns if c != "report"], timestamp.alias("timestamp")))
-    tests.select("report", body.alias("value")).write.mode("append").partitionBy("report").text(path)
+    rows = tests.select("report", body.alias("value"))
+    rows.write.mode("overwrite").partitionBy("report").text(f"{path}/run_id={run_id}")
 
 
-def append_alert_log(alerts: DataFrame, path: str) -> None:
-    """Append alerts as JSON lines."""
-    alerts.select(F.to_json(F.struct(*alerts.columns)).alias("value")).write.mode("append").text(path)
+def append_alert_log(alerts: DataFrame, path: str, run_id: str) -> None:
+    """Add a run's alerts as JSON lines; a run that is repeated replaces its own."""
+    lines = alerts.select(F.to_json(F.struct(*alerts.columns)).alias("value"))
+    lines.write.mode("overwrite").text(f"{path}/run_id={run_id}")
