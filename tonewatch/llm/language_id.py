@@ -324,8 +324,14 @@ def fit(
     require(docs, [id_col, text_col, lang_col])
     known = docs.filter(training_rows(docs, id_col, lang_col) & F.col(text_col).isNotNull())
     keyed = known.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    sample = keyed.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= fitted + calibrated).collect()
+    keyed = keyed.withColumn("_hash", F.xxhash64("_id"))
+    # A language may have a third of all rows: only the share with the least hashes, some times the sample, is ranked.
+    rows = keyed.groupBy(F.col("_lang").alias("_of")).agg(F.count("*").alias("_rows"))
+    share = (F.col("_hash") / F.lit(2.0**64) + 0.5) * F.col("_rows")
+    few = keyed.join(rows, F.col("_lang") == F.col("_of")).filter(share < 4.0 * (fitted + calibrated) + 100)
+    order = Window.partitionBy("_lang").orderBy("_hash", "_id")
+    ranked = few.select("_id", "_lang", F.row_number().over(order).alias("_n"))
+    sample = ranked.filter(F.col("_n") <= fitted + calibrated).collect()
     if not sample:
         return None
     chosen = {x["_id"] for x in sample}
