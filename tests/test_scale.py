@@ -50,10 +50,12 @@ def test_salted_join_equals_broadcast_join(spark, how):
     rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i % 40}") for i in range(600)], "id int, k string")
     table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(30)], "k string, v int")
     small = lookup_join(rows, table, "k", how)
-    large = lookup_join(rows, table, "k", how, max_broadcast_bytes=0)
+    large = lookup_join(rows, table, "k", how, max_broadcast_bytes=0, rows_per_task=30)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     columns = ["id", "k", "v"]
     assert Counter(map(tuple, small.select(columns).collect())) == Counter(map(tuple, large.select(columns).collect()))
+    whole = lookup_join(rows, table, "k", how, max_broadcast_bytes=0)
+    assert Counter(map(tuple, whole.select(columns).collect())) == Counter(map(tuple, small.select(columns).collect()))
     assert small.count() == (600 if how == "left" else rows.filter("k = 'hot' or cast(substr(k, 2) as int) < 30").count())
 
 
@@ -140,6 +142,24 @@ def test_psi_leaves_out_missing_and_infinite_values(spark):
     assert drift.psi_numeric(a, b, "x").first()["value"] == pytest.approx(brute_psi(ref, cur, True), abs=1e-9)
 
 
+def test_psi_of_a_column_without_values_is_a_row(spark):
+    df = spark.createDataFrame([(i / 7, None, None) for i in range(100)], "x double, c string, y double")
+    rows = {r["column"]: r for r in drift.psi_table(df, df, ["c"], ["x", "y"]).collect()}
+    assert set(rows) == {"c", "x", "y"} and rows["x"]["value"] == 0 and not rows["x"]["drifted"]
+    assert all(rows[c]["value"] is None and rows[c]["drifted"] for c in "cy")
+    share = drift.dataset_drift_share(drift.psi_table(df, df, ["c"], ["x", "y"])).first()
+    assert (share["columns"], share["drifted_columns"]) == (3, 2)
+
+
+def test_psi_takes_few_values_as_they_are(spark):
+    values = [float([0, 1, 2, 100][i % 4]) for i in range(200)]
+    fewer = [v for v in values if v != 1]
+    df, other = (spark.createDataFrame([(v,) for v in x], "x double") for x in (values, fewer))
+    one, two = (drift.psi_table(df, other, numeric=["x"], max_discrete=n).first()["value"] for n in (20, 3))
+    assert one == pytest.approx(brute_psi(values, fewer, False))
+    assert two < one / 2
+
+
 def test_psi_against_an_empty_batch_does_not_fail(spark):
     df = spark.createDataFrame([(i / 7, str(i % 3)) for i in range(100)], "x double, c string")
     assert drift.psi_table(df, df.limit(0), ["c"], ["x"]).count() == 2

@@ -40,7 +40,7 @@ def _finite(name: str) -> Column:
     return F.when(F.abs(value) < float("inf"), value)
 
 
-def _numeric_stats(sides: DataFrame, columns: Sequence[str]) -> dict:
+def _numeric_stats(sides: DataFrame, columns: Sequence[str], max_discrete: int) -> dict:
     """Range, size and a lower bound of the reference's distinct values: one row for all columns.
 
     The bound counts the hash slots that were hit.  Different slots hold
@@ -57,19 +57,22 @@ def _numeric_stats(sides: DataFrame, columns: Sequence[str]) -> dict:
             F.count(value).alias(f"n_{name}"),
             F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(slot))).alias(f"slots_{name}"),
         ]
-    return sides.agg(*aggregates).first().asDict()
+    stats = sides.agg(*aggregates).first().asDict()
+    for name in columns:
+        stats[f"distinct_{name}"] = stats[f"slots_{name}"]
+    unsure = [name for name in columns if stats[f"slots_{name}"] <= max_discrete]
+    if unsure:  # few slots may hold many values: one more pass for all such columns
+        exact = [F.count_distinct(_finite(name)).alias(f"distinct_{name}") for name in unsure]
+        stats.update(sides.filter("_ref").agg(*exact).first().asDict())
+    return stats
 
 
-def _numeric_key(sides: DataFrame, name: str, stats: dict, max_discrete: int) -> tuple[Column, int | None]:
+def _numeric_key(name: str, stats: dict, max_discrete: int) -> tuple[Column, int | None]:
     """Bin number as the key, or the value itself where the reference has few values."""
     value = _finite(name)
     if not stats[f"n_{name}"]:
         return F.lit(None).cast("string"), None
-    few = stats[f"slots_{name}"] <= max_discrete
-    if few:
-        values = sides.filter(F.col("_ref") & value.isNotNull()).select(value.alias("v")).distinct()
-        few = values.count() <= max_discrete
-    if few:
+    if stats[f"distinct_{name}"] <= max_discrete:
         return value.cast("string"), None
     low, high = stats[f"lo_{name}"], stats[f"hi_{name}"]
     bins = math.ceil(math.log2(stats[f"n_{name}"]) + 1)
@@ -100,11 +103,11 @@ def psi_table(
     """
     numeric = list(numeric)
     sides = _both_sides(reference, current, [*categorical, *numeric])
-    stats = _numeric_stats(sides, numeric) if numeric else {}
+    stats = _numeric_stats(sides, numeric, max_discrete) if numeric else {}
     keys: dict[str, tuple[Column, int | None]] = {
         name: (F.col(name).cast("string"), None) for name in categorical
     }
-    keys.update({name: _numeric_key(sides, name, stats, max_discrete) for name in numeric})
+    keys.update({name: _numeric_key(name, stats, max_discrete) for name in numeric})
 
     entries = F.array(*[
         F.struct(F.lit(name).alias("column"), key.alias("key")) for name, (key, _) in keys.items()
