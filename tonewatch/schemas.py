@@ -7,26 +7,3 @@ RAW_COMMENTS = T.StructType([
     T.StructField("Label", T.StringType()),
     T.StructField("Text", T.StringType()),
 ])
-
-CLEAN_COMMENTS = T.StructType([
-    T.StructField("Label", T.IntegerType()),
-    T.StructField("Text", T.StringType()),
-])
-
-ANNOTATION = T.StructType([
-    T.StructField("annotatorType", T.StringType()),
-    T.StructField("begin", T.IntegerType()),
-    T.StructField("end", T.IntegerType()),
-    T.StructField("result", T.StringType()),
-    T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("embeddings", T.ArrayType(T.FloatType())),
-])
-
-TEST_RESULT = T.StructType([
-    T.StructField("report", T.StringType()),
-    T.StructField("test", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("value", T.DoubleType()),
-    T.StructField("threshold", T.DoubleType()),
-    T.StructField("description", T.StringType()),
-])
