@@ -49,6 +49,17 @@ def test_filter_on_cleaned_text_runs_no_pattern_twice(spark, sf_dir):
     assert cleaned == filtered == 5
 
 
+@pytest.mark.parametrize("name", ["lemmatize", "token_embeddings"])
+def test_words_meet_again_where_their_document_lies(spark, sf_dir, name):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    exchanges = []
+    for size in (before, "20k"):  # one partition, or many
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        exchanges.append(plan_of(QUERIES[name](spark, sf_dir)).count("Exchange hashpartitioning(doc_id"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert exchanges[0] == exchanges[1] <= 2
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     raw = fx.table(spark, sf_dir, "documents").select(
         F.col("source").alias("Product"), F.col("lang").alias("Label"), F.col("text").alias("Text")

@@ -72,3 +72,15 @@ def test_token_vectors_and_pooling(spark):
     total = {r["doc_id"]: r["embedding"] for r in annotate.sentence_embedding(known, strategy="SUM").collect()}
     assert average == {1: [2.0, 3.0], 2: [1.0, 2.0]}
     assert total == {1: [4.0, 6.0], 2: [1.0, 2.0]}
+
+
+@pytest.mark.parametrize("strategy", ["AVERAGE", "SUM"])
+def test_counted_tokens_pool_like_single_ones(spark, strategy):
+    single = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [4.0, 0.0]), (2, [3.0, 3.0])], "doc_id int, vector array<double>")
+    counted = single.groupBy("doc_id", "vector").agg(F.count("*").alias("n"))
+    pooled = [
+        {r["doc_id"]: r["embedding"] for r in annotate.sentence_embedding(df, strategy=strategy, times_col=times).collect()}
+        for df, times in ((single, None), (counted, "n"))
+    ]
+    assert pooled[0].keys() == pooled[1].keys()
+    assert all(pooled[0][k] == pytest.approx(pooled[1][k]) for k in pooled[0])

@@ -137,7 +137,8 @@ def train_nn_classifier(spark, d):
     vectors = fx.vector_table(spark, d)
     slots = vectors.agg(F.count(F.lit(1))).scalar()
     tokens = words.select("doc_id", fx.hash_bucket(F.col("term"), slots).alias("bucket"))
-    pooled = annotate.sentence_embedding(annotate.token_embeddings(tokens, vectors, on="bucket"))
+    counted = tokens.groupBy("doc_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    pooled = annotate.sentence_embedding(annotate.token_embeddings(counted, vectors, on="bucket"), times_col="n")
     labelled = materialize(
         pooled.join(rows.select("doc_id", F.col("Label").alias("label")), "doc_id"), "sentence_vectors"
     )
