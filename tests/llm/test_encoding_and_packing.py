@@ -162,3 +162,14 @@ def test_digests(documents, spark, sf_dir):
         r = found[d["doc_id"]]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_a_worker_keeps_one_table_of_words():
+    from tonewatch.llm import common, encoding, words
+
+    encoding.encoder(WORDS).encode(["a b c"])
+    assert encoding._encoders
+    words.word_hashes([b"a", b"b"])
+    assert not encoding._encoders and len(words._hashes) == 2
+    encoding.encoder(WORDS)
+    assert not words._hashes and list(common._holders) == ["encoder"]

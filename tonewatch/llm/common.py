@@ -16,6 +16,21 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 Batches = Iterator[pa.RecordBatch]
 
 
+_holders: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, forget: Callable[[], None]) -> None:
+    """Say that this worker keeps a table of remembered words, and how to forget it.
+
+    A worker runs tasks of many operators one after the other; only the table of
+    the last one stays, so their sizes do not add up.
+    """
+    if len(_holders) != 1 or owner not in _holders:
+        for other in [x for x in _holders if x != owner]:
+            _holders.pop(other)()
+        _holders[owner] = forget
+
+
 def arrow_map(df: DataFrame, function: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` whose workers find this package where the driver has it installed."""
     environment = df.sparkSession.sparkContext.environment

@@ -14,7 +14,9 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 
-REMEMBERED = 500_000
+from .common import hold
+
+REMEMBERED = 400_000
 #: Longer parts are encoded each time they occur.
 LONGEST_REMEMBERED = 48
 BYTES_PER_ID = 4
@@ -120,6 +122,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file."""
+    hold("encoder", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

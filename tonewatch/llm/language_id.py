@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, arrow_map, require
+from .common import Batches, arrow_map, hold, require
 
 ORDER = 5
 #: Documents per language that the models are learned from, and that score and rejection are calibrated on.
@@ -32,7 +32,7 @@ FITTED, CALIBRATED = 300, 150
 DEVIATIONS, TOWARDS_RANDOM = 6.0, 0.6
 UNKNOWN = "und"
 
-_REMEMBERED = 300_000
+_REMEMBERED = 200_000
 #: Texts are taken together up to so many tokens.
 _TOKENS_AT_ONCE = 1 << 16
 _MULTIPLIER = 0xD6E8FEB86659FD93
@@ -373,6 +373,7 @@ def _judge(model: Model | None, ids: pa.Array, texts: Sequence[str | None]) -> l
     if model is None:
         return [ids, pa.array([UNKNOWN] * number), pa.array([0.0] * number),
                 pa.array([None] * number, pa.float64()), pa.array([False] * number)]
+    hold("language", _scorers.clear)
     if id(model) not in _scorers:
         _scorers.clear()
         _scorers[id(model)] = Scorer(model)

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 import numpy as np
 import xxhash
 
-_REMEMBERED = 500_000
+from .common import hold
+
+_REMEMBERED = 300_000
 _LONGEST_REMEMBERED = 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -28,6 +30,7 @@ _hashes = _Hashes()
 
 
 def word_hashes(words: Sequence[bytes]) -> np.ndarray:
+    hold("words", _hashes.clear)
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
