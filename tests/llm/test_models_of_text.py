@@ -250,3 +250,23 @@ def test_gibberish_is_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     noise = spark.createDataFrame([(1, "xqzkv wjqpx zzxqk vvqjw " * 30)], "doc_id long, text string")
     assert not language_id.identify(noise, language_id.fit(docs)).first()["accepted"]
+
+
+def test_runs_of_a_fixed_count_are_learned_at_any_size(spark):
+    passage = "orchids bloom quietly behind seven old harbour walls"
+    base = [corpus.words(i, 1000, 300) for i in range(20)]
+    gains = []
+    for number in (50, 1000):  # the passage is as often there, the rest of the corpus grows
+        rows = [(i, base[i % 20], None, None) for i in range(number)]
+        rows += [(5000 + i, passage, None, None) for i in range(14)]
+        found = suffix_tree.score(corpus.table(spark, rows)).filter("doc_id = 5000").first()
+        gains.append(found["score"] - found["base_score"])
+    assert min(gains) > 10 and max(gains) < 1.5 * min(gains) + 10
+
+
+@pytest.mark.parametrize("sent", [1.0, 0.005])
+def test_joined_runs_score_like_sent_ones(spark, monkeypatch, sent):
+    monkeypatch.setattr(suffix_tree, "SENT_SHARE", sent)
+    monkeypatch.setattr(suffix_tree, "_MOST_FILTER_BITS", 1024)
+    monkeypatch.setattr(suffix_tree, "_TALLIED", 500)
+    test_tree_equals_plain_tree(spark, (0.002, 0.0005))

@@ -1,24 +1,28 @@
 """A probabilistic suffix tree over words, learned from a corpus, that scores whole texts.
 
 Symbols are words, and one end per text.  A context of up to ``DEPTH`` words is
-a candidate if it makes up at least ``CONTEXT_SHARE`` of the training tokens.  It
-becomes a state if what follows it diverges from what follows the context
+a candidate if it occurs at least ``CONTEXT_COUNT`` times in the training texts.
+It becomes a state if what follows it diverges from what follows the context
 without its first word, and so do the states on its way to the root.  A state
-keeps the symbols that follow it in at least ``NEXT_SHARE`` of the training
-tokens, discounted; the mass this leaves goes to the next shorter state.  The
-root is the add-one distribution of all words of the corpus.  A token is scored
-by the state of the longest suffix of what precedes it.
-
-Shares, not counts, bound a level: it has at most ``1 / CONTEXT_SHARE`` states
-and ``1 / NEXT_SHARE`` transitions, whatever the corpus holds, so levels are
-broadcast.  The root is not bounded: words under ``NEXT_SHARE`` stay in Spark,
-and their part of each text is joined to it by hash.
-
-Words are told apart by their 64-bit hashes.
+keeps the symbols that follow it at least ``NEXT_COUNT`` times, discounted; the
+mass this leaves goes to the next shorter state.  The root is the add-one
+distribution of all words of the corpus.  A token is scored by the state of the
+longest suffix of what precedes it.
+
+These counts do not depend on the size of the corpus, so contexts and
+transitions grow with it.  They are Spark tables by the hash of their words.
+The log probability of a text is a sum over its runs of words: a run adds the
+log of what it leaves to shorter states, and how much likelier its last word is
+than by the state before.  So one table of weights by run scores all texts.
+Runs that make up at least ``SENT_SHARE`` of the tokens, a bounded number, are
+sent to the tasks; each text's other runs are joined to the table by hash.
+
+Words, and runs of words, are told apart by their 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -26,49 +30,44 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import Batches, arrow_map, require
+from .common import Batches, arrow_map, partitions_for, require
 
 DEPTH = 2
-CONTEXT_SHARE = 2e-5
-NEXT_SHARE = 1e-6
+CONTEXT_COUNT = 8
+NEXT_COUNT = 3
 #: Least divergence, in nats, that makes a context a state.
 DIVERGENCE = 0.02
 DISCOUNT = 0.75
 
 #: The end of a text; no word holds white space.
 END = xxhash.xxh64_intdigest(b"\n")
-_RARE = -1
-_ID_BITS = 20
+#: Runs with this share of the tokens are sent to all tasks: at most a million of each length.
+SENT_SHARE = 1e-6
+#: Bits of a filter: so many for a key, and at most so many; a full one only lets more keys pass.
+_FILTER_BITS, _MOST_FILTER_BITS = 16, 1 << 27
 _REMEMBERED = 200_000
 _LONGEST_REMEMBERED = 64
 _TOKENS_AT_ONCE = 1 << 18
 _TALLIED = 1_000_000
-
-
-class Level(NamedTuple):
-    """Contexts of one length: where they are found, what follows them, and what is left for shorter ones."""
-
-    contexts: np.ndarray  # sorted keys: context without its last word, that word
-    kept: np.ndarray  # whether it is a state
-    log_rest: np.ndarray  # log10 of the mass for the next shorter state
-    transitions: np.ndarray  # sorted keys: context, next symbol
-    log_chance: np.ndarray
+#: Texts of this many bytes are counted by one task after the shuffle, from so many blocks of each sender.
+_BYTES_PER_COUNTER = 8 << 20
+_BLOCKS = 4
 
 
 class Tree(NamedTuple):
+    """What is learned: ``weights(key, n, base, score)`` of words and runs, over the weight of an unseen word."""
+
     tokens: int
     words: int
-    hashes: np.ndarray  # of frequent symbols, sorted
-    counts: np.ndarray
-    levels: list[Level]
+    weights: DataFrame
 
     @property
-    def total(self) -> float:
-        return float(self.tokens + self.words + 1)
+    def unseen(self) -> float:
+        return -float(np.log10(self.tokens + self.words + 1))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,20 +75,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-class _Symbols(dict):
-    """Places of words among the sorted ``hashes``, ``_RARE`` for others; words met lately are remembered."""
-
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.places = dict(zip(hashes.tolist(), range(len(hashes)), strict=True))
-        self.end = self.places.get(END, _RARE)
+class _Hashes(dict):
+    """Hashes of words; those met lately are remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        place = self.places.get(xxhash.xxh64_intdigest(word), _RARE)
+        value = xxhash.xxh64_intdigest(word)
         if len(word) <= _LONGEST_REMEMBERED:
             if len(self) >= _REMEMBERED:
                 self.clear()
-            self[word] = place
-        return place
+            self[word] = value
+        return value
 
 
 def _slices(batches: Batches, columns: Sequence[str]) -> Iterator[tuple[list, list[list[bytes]]]]:
@@ -107,10 +102,30 @@ def _slices(batches: Batches, columns: Sequence[str]) -> Iterator[tuple[list, li
         yield rows, words
 
 
-def _places(symbols: _Symbols, words: list[list[bytes]]) -> np.ndarray:
-    """Symbols of all texts, each followed by the end."""
-    find = symbols.__getitem__
-    return np.fromiter((p for own in words for p in (*map(find, own), symbols.end)), np.int64)
+def _symbols(known: _Hashes, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the symbols of all texts, each followed by the end; their places in their texts; the texts' sizes."""
+    find = known.__getitem__
+    sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+    hashes = np.fromiter((h for own in words for h in (*map(find, own), END)), np.uint64, int(sizes.sum()))
+    return hashes, np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
+
+
+def _longer(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Keys of runs by those of all but their last symbol."""
+    return (context << np.uint64(1) | context >> np.uint64(63)) ^ symbol
+
+
+def _longer_sql(context: Column, symbol: Column) -> Column:
+    turned = F.shiftleft(context, 1).bitwiseOR(F.shiftrightunsigned(context, 63))
+    return turned.bitwiseXOR(symbol)
+
+
+def _runs(hashes: np.ndarray, longest: int) -> list[np.ndarray]:
+    """For each length the key of the run that ends at each symbol; only those within a text mean something."""
+    found = [hashes]
+    for _ in range(longest - 1):
+        found.append(_longer(np.concatenate([found[-1][:1], found[-1][:-1]]), hashes))
+    return found
 
 
 class _Tally:
@@ -152,150 +167,219 @@ def _counted(docs: DataFrame, keys_of) -> DataFrame:
 
 
 def _word_keys():
-    known: dict[bytes, int] = {}
+    known = _Hashes()
+    return lambda words: _symbols(known, words)[0].view(np.int64)
 
-    def find(words: list[list[bytes]]) -> np.ndarray:
-        if len(known) > _REMEMBERED:
-            known.clear()
-        for own in words:
-            known.update((w, xxhash.xxh64_intdigest(w)) for w in set(own).difference(known))
-        hashes = np.fromiter((known[w] for own in words for w in own), np.uint64)
-        return np.concatenate([hashes, np.full(len(words), END, np.uint64)]).view(np.int64)
 
-    return find
+class _Filter:
+    """Lets pass all keys it was made of, and few others."""
 
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.mask = bits, np.uint64(64 * len(bits) - 1)
 
-def _key(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return (context << _ID_BITS) | symbol
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & self.mask
+        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted key, -1 where it is not."""
-    if not len(sorted_keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == wanted, at, -1)
+def _filter(keys: DataFrame) -> _Filter:
+    """Filter of ``keys(key)``, combined in Spark; the driver sees its words, a bounded number."""
+    size = 1024
+    wanted = min(keys.count() * _FILTER_BITS, _MOST_FILTER_BITS)
+    while size < wanted:
+        size *= 2
+    at = F.col("key").bitwiseAND(F.lit(size - 1))
+    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
+    found = keys.select(F.shiftright(at, 6).alias("word"), bit.alias("bit"))
+    found = found.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return _Filter(bits)
 
 
-def _contexts(levels: Sequence[np.ndarray], places: np.ndarray) -> list[np.ndarray]:
-    """For each length the context that ends right before each symbol, -1 for none."""
-    found, ends = [], np.zeros(len(places), np.int64)  # the root ends everywhere
-    for n, keys in enumerate(levels):
-        before = ends if n == 0 else np.concatenate([[-1], ends[:-1]])
-        there = (before >= 0) & (places >= 0)
-        ends = np.full(len(places), -1, np.int64)
-        ends[there] = _find(keys, _key(before[there], places[there]))
-        found.append(np.concatenate([[-1], ends[:-1]]))
-    return found
+class _Pairs:
+    """Counts of (context, symbol), by the key of both together."""
 
+    def __init__(self) -> None:
+        self.held = [np.empty(0, np.uint64)] * 3 + [np.empty(0, np.int64)]
+        self.waiting: list[list[np.ndarray]] = []
+        self.size = 0
 
-def _transition_keys(hashes: np.ndarray, levels: Sequence[np.ndarray]):
-    def start():
-        symbols = _Symbols(hashes)
+    def add(self, context: np.ndarray, symbol: np.ndarray, n: np.ndarray | None = None) -> None:
+        key = _longer(context, symbol)
+        if n is None:
+            key, at, n = np.unique(key, return_index=True, return_counts=True)
+            context, symbol = context[at], symbol[at]
+        self.waiting.append([key, context, symbol, n])
+        self.size += len(key)
+        if self.size > _TALLIED // 2:
+            self.settle()
 
-        def find(words: list[list[bytes]]) -> np.ndarray:
-            places = _places(symbols, words)
-            context = _contexts(levels, places)[-1]
-            there = (context >= 0) & (places >= 0)
-            return _key(context[there], places[there])
+    def settle(self) -> None:
+        key, context, symbol, n = (np.concatenate(x) for x in zip(self.held, *self.waiting, strict=True))
+        key, at, of = np.unique(key, return_index=True, return_inverse=True)
+        self.held = [key, context[at], symbol[at], np.bincount(of, n, len(key)).astype(np.int64)]
+        self.waiting, self.size = [], 0
 
-        return find
 
-    return start
+_BLOCK = "block int, context binary, symbol binary, n binary"
+_PAIR = "key long, context long, symbol long, n long"
 
 
-def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that occur at least ``least`` times, sorted; a share of the tokens bounds how many there are."""
-    found = counts.filter(F.col("n") >= least).toArrow()
-    keys, n = found["key"].to_numpy(), found["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
+def _pairs(docs: DataFrame, length: int, contexts, counters: int, least: float) -> DataFrame:
+    """``_PAIR`` of what follows runs of ``length`` words that pass the filter, at least ``least`` times.
+
+    Tasks send blocks of sorted pairs instead of rows, dealt by the hash of the pair.
+    """
+    blocks = counters * _BLOCKS
+
+    def sent(tally: _Pairs) -> Iterator[pa.RecordBatch]:
+        tally.settle()
+        key, context, symbol, n = tally.held
+        block = (key >> np.uint64(20)) % np.uint64(blocks)
+        order = np.lexsort((context, block))
+        block, context, symbol, n = block[order], context[order], symbol[order], n[order].astype(np.uint32)
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(block)]
+        if len(block):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block[starts].astype(np.int32))]
+                + [pa.array([x[i:j].tobytes() for i, j in zip(starts, ends, strict=True)]) for x in (context, symbol, n)],
+                ["block", "context", "symbol", "n"],
+            )
+
+    def send(batches: Batches) -> Batches:
+        known, passing, tally = _Hashes(), contexts.value, _Pairs()
+        for _, words in _slices(batches, []):
+            hashes, place, _ = _symbols(known, words)
+            at = np.flatnonzero(place >= length)
+            context = _runs(hashes, length)[-1][at - 1]
+            there = passing.passes(context)
+            tally.add(context[there], hashes[at[there]])
+            if len(tally.held[0]) > _TALLIED:
+                yield from sent(tally)
+                tally = _Pairs()
+        yield from sent(tally)
+
+    def count(batches: Batches) -> Batches:
+        tally = _Pairs()
+        for batch in batches:
+            for context, symbol, n in zip(batch["context"], batch["symbol"], batch["n"], strict=True):
+                tally.add(
+                    np.frombuffer(context.as_py(), np.uint64), np.frombuffer(symbol.as_py(), np.uint64),
+                    np.frombuffer(n.as_py(), np.uint32).astype(np.int64),
+                )
+        tally.settle()
+        enough = tally.held[3] >= least
+        key, context, symbol, n = (x[enough].view(np.int64) for x in tally.held)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, context, symbol, n)], ["key", "context", "symbol", "n"])
+
+    dealt = arrow_map(docs.select("text"), send, _BLOCK).repartition(counters, "block")
+    return arrow_map(dealt, count, _PAIR)
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Shuffle files of tables that are written and out of use leave the disk when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def learn(
-    docs: DataFrame, depth: int = DEPTH, context_share: float = CONTEXT_SHARE, next_share: float = NEXT_SHARE,
-    divergence: float = DIVERGENCE,
-) -> tuple[Tree, DataFrame]:
-    """The tree of ``docs(text)`` and the counts ``(key, n)`` of all its words.
+    docs: DataFrame, depth: int = DEPTH, context_share: float = 0.0, next_share: float = 0.0,
+    divergence: float = DIVERGENCE, context_count: int = CONTEXT_COUNT, next_count: int = NEXT_COUNT,
+) -> Tree:
+    """The tree of ``docs(text)``; shares of the tokens can ask for more than the counts do.
 
     One pass over the texts counts words, and one each level's transitions.
     """
+    spark = docs.sparkSession
     words = materialize(_counted(docs, _word_keys), "word_counts")
     tokens, number = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    keys, counts = _frequent(words, max(next_share * tokens, 1))
-    hashes = keys.view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
-    root = (counts + 1) / (tokens + number + 1)
-    may_precede = hashes != np.uint64(END)
-    enough = (counts >= context_share * tokens) & may_precede
-    contexts, totals = [np.flatnonzero(enough)], [counts[enough]]
-    found = []  # transitions of each level, with their counts
-    for n in range(depth):
-        if not len(contexts[n]):
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    counters = partitions_for(spark, size, _BYTES_PER_COUNTER)
+    enough, least = max(context_share * tokens, context_count), max(next_share * tokens, next_count)
+    # Runs of one more word at each level, with their chance and the run without its first word.
+    below = words.select("key", "n", ((F.col("n") + 1) / F.lit(float(tokens + number + 1))).alias("chance"))
+    below = below.withColumn("shorter", F.lit(None).cast("long"))
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    for length in range(1, depth + 1):
+        contexts = below.filter(F.col("n") >= enough).select(
+            F.col("key").alias("context"), F.col("n").alias("total"), F.col("shorter").alias("up")
+        )
+        if contexts.isEmpty():
             break
-        least = max(next_share * tokens, 1)
-        found.append(_frequent(_counted(docs, _transition_keys(hashes, contexts[: n + 1])), least))
-        key, times = found[-1]
-        enough = (times >= context_share * tokens) & may_precede[key & ((1 << _ID_BITS) - 1)]
-        contexts.append(key[enough])
-        totals.append(times[enough])
-    return Tree(tokens, number, hashes, counts, _levels(root, contexts, totals, found, divergence)), words
-
-
-def _levels(root, contexts, totals, found, divergence: float) -> list[Level]:
-    """Test the candidates, smooth what follows the states.  ``found`` has keys and counts of each level."""
-    symbol_of = (1 << _ID_BITS) - 1
-    shorter: list[np.ndarray] = []  # each context without its first word, a place one level up
-    for n in range(len(found)):
-        if n == 0:
-            shorter.append(np.zeros(len(contexts[0]), np.int64))
-            continue
-        prefix, last = contexts[n] >> _ID_BITS, contexts[n] & symbol_of
-        up = shorter[n - 1][prefix] if n > 1 else np.zeros(len(prefix), np.int64)
-        shorter.append(_find(contexts[n - 1], _key(up, last)))
-
-    def smooth(kept: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        chances, rests = [], []
-
-        def chance(level: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-            if level < 0:
-                return root[symbol]
-            at = _find(found[level][0], _key(context, symbol))
-            there = (at >= 0) & kept[level][context]
-            value = np.empty(len(context))
-            value[there] = chances[level][at[there]]
-            away = ~there
-            rest = np.where(kept[level][context[away]], rests[level][context[away]], 1.0)
-            value[away] = rest * chance(level - 1, shorter[level][context[away]], symbol[away])
-            return value
-
-        for n, (key, times) in enumerate(found):
-            context, symbol = key >> _ID_BITS, key & symbol_of
-            share = (times - DISCOUNT) / totals[n][context]
-            rests.append(1.0 - np.bincount(context, share, len(contexts[n])))
-            chances.append(share + rests[n][context] * chance(n - 1, shorter[n][context], symbol))
-            if measure is not None:
-                below = chance(n - 1, shorter[n][context], symbol)
-                p = times / totals[n][context]
-                gain = np.bincount(context, p * np.log(p / below), len(contexts[n]))
-                left = np.maximum(1 - np.bincount(context, p, len(contexts[n])), 0)
-                left_below = np.maximum(1 - np.bincount(context, below, len(contexts[n])), 1e-12)
-                gain += np.where(left > 0, left * np.log(np.maximum(left, 1e-300) / left_below), 0.0)
-                measure.append(gain)
-        return chances, rests
-
-    measure: list[np.ndarray] | None = []
-    smooth([np.ones(len(c), bool) for c in contexts])
-    kept = [gain >= divergence for gain in measure]
-    for n in range(len(kept) - 1, 0, -1):
-        kept[n - 1][shorter[n][kept[n]]] = True
-    measure = None
-    chances, rests = smooth(kept)
-    return [
-        Level(contexts[n], kept[n], np.log10(np.maximum(rests[n], 1e-300)), found[n][0], np.log10(chances[n]))
-        for n in range(len(found))
-    ]
+        passing = spark.sparkContext.broadcast(_filter(contexts.select(F.col("context").alias("key"))))
+        pairs = _pairs(docs, length, passing, counters, min(least, enough)).join(contexts, "context")
+        shorter = F.col("symbol") if length == 1 else _longer_sql(F.col("up"), F.col("symbol"))
+        shorts = below.select(F.col("key").alias("shorter"), F.col("chance").alias("below"))
+        runs = materialize(pairs.withColumn("shorter", shorter).drop("symbol").join(shorts, "shorter"), "runs")
+        p = F.col("n") / F.col("total")
+        sums = runs.filter(F.col("n") >= least).groupBy("context").agg(
+            F.any_value("up").alias("up"), F.any_value("total").alias("total"),
+            F.sum((F.col("n") - DISCOUNT) / F.col("total")).alias("taken"),
+            F.sum(p * F.log(p / F.col("below"))).alias("gain"), F.sum(p).alias("p"), F.sum("below").alias("q"),
+        )
+        left, left_below = F.greatest(1 - F.col("p"), F.lit(0.0)), F.greatest(1 - F.col("q"), F.lit(1e-12))
+        gain = F.col("gain") + F.when(left > 0, left * F.log(left / left_below)).otherwise(0.0)
+        states = materialize(
+            sums.select("context", "up", "total", (1 - F.col("taken")).alias("rest"), gain.alias("gain")), "states"
+        )
+        del pairs, sums
+        _let_go(spark)
+        share = F.when(F.col("n") >= least, (F.col("n") - DISCOUNT) / F.col("total")).otherwise(0.0)
+        chance = share + F.coalesce("rest", F.lit(1.0)) * F.col("below")
+        runs = runs.join(states.select("context", "rest"), "context", "left").withColumn("chance", chance)
+        below = materialize(runs, "level")
+        levels.append((below, states))
+    return Tree(tokens, number, _weights(words, levels, divergence, least))
+
+
+def _weights(words: DataFrame, levels: list[tuple[DataFrame, DataFrame]], divergence: float, least: float) -> DataFrame:
+    """``(key, n, base, score)`` of every word and of the runs that the states add something to.
+
+    A state's shorter contexts are states as well, so its chances are those of
+    the test, in which all candidates were.
+    """
+    known = F.log10(F.col("n") + 1)
+    parts = [words.select("key", "n", known.alias("base"), known.alias("score"))]
+    longer = None
+    for runs, states in reversed(levels):
+        kept = F.col("gain") >= divergence
+        if longer is not None:
+            on_way = longer.select(F.col("up").alias("context")).distinct().withColumn("on_way", F.lit(True))
+            states = states.join(on_way, "context", "left")
+            kept = kept | F.coalesce("on_way", F.lit(False))
+        states = longer = materialize(states.filter(kept).select("context", "up", "total", "rest"), "kept_states")
+        none = F.lit(0.0)
+        parts.append(states.select(F.col("context").alias("key"), F.col("total").alias("n"), none, F.log10("rest")))
+        gain = F.log10(F.col("chance") / F.col("rest") / F.col("below"))
+        own = runs.filter(F.col("n") >= least).join(states.select("context"), "context", "left_semi")
+        parts.append(own.select("key", "n", none, gain))
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.union(part)
+    return materialize(
+        both.groupBy("key").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("score").alias("score")), "weights"
+    )
+
+
+class _Sent(NamedTuple):
+    """What every scoring task gets: weights of frequent runs, sorted by key, and a filter of all."""
+
+    longest: int
+    unseen: float
+    keys: np.ndarray
+    base: np.ndarray
+    score: np.ndarray
+    all: _Filter
+
+
+def _sent(tree: Tree, depth: int) -> _Sent:
+    found = tree.weights.filter(F.col("n") >= max(SENT_SHARE * tree.tokens, 1)).drop("n").toArrow()
+    keys = found["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    base, score = (found[c].to_numpy()[order] for c in ("base", "score"))
+    return _Sent(depth + 1, tree.unseen, keys[order], base, score, _filter(tree.weights.select("key")))
 
 
 _SCORED = (
@@ -305,53 +389,36 @@ _SCORED = (
 
 def _score(shared):
     def run(batches: Batches) -> Batches:
-        tree: Tree = shared.value
-        symbols = _Symbols(tree.hashes)
-        log_root = np.log10((tree.counts + 1) / tree.total)
+        sent, known = shared.value, _Hashes()
         uid = TaskContext.get().partitionId() << 40
-        contexts_of = [x.contexts for x in tree.levels]
         for rows, words in _slices(batches, ["doc_id"]):
-            places = _places(symbols, words)
-            sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-            text = np.repeat(np.arange(len(words)), sizes)
-            frequent = places >= 0
-            base = np.zeros(len(places))
-            base[frequent] = log_root[places[frequent]]
-            score, open_ = np.array(base), np.ones(len(places), bool)
-            rest = np.zeros(len(places))
-            contexts = _contexts(contexts_of, places)
-            for level, context in reversed(list(zip(tree.levels, contexts, strict=True))):
-                at = np.flatnonzero(open_ & (context >= 0))
-                at = at[level.kept[context[at]]]
-                found = np.full(len(at), -1, np.int64)
-                asked = places[at] >= 0
-                found[asked] = _find(level.transitions, _key(context[at[asked]], places[at[asked]]))
+            hashes, place, sizes = _symbols(known, words)
+            text, number = np.repeat(np.arange(len(words)), sizes), len(words)
+            base, n_known = sizes * sent.unseen, np.zeros(number, np.int64)
+            score, rare = base.copy(), []
+            for n, keys in enumerate(_runs(hashes, sent.longest)):
+                at = np.flatnonzero((place >= n) & sent.all.passes(keys))
+                found = _find(sent.keys, keys[at])
                 hit = found >= 0
-                score[at[hit]] = level.log_chance[found[hit]]
-                open_[at[hit]] = False
-                rest[at[~hit]] += level.log_rest[context[at[~hit]]]
-            score += rest
-            rare, times = [], []
-            starts = np.cumsum(sizes) - sizes
-            for own, start, size in zip(words, starts.tolist(), sizes.tolist(), strict=True):
-                mine = places[start : start + size]
-                if (mine >= 0).all():
-                    rare.append([])
-                    times.append([])
-                    continue
-                found: dict[int, int] = {}
-                for i in np.flatnonzero(mine < 0).tolist():
-                    h = xxhash.xxh64_intdigest(own[i]) if i < len(own) else END
-                    found[h] = found.get(h, 0) + 1
-                rare.append(np.array(list(found), np.uint64).view(np.int64))
-                times.append(np.array(list(found.values()), np.int64))
-            number = len(words)
+                own, found = text[at[hit]], found[hit]
+                base += np.bincount(own, sent.base[found], number)
+                score += np.bincount(own, sent.score[found], number)
+                n_known += np.bincount(own, sent.base[found] > 0, number).astype(np.int64)
+                rare.append((text[at[~hit]], keys[at[~hit]]))
+            owner, key = (np.concatenate(x) for x in zip(*rare, strict=True))
+            order = np.lexsort((key, owner))
+            owner, key = owner[order], key[order]
+            first = np.ones(len(key), bool)
+            first[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
+            starts = np.flatnonzero(first)
+            times = np.diff(np.append(starts, len(key)))
+            offsets = pa.array(np.searchsorted(owner[starts], np.arange(number + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(uid, uid + number)), pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array(sizes), pa.array(np.bincount(text, frequent, number).astype(np.int64)),
-                    pa.array(np.bincount(text, base, number)), pa.array(np.bincount(text, score, number)),
-                    pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())),
+                    pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(score),
+                    pa.ListArray.from_arrays(offsets, pa.array(key[starts].view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array(times)),
                 ],
                 [x.split()[0] for x in _SCORED.split(", ")],
             )
@@ -360,9 +427,18 @@ def _score(shared):
     return run
 
 
+def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted key, -1 where it is not."""
+    if not len(sorted_keys):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == wanted, at, -1)
+
+
 def score(
-    docs: DataFrame, depth: int = DEPTH, context_share: float = CONTEXT_SHARE, next_share: float = NEXT_SHARE,
+    docs: DataFrame, depth: int = DEPTH, context_share: float = 0.0, next_share: float = 0.0,
     divergence: float = DIVERGENCE, id_col: str = "doc_id", text_col: str = "text",
+    context_count: int = CONTEXT_COUNT, next_count: int = NEXT_COUNT,
 ) -> DataFrame:
     """Learn from the rows that are not held out and score all rows.
 
@@ -374,20 +450,22 @@ def score(
     """
     require(docs, [id_col, text_col])
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    tree, words = learn(texts.filter(~held_out(F.col("doc_id"))), depth, context_share, next_share, divergence)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    training = texts.filter(~held_out(F.col("doc_id")))
+    tree = learn(training, depth, context_share, next_share, divergence, context_count, next_count)
+    shared = docs.sparkSession.sparkContext.broadcast(_sent(tree, depth))
+    _let_go(docs.sparkSession)
     scored = materialize(arrow_map(texts, _score(shared), _SCORED), "scored")
     pairs = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r"))
     rare = pairs.select("uid", F.col("r.rare").alias("key"), F.col("r.times").alias("t"))
-    joined = rare.join(words, "key", "left")
-    chance = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(tree.total))
-    sums = joined.groupBy("uid").agg(
-        F.sum(F.col("t") * chance).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("t"))).alias("found")
+    sums = rare.join(tree.weights, "key").groupBy("uid").agg(
+        F.sum(F.col("t") * F.col("base")).alias("more_base"), F.sum(F.col("t") * F.col("score")).alias("more"),
+        F.sum(F.when(F.col("base") > 0, F.col("t"))).alias("found"),
     )
-    rest = F.coalesce("rest", F.lit(0.0))
+    none = F.lit(0.0)
     return scored.drop("rare", "times").join(sums, "uid", "left").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens",
         (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(tree.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + rest).alias("base_score"), (F.col("score") + rest).alias("score"),
+        (F.col("base") + F.coalesce("more_base", none)).alias("base_score"),
+        (F.col("score") + F.coalesce("more", none)).alias("score"),
     )
