@@ -94,3 +94,14 @@ def test_nulls_and_empty_tables(spark):
     rows = sorted((r["page_id"] or 0, r["url"], r["text"]) for r in html_text.extract(pages).collect())
     assert rows == [(0, "u", "x"), (1, None, ""), (1, None, "")]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_elements_below_many_open_ones_keep_their_rules():
+    page = (
+        "<p hidden>n</p><div style='display:none'>n<p>n</div><details><summary>s</summary>n</details>"
+        "<ul><li>a<li>b</ul><table><tr><td>long<td>x<tr><td>y<td>z</table><pre>1\n   2</pre>"
+    )
+    plain = visible_text(page)
+    for tag in ("span", "a name=x", "font", "div"):
+        for number in (150, 3000):
+            assert visible_text(f"<{tag}>" * number + page) == plain

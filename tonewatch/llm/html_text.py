@@ -11,8 +11,10 @@ list items behind their bullet or number, table cells aligned in columns.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Generator, Iterable
 from html import unescape
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,8 +53,6 @@ IMPLIED_ENDS = {
 }
 #: End tags do not reach out of these.
 SCOPES = set("table td th caption html button object template".split())
-#: Deeper elements become siblings.
-MOST_NESTED = 100
 
 _MARKUP = re.compile(r"<(?:!--|[!?]|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)|/)")
 _COMMENT_END = re.compile(r"--!?>")
@@ -99,11 +99,47 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
+class _Open:
+    """The open elements, and at which depths each tag is open, so that no tag looks through all of them."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.depths = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            self.depths[self.nodes.pop().tag].pop()
+
+    def last(self, names: Iterable[str]) -> int:
+        """Depth of the innermost open element of ``names``, 0 if there is none."""
+        return max((own[-1] for own in map(self.depths.get, names) if own), default=0)
+
+    def close(self, names: tuple[str, ...], within: tuple[str, ...] | set[str]) -> None:
+        """End the outermost open element of ``names`` that no element of ``within`` encloses."""
+        if not any(map(self.depths.get, names)):
+            return
+        edge, found = self.last(within), len(self.nodes)
+        for own in map(self.depths.get, names):
+            if own and own[-1] > edge:
+                found = min(found, own[bisect_right(own, edge)])
+        self.cut(found)
+
+    def close_one(self, name: str) -> None:
+        """End the innermost open ``name`` and what is open in it; without one in scope the end tag means nothing."""
+        depth = self.last((name,))
+        if depth and (name in ("table", "tr", "thead", "tbody", "tfoot") or self.last(SCOPES) <= depth):
+            self.cut(depth)
+
+
 def build(html: str) -> Node:
     """Tree of a page; its root is ``html`` with an implied ``head`` and ``body``."""
     root = Node("html", {})
     body = Node("body", {})
-    stack, in_head = [root], True
+    opened, in_head = _Open(root), True
+    stack = opened.nodes
 
     def text(source: str) -> None:
         nonlocal in_head
@@ -116,18 +152,8 @@ def build(html: str) -> Node:
         nonlocal in_head
         in_head = False
         root.children.append(body)
-        stack[:] = [root, body]
-
-    def close(names: tuple[str, ...], within: tuple[str, ...] | set[str]) -> None:
-        """End the outermost open element of ``names`` that no element of ``within`` encloses."""
-        found = None
-        for depth in range(len(stack) - 1, 1, -1):
-            if stack[depth].tag in names:
-                found = depth
-            elif stack[depth].tag in within:
-                break
-        if found is not None:
-            del stack[found:]
+        opened.push(body)
+        opened.depths.clear()  # tags end elements of the body only
 
     at, tags = 0, _Tags(html)
     while True:
@@ -155,11 +181,11 @@ def build(html: str) -> Node:
                 start_body()
             elif name == "br":
                 stack[-1].children.append(Node("br", {}))
-            elif name == "p" and not any(x.tag == "p" for x in stack):
+            elif name == "p" and not opened.depths.get("p"):
                 text("")
                 stack[-1].children.append(Node("p", {}))
             elif name not in ("html", "body"):
-                close_one(stack, name)
+                opened.close_one(name)
             continue
         if name in ("html", "head", "body"):
             if name == "body":
@@ -171,14 +197,14 @@ def build(html: str) -> Node:
             start_body()
         attributes = _attributes(rest)
         if name in ENDS_PARAGRAPH:
-            close(("p",), SCOPES)
+            opened.close(("p",), SCOPES)
         if name in IMPLIED_ENDS:
-            close(*IMPLIED_ENDS[name])
+            opened.close(*IMPLIED_ENDS[name])
         if name in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
+            opened.cut(len(stack) - 1)
         if name in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             stack[-1].children.append(Node("tr", {}))
-            stack.append(stack[-1].children[-1])
+            opened.push(stack[-1].children[-1])
         node = Node(name, attributes)
         if name in RAW or name in ESCAPABLE_RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
@@ -190,23 +216,13 @@ def build(html: str) -> Node:
         if in_head:  # metadata shows nothing
             continue
         stack[-1].children.append(node)
-        if name not in VOID and len(stack) < MOST_NESTED:
-            stack.append(node)
+        if name not in VOID:
+            opened.push(node)
     if in_head:
         start_body()
     return root
 
 
-def close_one(stack: list[Node], name: str) -> None:
-    """End the innermost open ``name`` and what is open in it; without one in scope the end tag means nothing."""
-    for depth in range(len(stack) - 1, 1, -1):
-        if stack[depth].tag == name:
-            del stack[depth:]
-            return
-        if stack[depth].tag in SCOPES and name not in ("table", "tr", "thead", "tbody", "tfoot"):
-            return
-
-
 def shown(node: Node) -> bool:
     if node.tag in NEVER_SHOWN:
         return False
@@ -248,14 +264,33 @@ class _Layout:
         self.gap = set_off
 
 
-def _block(node: Node, kept: bool = False) -> list[Line]:
+#: A step of the layout yields the steps it needs and gets their results; none calls another.
+Step = Generator["Step", Any, Any]
+
+
+def _done(step: Step) -> Any:
+    """Result of a step, whose steps within steps wait on a list: elements may be nested to any depth."""
+    waiting, result = [step], None
+    while waiting:
+        try:
+            needed = waiting[-1].send(result)
+        except StopIteration as end:
+            waiting.pop()
+            result = end.value
+        else:
+            waiting.append(needed)
+            result = None
+    return result
+
+
+def _block(node: Node, kept: bool = False) -> Step:
     layout = _Layout()
-    _flow(node, layout, kept)
+    yield _flow(node, layout, kept)
     layout.end_line(kept)
     return layout.lines
 
 
-def _flow(node: Node, layout: _Layout, kept: bool) -> None:
+def _flow(node: Node, layout: _Layout, kept: bool) -> Step:
     children = node.children
     if node.tag == "details" and "open" not in node.attributes:
         children = [c for c in children if not isinstance(c, str) and c.tag == "summary"][:1]
@@ -279,20 +314,20 @@ def _flow(node: Node, layout: _Layout, kept: bool) -> None:
             if child.tag == "hr":
                 layout.gap = True
             elif child.tag == "table":
-                layout.add(_table(child), True)
+                layout.add((yield _table(child)), True)
             elif child.tag == "li":
                 bullet = "- " if number is None else f"{number}. "
-                layout.add(_item(child, bullet), False)
+                layout.add((yield _item(child, bullet)), False)
                 number = None if number is None else number + 1
             else:
                 keeps = kept or child.tag in ("pre", "textarea")
-                lines = _block(child, keeps)
+                lines = yield _block(child, keeps)
                 if child.tag == "dd" or child.tag == "blockquote":
                     lines = [Line("  " + x.text, x.gap) for x in lines]
                 nested = child.tag in ("ul", "ol") and node.tag == "li"
                 layout.add(lines, child.tag in SET_OFF and not nested)
         else:
-            _flow(child, layout, kept)
+            yield _flow(child, layout, kept)
 
 
 def _start_number(node: Node) -> int | None:
@@ -302,8 +337,8 @@ def _start_number(node: Node) -> int | None:
     return int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
 
 
-def _item(node: Node, bullet: str) -> list[Line]:
-    lines = _block(node)
+def _item(node: Node, bullet: str) -> Step:
+    lines = yield _block(node)
     indent = " " * len(bullet)
     return [Line((indent if i else bullet) + x.text, x.gap and i > 0) for i, x in enumerate(lines)]
 
@@ -343,9 +378,9 @@ def _outside_cells(table: Node) -> Node:
     return rest
 
 
-def _table(table: Node) -> list[Line]:
+def _table(table: Node) -> Step:
     """Cells of a column begin at the same place; a cell with several lines keeps them in its column."""
-    before = _block(_outside_cells(table))
+    before = yield _block(_outside_cells(table))
     grid: list[list[tuple[int, int, list[str]]]] = []  # column, columns, lines
     taken: dict[int, set[int]] = {}
     for r, cells in enumerate(_rows(table)):
@@ -356,7 +391,7 @@ def _table(table: Node) -> list[Line]:
             wide, deep = _span(cell, "colspan"), _span(cell, "rowspan")
             for below in range(r + 1, r + deep):
                 taken.setdefault(below, set()).update(range(column, column + wide))
-            row.append((column, wide, [x.text for x in _block(cell)] or [""]))
+            row.append((column, wide, [x.text for x in (yield _block(cell))] or [""]))
             column += wide
         grid.append(row)
     widths: dict[int, int] = {}
@@ -387,7 +422,7 @@ def visible_text(html: str | None) -> str:
         return ""
     root = build(html.replace("\x00", "").replace("\r\n", "\n"))
     body = root.children[0]
-    lines = _block(body) if shown(body) else []
+    lines = _done(_block(body)) if shown(body) else []
     text: list[str] = []
     for line in lines:
         if line.gap and text:
