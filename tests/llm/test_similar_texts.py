@@ -6,6 +6,7 @@ from collections import Counter
 import corpus
 from test_simhash import plain_roots
 
+from tonewatch.llm import queries
 from tonewatch.llm.similar_texts import similar_classes
 
 
@@ -46,3 +47,15 @@ def test_classes(spark, messy):
         docs = docs.cache()
         assert Counter(map(tuple, similar_classes(docs).collect())) == plain_classes(docs.collect())
     assert similar_classes(messy.limit(0)).count() == 0
+
+
+def test_query_gives_every_row_its_class(spark, messy, tmp_path):
+    base = corpus.words(1, 300, 400)
+    rows = [(i, edited(base, i, 2) if i % 3 else corpus.words(i, 100), None, None) for i in range(2, 30)]
+    messy.unionByName(corpus.table(spark, rows)).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = queries.documents(spark, str(tmp_path)).collect()
+    found = queries.document_fingerprints(spark, str(tmp_path)).collect()
+    plain = plain_classes(docs)
+    assert Counter((r["doc_id"], r["class_id"]) for r in found) == plain
+    near = [r for r in found if r["class_id"] == 2]
+    assert len(near) == 19 and {r["class_rows"] for r in near} == {19}

@@ -87,7 +87,7 @@ def _edited(text: str, following: str) -> tuple[str, str, str]:
 #: While rows wait for their neighbours, digests are bytes: half of what their digits take.
 _RESULT = (
     "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
-    "near_edited double, near_next double"
+    "near_edited double, near_next double, text_key binary"
 )
 _NAMES = [x.split()[0] for x in _RESULT.split(", ")]
 
@@ -117,7 +117,8 @@ def _compare(ids: Sequence[int | None], texts: Sequence[str], size: int) -> list
     own = [*slots(np.minimum(common, full)), last]
     changed = slots(np.minimum(common, new))
     return [
-        (doc_id, len(text), sha, a.tobytes(), b.tobytes(), float(np.mean(a == b)), float(np.mean(a == c)))
+        (doc_id, len(text), sha, a.tobytes(), b.tobytes(), float(np.mean(a == b)), float(np.mean(a == c)),
+         hashlib.md5(text.encode()).digest())
         for doc_id, text, sha, a, b, c in zip(ids, texts, edits, own, changed, own[1:], strict=False)
     ]
 
@@ -127,7 +128,7 @@ def _columns(rows: list[tuple], kinds: Sequence[pa.DataType], names: Sequence[st
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
-_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.binary()]
 _SEAM_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string()]
 _SEAM_NAMES = ["part", "first_text", "last_id", "last_text"]
 
@@ -181,7 +182,7 @@ def fingerprint_changes(
     the first as many, or all, of the next document, in ascending order of
     ``doc_id``; the first document follows the last.  Columns ``doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint`` (lowercase hexadecimal),
-    ``near_edited, near_next`` (share of equal slots).  Null
+    ``near_edited, near_next`` (share of equal slots), ``text_key`` (md5).  Null
     texts are empty; rows without id come first; rows with the same id follow
     each other by a hash of their text; a single row is its own next one; an
     empty table gives no rows.  Other columns of ``docs`` are not read.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, language_id, mixing, packing, quality_classifier, quality_rules, simhash, suffix_tree, token_files
+from . import fingerprints, html_text, language_id, mixing, packing, quality_classifier, quality_rules, similar_texts, simhash, suffix_tree, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,8 +74,10 @@ def poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_document_fingerprints")
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MinHash fingerprints of every document and of its edited text."""
-    return fingerprints.fingerprint_changes(documents(spark, sf_dir))
+    """MinHash fingerprints of every document and of its edited text, and its class of similar texts."""
+    docs = documents(spark, sf_dir)
+    _, classes = similar_texts.classes_of_texts(docs)
+    return fingerprints.fingerprint_changes(docs).join(classes, "text_key").drop("text_key")
 
 
 @query("op5_importance_resampling")

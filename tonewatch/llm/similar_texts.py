@@ -5,7 +5,8 @@ signature are candidates.  First each set is held against the least one of each
 of its bands, which settles large groups of near copies with one comparison per
 member and band; then only sets that share a band but are not connected yet are
 held against each other.  So no link that a band shows is lost, and the pairs of
-a group that is connected already are never made.
+a group that is connected already are never made.  Shingles are made only of
+texts that share a band, and are not written for the others.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lookup import lookup_join
 from ..session import materialize
 from .common import Batches, arrow_map, require
 from .components import components
@@ -27,7 +29,8 @@ THRESHOLD = 0.8
 #: Slots of a band: two sets of similarity 0.8 share none of the 16 bands once in 4,000 times.
 BAND_SLOTS = 4
 
-_SETS = "doc_id long, set_key string, shingles array<long>, bands array<long>"
+_SETS = "doc_id long, text_key binary, set_key string, bands array<long>"
+_SHINGLES = "set_id long, shingles array<long>"
 
 
 def _sets(size: int):
@@ -40,15 +43,24 @@ def _sets(size: int):
             for k in range(BAND_SLOTS):
                 bands = mixed(bands + grouped[:, :, k])
             bands = mixed(bands + np.arange(bands.shape[1], dtype=np.uint64))
-            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(keys), pa.array([x.view(np.int64) for x in sets], longs),
-                 pa.array(list(bands.view(np.int64)), longs)], ["doc_id", "set_key", "shingles", "bands"],
+                [batch["doc_id"], batch["text_key"], pa.array(keys), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "set_key", "bands"],
             )
 
     return run
 
 
+def _shingles(size: int):
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(word_hashes(normalized(x or "")), size)) for x in batch["text"].to_pylist()]
+            shingles = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["set_id"], shingles], ["set_id", "shingles"])
+
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are at least ``threshold`` alike; two empty sets are."""
     left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("left"))
@@ -69,28 +81,55 @@ def similar_classes(
     are alike; rows without id lend none; repeated rows come back as often as
     they were.  Other columns of ``docs`` are not read.
     """
+    rows, classes = classes_of_texts(docs, threshold, shingle_words, id_col, text_col)
+    return rows.join(classes, "text_key").select("doc_id", "class_id")
+
+
+def text_key(text: Column) -> Column:
+    """What tells texts apart; null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def classes_of_texts(
+    docs: DataFrame, threshold: float = THRESHOLD, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id",
+    text_col: str = "text",
+) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text_key)`` of each row, and ``(text_key, class_id, class_rows)`` of each text.
+
+    Classes are those of ``similar_classes``; ``class_rows`` rows are in a class.
+    """
     require(docs, [id_col, text_col])
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(arrow_map(texts, _sets(shingle_words), _SETS), "shingle_sets")
+    texts = texts.withColumn("text_key", text_key(F.col("text")))
+    rows = materialize(arrow_map(texts, _sets(shingle_words), _SETS), "text_sets")
     grouped = rows.groupBy("set_key").agg(
-        F.min("doc_id").alias("least_id"), F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands")
+        F.min("doc_id").alias("least_id"), F.count("*").alias("rows"), F.any_value("bands").alias("bands"),
+        F.min(F.struct("doc_id", "text_key")).alias("sample"),
     )
     # Written, so that the numbers stay with their sets.
     sets = materialize(grouped.withColumn("set_id", F.monotonically_increasing_id()), "distinct_sets")
     bands = sets.select("set_id", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("set_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     bands = materialize(bands.join(shared, "band").select("set_id", "band", "first"), "shared_bands")
+    asked = bands.select("set_id").distinct().join(sets.select("set_id", "sample"), "set_id")
+    asked = asked.select("set_id", F.col("sample.doc_id").alias("sample_id"), F.col("sample.text_key").alias("text_key"))
+    asked = materialize(asked, "asked_texts")
+    found = lookup_join(texts, asked, "text_key", "inner").filter(F.col("doc_id").eqNullSafe(F.col("sample_id")))
+    # Rows repeated as a whole have the same shingles.
+    found = arrow_map(found.select("set_id", "text"), _shingles(shingle_words), _SHINGLES)
+    shingles = materialize(found.groupBy("set_id").agg(F.any_value("shingles").alias("shingles")), "shingle_sets")
     stars = bands.filter("set_id <> first").select(F.col("set_id").alias("a"), F.col("first").alias("b")).distinct()
-    links = materialize(_verified(stars, sets, threshold), "similar_pairs")
+    links = materialize(_verified(stars, shingles, threshold), "similar_pairs")
     root = F.coalesce("root", "set_id").alias("root")
     rooted = bands.join(components(links), F.col("set_id") == F.col("node"), "left").select("set_id", "band", root)
     apart = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     rooted = materialize(rooted.join(apart.select("band"), "band"), "bands_apart")
     one, two = rooted.withColumnsRenamed({"set_id": "a", "root": "ra"}), rooted.withColumnsRenamed({"set_id": "b", "root": "rb"})
     pairs = one.join(two, "band").filter("ra < rb").select("a", "b").distinct()
-    found = components(links.unionByName(_verified(pairs, sets, threshold)))
-    named = sets.select("set_key", "set_id", "least_id").join(found, F.col("set_id") == F.col("node"), "left")
-    named = materialize(named.select("set_key", "least_id", root), "similar_roots")
-    classes = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    labels = named.join(classes, "root").select("set_key", "class_id")
-    return rows.select("doc_id", "set_key").join(labels, "set_key").select("doc_id", "class_id")
+    found = components(links.unionByName(_verified(pairs, shingles, threshold)))
+    named = sets.select("set_key", "set_id", "least_id", "rows").join(found, F.col("set_id") == F.col("node"), "left")
+    named = materialize(named.select("set_key", "least_id", "rows", root), "similar_roots")
+    classes = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("rows").alias("class_rows"))
+    labels = named.join(classes, "root").select("set_key", "class_id", "class_rows")
+    classes = rows.select("text_key", "set_key").distinct().join(labels, "set_key").drop("set_key")
+    return rows.select("doc_id", "text_key"), classes
