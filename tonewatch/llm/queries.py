@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, language_id, mixing, packing, quality_classifier, quality_rules, similar_texts, simhash, suffix_tree, token_files
+from . import filter_audit, fingerprints, html_text, language_id, mixing, packing, quality_classifier, quality_rules, similar_texts, simhash, suffix_tree, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,9 @@ def language_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document, learned from those that are not held out."""
     return suffix_tree.score(documents(spark, sf_dir))
+
+
+@query("op13_filter_audit", filter_audit.audit_sql())
+def filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes per language, in all of their orders."""
+    return filter_audit.audit_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
