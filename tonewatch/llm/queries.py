@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, fingerprints, html_text, language_id, mixing, packing, quality_classifier, quality_rules, similar_texts, simhash, suffix_tree, token_files
+from . import conversation_repair, filter_audit, fingerprints, html_text, language_id, mixing, packing, quality_classifier, quality_rules, similar_texts, simhash, suffix_tree, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,10 @@ def suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes per language, in all of their orders."""
     return filter_audit.audit_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op12_conversation_repair")
+def conversations_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired rows of every conversation, after its damage."""
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.repair_report(conversation_repair.damage(conversations))
