@@ -9,7 +9,7 @@ import corpus
 import numpy as np
 import pytest
 
-from tonewatch.llm import fingerprints, language_id, suffix_tree
+from tonewatch.llm import fingerprints, key_filter, language_id, suffix_tree
 from tonewatch.llm.words import windows, word_hashes
 
 
@@ -267,6 +267,6 @@ def test_runs_of_a_fixed_count_are_learned_at_any_size(spark):
 @pytest.mark.parametrize("sent", [1.0, 0.005])
 def test_joined_runs_score_like_sent_ones(spark, monkeypatch, sent):
     monkeypatch.setattr(suffix_tree, "SENT_SHARE", sent)
-    monkeypatch.setattr(suffix_tree, "_MOST_FILTER_BITS", 1024)
+    monkeypatch.setattr(key_filter, "MOST_BITS", 1024)
     monkeypatch.setattr(suffix_tree, "_TALLIED", 500)
     test_tree_equals_plain_tree(spark, (0.002, 0.0005))

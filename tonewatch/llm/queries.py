@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, filter_audit, fingerprints, html_text, language_id, mixing, packing, quality_classifier, quality_rules, similar_texts, simhash, suffix_tree, token_files
+from . import conversation_repair, filter_audit, fingerprints, html_text, language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, similar_texts, simhash, suffix_tree, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,9 @@ def conversations_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and repaired rows of every conversation, after its damage."""
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return conversation_repair.repair_report(conversation_repair.damage(conversations))
+
+
+@query("op11_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of 5-grams and the component of documents alike by 0.8."""
+    return ngram_join.similar_documents(documents(spark, sf_dir))

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import Batches, arrow_map, partitions_for, require
+from .key_filter import KeyFilter, key_filter
 
 DEPTH = 2
 CONTEXT_COUNT = 8
@@ -47,8 +48,6 @@ DISCOUNT = 0.75
 END = xxhash.xxh64_intdigest(b"\n")
 #: Runs with this share of the tokens are sent to all tasks: at most a million of each length.
 SENT_SHARE = 1e-6
-#: Bits of a filter: so many for a key, and at most so many; a full one only lets more keys pass.
-_FILTER_BITS, _MOST_FILTER_BITS = 16, 1 << 27
 _REMEMBERED = 200_000
 _LONGEST_REMEMBERED = 64
 _TOKENS_AT_ONCE = 1 << 18
@@ -171,32 +170,6 @@ def _word_keys():
     return lambda words: _symbols(known, words)[0].view(np.int64)
 
 
-class _Filter:
-    """Lets pass all keys it was made of, and few others."""
-
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits, self.mask = bits, np.uint64(64 * len(bits) - 1)
-
-    def passes(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & self.mask
-        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def _filter(keys: DataFrame) -> _Filter:
-    """Filter of ``keys(key)``, combined in Spark; the driver sees its words, a bounded number."""
-    size = 1024
-    wanted = min(keys.count() * _FILTER_BITS, _MOST_FILTER_BITS)
-    while size < wanted:
-        size *= 2
-    at = F.col("key").bitwiseAND(F.lit(size - 1))
-    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
-    found = keys.select(F.shiftright(at, 6).alias("word"), bit.alias("bit"))
-    found = found.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(size // 64, np.uint64)
-    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return _Filter(bits)
-
-
 class _Pairs:
     """Counts of (context, symbol), by the key of both together."""
 
@@ -308,7 +281,7 @@ def learn(
         )
         if contexts.isEmpty():
             break
-        passing = spark.sparkContext.broadcast(_filter(contexts.select(F.col("context").alias("key"))))
+        passing = spark.sparkContext.broadcast(key_filter(contexts.select(F.col("context").alias("key"))))
         pairs = _pairs(docs, length, passing, counters, min(least, enough)).join(contexts, "context")
         shorter = F.col("symbol") if length == 1 else _longer_sql(F.col("up"), F.col("symbol"))
         shorts = below.select(F.col("key").alias("shorter"), F.col("chance").alias("below"))
@@ -371,7 +344,7 @@ class _Sent(NamedTuple):
     keys: np.ndarray
     base: np.ndarray
     score: np.ndarray
-    all: _Filter
+    all: KeyFilter
 
 
 def _sent(tree: Tree, depth: int) -> _Sent:
@@ -379,7 +352,7 @@ def _sent(tree: Tree, depth: int) -> _Sent:
     keys = found["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     base, score = (found[c].to_numpy()[order] for c in ("base", "score"))
-    return _Sent(depth + 1, tree.unseen, keys[order], base, score, _filter(tree.weights.select("key")))
+    return _Sent(depth + 1, tree.unseen, keys[order], base, score, key_filter(tree.weights.select("key")))
 
 
 _SCORED = (
