@@ -2,6 +2,7 @@
 
 import random
 import struct
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -21,19 +22,19 @@ BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pa
 
 
 def plain(path, text):
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_ids_are_those_of_the_tokenizer(path, documents):
     own, whole = Encoder(path), Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     draw = random.Random(1)
     letters = "ab1 \n\t'.!é　\xa0\x1c²́’ sΣİAZ<|"
     texts = ["".join(draw.choice(letters) for _ in range(25)) for _ in range(4000)]
-    texts += [r["text"] for r in documents.limit(60).collect()] + [r[1] or "" for r in corpus.ROWS] + ["<|endoftext|> x"]
+    texts += [r["text"] for r in documents.limit(60).collect()] + [r[1] or "" for r in corpus.ROWS]
+    texts += ["<|endoftext|> x", "a <|endoftext|> b <|startoftext|> c", "é<|endoftext|>\u0301 <|endoftext|><|endoftext|>", "<|ENDOFTEXT|>  <|endoftext|"]
+    marks = ["<|endoftext|>", "<|startoftext|>", " ", "\n", "a", "'s", "É", "<|", "|>", "12"]
+    texts += ["".join(draw.choice(marks) for _ in range(12)) for _ in range(2000)]
     for text, ids in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:80]
 
@@ -41,11 +42,14 @@ def test_ids_are_those_of_the_tokenizer(path, documents):
 def test_remembered_parts_are_bounded(monkeypatch):
     from tonewatch.llm import encoding
 
-    monkeypatch.setattr(encoding, "REMEMBERED", 50)
+    monkeypatch.setattr(encoding, "REMEMBERED_BYTES", 20_000)
     own = Encoder(BYTES)
-    for i in range(30):
-        own.encode([" ".join(f"a{i}b{j}" for j in range(20))])
-    assert len(own.words) <= 50 and len(own.words.older) <= 50
+    assert {id(x) for x in vars(own).values() if isinstance(x, encoding._Recent)} == {id(x) for x in own.room.tables}
+    for i in range(60):
+        own.encode([" ".join(f"a{i}b{j}! ‘c{i}{j}’" for j in range(20))])
+        held = [*own.words.items(), *own.words.older.items(), *own.literal.items(), *own.literal.older.items()]
+        assert sum(sys.getsizeof(k) + sys.getsizeof(v) + encoding._ENTRY_BYTES for k, v in held) <= 20_000
+    assert held
 
 
 def best_fit(lengths, capacity):

@@ -2,21 +2,26 @@
 
 The tokenizers used here never let a token reach from a visible character over
 the white space after it, so a text may be cut there and the parts encoded on
-their own.  A worker remembers the ids of parts it has met lately, at most
-``2 * REMEMBERED`` of them, so its memory is bounded whatever the corpus holds.
+their own.  The strings of special tokens part a text as well; they become their
+one id, as in a plain call of the library.  A worker remembers the ids of parts
+it has met lately, ``REMEMBERED_BYTES`` in all of its tables together, so its
+memory is bounded whatever the corpus holds.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
 from collections.abc import Iterable, Sequence
 
 import numpy as np
 
 from .common import hold
 
-REMEMBERED = 400_000
+REMEMBERED_BYTES = 96 << 20
+#: What an entry of a table takes besides its key and value.
+_ENTRY_BYTES = 104
 #: Longer parts are encoded each time they occur.
 LONGEST_REMEMBERED = 48
 BYTES_PER_ID = 4
@@ -40,43 +45,59 @@ def _byte_alphabet() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
+class Room:
+    """What the tables of one encoder may take: half of it for what is new, half for what was before."""
+
+    def __init__(self) -> None:
+        self.tables: list[_Recent] = []
+        self.taken = 0
+
+    def take(self, key: str, value: bytes) -> None:
+        self.taken += sys.getsizeof(key) + sys.getsizeof(value) + _ENTRY_BYTES
+        if self.taken > REMEMBERED_BYTES // 2:
+            for table in self.tables:
+                table.older = dict(table)
+                table.clear()
+            self.taken = 0
+
+
 class _Recent(dict):
     """Keys to ids, those asked for lately; ``find`` is asked for the others."""
 
-    def __init__(self, find) -> None:
-        self.find, self.older = find, {}
+    def __init__(self, find, room: Room) -> None:
+        self.find, self.room, self.older = find, room, {}
+        room.tables.append(self)
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
             value = self.find(key)
         if len(key) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
+            self.room.take(key, value)
             self[key] = value
         return value
 
 
 class Encoder:
-    """Encodes texts as bytes of unsigned little-endian 32-bit ids, without special tokens.
-
-    The strings of special tokens in a text are ordinary text.
-    """
+    """Encodes texts as bytes of unsigned little-endian 32-bit ids, without adding special tokens."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has as many tasks as it has cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = {x: i.to_bytes(BYTES_PER_ID, "little") for x, i in added.items()}
+        longest_first = sorted(map(re.escape, added), key=len, reverse=True)
+        self.parting = re.compile(f"({'|'.join(longest_first)})") if added else None
         self.by_blank = self.tokenizer.normalizer is None  # a blank belongs to the word after it
         self.alphabet = _byte_alphabet()
         self.before = chr(self.alphabet[ord(" ")]) if self.by_blank else ""
         self.merge = self.tokenizer.model.tokenize
         self.packed = [i.to_bytes(BYTES_PER_ID, "little") for i in range(self.vocabulary)]
-        self.words = _Recent(self._word)
-        self.literal = _Recent(self._whole)
+        self.room = Room()
+        self.words = _Recent(self._word, self.room)
+        self.literal = _Recent(self._whole, self.room)
 
     @property
     def vocabulary(self) -> int:
@@ -103,8 +124,8 @@ class Encoder:
 
     def _ids(self, text: str) -> Iterable[bytes]:
         if not self.by_blank:
-            if _LATIN.fullmatch(text):
-                return map(self.words.__getitem__, text.lower().split())
+            if _LATIN.fullmatch(text) and not any(x in (low := text.lower()) for x in self.special):
+                return map(self.words.__getitem__, low.split())
             return map(self.literal.__getitem__, _WORDS.findall(text))
         runs = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
         if runs or text[0] in " \n" or text[-1] in " \n" or _RARE_SPACE.search(text):
@@ -112,9 +133,15 @@ class Encoder:
         first, *rest = text.replace("\n", " \n").split(" ")
         return [self.literal[first], *map(self.words.__getitem__, rest)]
 
+    def _parted(self, text: str) -> bytes:
+        if self.parting is None or not any(x in text for x in self.special):
+            return b"".join(self._ids(text))
+        parts = self.parting.split(text)
+        return b"".join(self.special[x] if i % 2 else b"".join(self._ids(x)) for i, x in enumerate(parts) if x)
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text; null is the empty text."""
-        return [b"".join(self._ids(x)) if x else b"" for x in texts]
+        return [self._parted(x) if x else b"" for x in texts]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -318,17 +318,20 @@ def fit(
 ) -> Model | None:
     """Learn from at most ``fitted + calibrated`` documents per language: those with the least hashes of their id.
 
-    The words of the sample are counted by Spark; what reaches the driver is
+    An id that repeats is one document, with the least of its texts.  The words of the sample are counted by Spark; what reaches the driver is
     bounded by the sample.  None if no row has a known language.
     """
     require(docs, [id_col, text_col, lang_col])
     known = docs.filter(training_rows(docs, id_col, lang_col) & F.col(text_col).isNotNull())
     keyed = known.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
     keyed = keyed.withColumn("_hash", F.xxhash64("_id"))
-    # A language may have a third of all rows: only the share with the least hashes, some times the sample, is ranked.
-    rows = keyed.groupBy(F.col("_lang").alias("_of")).agg(F.count("*").alias("_rows"))
+    # A language may have a third of all rows: only the share with the least hashes, some times the sample, is
+    # ranked.  The numbers of different ids, a row per language and a few percent off at most, go to the rows, so that
+    # the others leave before anything is dealt; an id that repeats counts once.
+    rows = keyed.groupBy(F.col("_lang").alias("_of")).agg(F.approx_count_distinct("_id", 0.02).alias("_rows"))
     share = (F.col("_hash") / F.lit(2.0**64) + 0.5) * F.col("_rows")
-    few = keyed.join(rows, F.col("_lang") == F.col("_of")).filter(share < 4.0 * (fitted + calibrated) + 100)
+    few = keyed.join(F.broadcast(rows), F.col("_lang") == F.col("_of")).filter(share < 4.0 * (fitted + calibrated) + 100)
+    few = few.select("_id", "_lang", "_hash").distinct()
     order = Window.partitionBy("_lang").orderBy("_hash", "_id")
     ranked = few.select("_id", "_lang", F.row_number().over(order).alias("_n"))
     sample = ranked.filter(F.col("_n") <= fitted + calibrated).collect()
@@ -339,6 +342,8 @@ def fit(
     texts = known.filter(F.col(id_col).isin(list(chosen))).select(
         F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")
     )
+    # One text per id and language, the least: the sample is bounded by texts, however often ids repeat.
+    texts = texts.groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
 
     def count(batches: Batches) -> Batches:
         for batch in batches:
@@ -413,7 +418,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def keep_accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is recognised, with all their columns."""
+    """The rows of ``docs`` whose language is recognised, with all their columns.
+
+    Null texts, and texts without a letter, go; without a model all rows do.
+    Repeated rows stay as often as they are there; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Batches) -> Batches:
