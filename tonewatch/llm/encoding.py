@@ -53,12 +53,13 @@ class Room:
         self.taken = 0
 
     def take(self, key: str, value: bytes) -> None:
-        self.taken += sys.getsizeof(key) + sys.getsizeof(value) + _ENTRY_BYTES
-        if self.taken > REMEMBERED_BYTES // 2:
+        size = sys.getsizeof(key) + sys.getsizeof(value) + _ENTRY_BYTES
+        if self.taken + size > REMEMBERED_BYTES // 2:
             for table in self.tables:
                 table.older = dict(table)
                 table.clear()
             self.taken = 0
+        self.taken += size
 
 
 class _Recent(dict):
