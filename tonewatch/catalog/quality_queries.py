@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import ALERT_TYPES
 from ..operators import profile, quality, running, splits
 from ..plans import reports
 from . import fixtures as fx
@@ -192,6 +193,8 @@ lines AS (SELECT row_number() OVER (ORDER BY test) AS no, * FROM tests WHERE NOT
 SELECT 'dataset_summary' AS report, 2::BIGINT AS num_tests, (SELECT count(*) FROM lines) AS num_fail,
   coalesce((SELECT string_agg(no || '. ' || test || '  FAILED' || chr(10) || 'Description: ' || description || chr(10), '' ORDER BY no) FROM lines), '') AS fail_info,
   (SELECT count(*) FROM lines) > 0 AS notify, NULL::VARCHAR AS request,
+  (SELECT count(*) FROM lines) AS alerts, coalesce((SELECT string_agg(test || ': ' || description, ' | ' ORDER BY no) FROM lines), '') AS alert_lines,
+  CASE WHEN (SELECT count(*) FROM lines) > 0 THEN '""" + ALERT_TYPES["dataset_summary"] + """' END AS alert_type,
   [n, n, n] AS rows_profiled, [lengths, labels, texts] AS distinct_values FROM facts""")
 def dataset_summary_report(spark, d):
     rows = _coded(spark, d).select("Label", "Text")
@@ -201,4 +204,10 @@ def dataset_summary_report(spark, d):
     shown = profiled.select(
         F.lit("dataset_summary").alias("report"), F.col("p.row_count").alias("rows_profiled"), F.col("p.distinct_values").alias("distinct_values")
     )
-    return reports.outcome(reports.dataset_summary_report(rows)).join(shown, "report")
+    found = reports.outcome(reports.dataset_summary_report(rows))
+    found = found.withColumns({
+        "alert_lines": F.array_join(F.transform("alerts", lambda x: F.concat(x["name"], F.lit(": "), x["description"])), " | "),
+        "alerts": F.size("alerts").cast("long"),
+    })
+    both = found.unionByName(shown, allowMissingColumns=True)
+    return both.groupBy("report").agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns if c != "report"])

@@ -84,15 +84,18 @@ def model_quality_tests(
     )
 
 
+def failure_line(number: Column, test: Column, description: Column) -> Column:
+    """Two lines of text on a failed test."""
+    return F.concat(
+        number.cast("string"), F.lit(". "), test, F.lit("  FAILED\nDescription: "), description, F.lit("\n")
+    )
+
+
 def failed_tests(tests: DataFrame) -> DataFrame:
     """Failed tests, numbered within their report, each with its two lines of text."""
     order = Window.partitionBy("report").orderBy("test")
     numbered = tests.filter(F.col("status") == "FAIL").withColumn("no", F.row_number().over(order))
-    line = F.concat(
-        F.col("no").cast("string"), F.lit(". "), F.col("test"), F.lit("  FAILED\nDescription: "),
-        F.col("description"), F.lit("\n"),
-    )
-    return numbered.withColumn("line", line)
+    return numbered.withColumn("line", failure_line(F.col("no"), F.col("test"), F.col("description")))
 
 
 def failure_block(tests: DataFrame) -> DataFrame:
@@ -130,19 +133,20 @@ def alert_type_of(kind: Column) -> Column:
     return name
 
 
+def follow_up(num_fail: Column, kind: Column) -> tuple[Column, Column]:
+    """Whether to notify, and the retrain request of a drifted model."""
+    failed = num_fail > 0
+    return failed, F.when(failed & (kind == "model_drift"), F.lit("train"))
+
+
 def retrain_signal(tests: DataFrame, kind: Column | None = None) -> DataFrame:
     """Per report: failed tests, whether to notify, and the retrain request of a drifted model."""
     kind = F.col("report") if kind is None else kind
     counted = tests.withColumn("kind", kind).groupBy("report", "kind").agg(
         F.count_if(F.col("status") == "FAIL").alias("num_fail")
     )
-    failed = F.col("num_fail") > 0
-    return counted.select(
-        "report",
-        "num_fail",
-        failed.alias("notify"),
-        F.when(failed & (F.col("kind") == "model_drift"), F.lit("train")).alias("request"),
-    )
+    notify, request = follow_up(F.col("num_fail"), F.col("kind"))
+    return counted.select("report", "num_fail", notify.alias("notify"), request.alias("request"))
 
 
 def pass_gate(rows: DataFrame, accuracy: str = "accuracy", threshold: float = ACCURACY_GATE) -> DataFrame:

@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from ..constants import DRIFT_SHARE, EXCLUDED_CLASS, PSI_THRESHOLD, QUALITY_TOLERANCE, TEXT_DRIFT_THRESHOLD
 from ..functions.confidence import max_confidence_text
 from ..functions.labels import cast_label
-from ..operators.checks import drift_tests, failure_block, model_quality_tests, retrain_signal, shown, status_of
+from ..operators.checks import (
+    alert_type_of,
+    drift_tests,
+    failure_line,
+    follow_up,
+    model_quality_tests,
+    shown,
+    status_of,
+)
 from ..operators.drift import dataset_drift_share, psi_table, text_content_drift
 from ..operators.profile import dataset_summary, summary_tests, text_length
 from ..session import materialize
@@ -79,12 +87,21 @@ def dataset_summary_profile(clean: DataFrame) -> DataFrame:
 
 
 def outcome(tests: DataFrame) -> DataFrame:
-    """One row per report: tests, failures with their text block, whether to notify, the request that follows."""
-    counted = tests.groupBy("report").agg(F.count(F.lit(1)).alias("num_tests"))
-    # A report has a fixed number of tests, so these tables hold a row per report.
-    signal = retrain_signal(tests).select("report", "num_fail", "notify", "request")
-    blocks = failure_block(tests).select("report", "fail_info")
-    joined = counted.join(signal, "report").join(blocks, "report", "left")
-    return joined.select(
-        "report", "num_tests", "num_fail", F.coalesce("fail_info", F.lit("")).alias("fail_info"), "notify", "request"
+    """One row per report: its tests, failures with their text block, alerts, and the request that follows.
+
+    ``alerts`` holds what the alert log gets for each failure, in the order of
+    the block.  One aggregate: a report has a fixed number of tests, one per
+    check, so the lists are that short.
+    """
+    failed = F.col("status") == "FAIL"
+    failures = F.array_sort(F.collect_list(F.when(failed, F.struct(F.col("test").alias("name"), "description"))))
+    rows = tests.groupBy("report").agg(
+        F.count(F.lit(1)).alias("num_tests"), F.count_if(failed).alias("num_fail"), failures.alias("alerts")
+    )
+    lines = F.transform("alerts", lambda x, i: failure_line(i + 1, x["name"], x["description"]))
+    notify, request = follow_up(F.col("num_fail"), F.col("report"))
+    return rows.select(
+        "report", "num_tests", "num_fail", F.array_join(lines, "").alias("fail_info"),
+        notify.alias("notify"), request.alias("request"), "alerts",
+        F.when(notify, alert_type_of(F.col("report"))).alias("alert_type"),
     )
