@@ -43,8 +43,10 @@ class CountTree:
         while groups < min(2 * int(sizes.max()), _MOST_GROUPS):
             groups *= 2
         self.groups = groups
-        kind = np.uint16 if sizes.max() < 1 << 16 else np.uint32
-        self.points = np.stack([self.point(x).astype(kind) for x in self.sets])
+        counts = [self.point(x) for x in self.sets]
+        most = max(int(x.max()) for x in counts)
+        kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
+        self.points = np.stack([x.astype(kind) for x in counts])
         self.levels = [(self.points, self.sizes, self.sizes)]
         for width in (_LEAF, *[_FANOUT] * 64):
             high, low_size, high_size = self.levels[-1]
@@ -58,24 +60,33 @@ class CountTree:
     def point(self, tokens: np.ndarray) -> np.ndarray:
         return np.bincount((tokens & np.uint64(self.groups - 1)).astype(np.int64), minlength=self.groups)
 
-    def near(self, point: np.ndarray, size: int, leaves: np.ndarray) -> np.ndarray:
-        """Places of points in the marked ``leaves`` that may belong to sets alike enough."""
-        nodes = np.arange(len(self.levels[-1][0]))
-        for depth in range(len(self.levels) - 1, -1, -1):
-            high, low_size, high_size = self.levels[depth]
-            if depth == 1:
-                nodes = nodes[leaves[nodes]]
-            fits = (100 * high_size[nodes] >= self.percent * size) & (self.percent * low_size[nodes] <= 100 * size)
-            nodes = nodes[fits]
-            other = np.maximum(low_size[nodes], -(-self.percent * size // 100))
-            bound = np.minimum(high[nodes], point).sum(axis=1, dtype=np.int64)
-            nodes = nodes[bound >= least_shared(size, other, self.percent)]
-            if depth and len(nodes):
-                width = _LEAF if depth == 1 else _FANOUT
-                below = (nodes[:, None] * width + np.arange(width)).ravel()
-                nodes = below[below < len(self.levels[depth - 1][0])]
+    def _fitting(self, depth: int, nodes: np.ndarray, point: np.ndarray, size: int) -> np.ndarray:
+        """Those of the nodes of a level whose members may be alike enough."""
+        high, low_size, high_size = self.levels[depth]
+        low, top = low_size[nodes], high_size[nodes]
+        fits = (100 * top >= self.percent * size) & (self.percent * low <= 100 * size)
+        nodes, low = nodes[fits], low[fits]
+        least = least_shared(size, np.maximum(low, -(-self.percent * size // 100)), self.percent)
+        return nodes[np.minimum(high[nodes], point).sum(axis=1, dtype=np.uint32) >= least]
+
+    def leaves(self, point: np.ndarray, size: int, before: int) -> np.ndarray:
+        """Leaves that may hold sets alike enough among the first ``before`` places."""
+        point = np.minimum(point, np.iinfo(self.points.dtype).max).astype(self.points.dtype)
+        width = _LEAF * _FANOUT ** (len(self.levels) - 2)
+        nodes = np.arange(min(len(self.levels[-1][0]), -(-before // width)))
+        for depth in range(len(self.levels) - 1, 0, -1):
+            nodes = self._fitting(depth, nodes, point, size)
+            if depth > 1:
+                width //= _FANOUT
+                nodes = (nodes[:, None] * _FANOUT + np.arange(_FANOUT)).ravel()
+                nodes = nodes[(nodes < len(self.levels[depth - 1][0])) & (nodes * width < before)]
         return nodes
 
+    def within(self, leaf: int, point: np.ndarray, size: int, before: int) -> np.ndarray:
+        """Places in a leaf, below ``before``, of sets that may be alike enough."""
+        point = np.minimum(point, np.iinfo(self.points.dtype).max).astype(self.points.dtype)
+        return self._fitting(0, np.arange(leaf * _LEAF, min((leaf + 1) * _LEAF, before)), point, size)
+
 
 def spanning_links(
     sets: Sequence[np.ndarray], percent: int, others: Sequence[np.ndarray] | None = None
@@ -94,25 +105,26 @@ def spanning_links(
     asked_at = np.arange(len(asked)) if others is None else number + np.arange(len(asked))
     root = np.arange(number + (0 if others is None else len(others)))
     starts = np.arange(0, number, _LEAF)
+    low = high = root[:0]
 
-    def of_one_root() -> tuple[np.ndarray, np.ndarray]:
-        low = np.minimum.reduceat(root[:number], starts)
-        return low, low == np.maximum.reduceat(root[:number], starts)
+    def connect(one: int, two: int) -> None:
+        nonlocal low, high
+        root[root == max(one, two)] = min(one, two)
+        low, high = np.minimum.reduceat(root[:number], starts), np.maximum.reduceat(root[:number], starts)
 
-    low, single = of_one_root()
+    low, high = np.minimum.reduceat(root[:number], starts), np.maximum.reduceat(root[:number], starts)
     for at, tokens in zip(asked_at.tolist(), asked, strict=True):
+        before = min(at, number)
         point = tree.points[at] if others is None else tree.point(tokens)
-        found = tree.near(point, len(tokens), ~(single & (low == root[at])))
-        if others is None:
-            found = found[found < at]
-        found = found[root[found] != root[at]]
-        while len(found):
-            other = int(found[0])
-            if alike(tree.sets[other], tokens, percent):
-                mine, its = int(root[at]), int(root[other])
-                root[root == max(mine, its)] = min(mine, its)
-                low, single = of_one_root()
-                yield int(tree.order[other]), int(tree.order[at]) if others is None else at - number
-                found = found[root[found] != root[at]]
-            else:
+        for leaf in tree.leaves(point, len(tokens), before).tolist():
+            if low[leaf] == high[leaf] == root[at]:
+                continue
+            found = tree.within(leaf, point, len(tokens), before)
+            found = found[root[found] != root[at]]
+            while len(found):
+                other = int(found[0])
                 found = found[1:]
+                if alike(tree.sets[other], tokens, percent):
+                    connect(int(root[at]), int(root[other]))
+                    yield int(tree.order[other]), int(tree.order[at]) if others is None else at - number
+                    found = found[root[found] != root[at]]
