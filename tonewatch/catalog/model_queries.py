@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import GRID_NUM_FEATURES, GRID_REG_PARAM, GRID_VOCAB_SIZE, SMOKE_SAMPLES, SPLIT_SEED, TRAIN_RATIO
+from ..constants import (
+    GRID_NUM_FEATURES,
+    GRID_REG_PARAM,
+    GRID_VOCAB_SIZE,
+    NETWORK_EPOCHS,
+    SMOKE_SAMPLES,
+    SPLIT_SEED,
+    TRAIN_RATIO,
+)
 from ..functions.text import whitespace_tokens
-from ..operators import annotate, quality, splits
-from ..plans import scoring, training
+from ..operators import annotate, network, quality, splits
+from ..plans import halving, scoring, training
 from ..session import materialize, scratch_path
 from . import fixtures as fx
 from . import fixtures_sql as sql
@@ -130,8 +138,8 @@ def grid_search_cv(spark, d):
     return hashing.unionByName(counts).select("grid", "params", rows.alias("rows"), _in_range("f1"))
 
 
-@query("train_nn_classifier")
-def train_nn_classifier(spark, d):
+def _sentence_vectors(spark, d):
+    """``(doc_id, embedding, label)`` of the labelled texts, written, with the width of the vectors."""
     rows = fx.clean_labeled(spark, d)
     words = rows.select("doc_id", F.posexplode(whitespace_tokens(F.col("Text"))).alias("pos", "term"))
     vectors = fx.vector_table(spark, d)
@@ -139,11 +147,62 @@ def train_nn_classifier(spark, d):
     tokens = words.select("doc_id", fx.hash_bucket(F.col("term"), slots).alias("bucket"))
     counted = tokens.groupBy("doc_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
     pooled = annotate.sentence_embedding(annotate.token_embeddings(counted, vectors, on="bucket"), times_col="n")
-    labelled = materialize(
-        pooled.join(rows.select("doc_id", F.col("Label").alias("label")), "doc_id"), "sentence_vectors"
-    )
+    labelled = pooled.join(rows.select("doc_id", F.col("Label").alias("label")), "doc_id")
+    return materialize(labelled, "sentence_vectors"), vectors.select(F.size("vector").alias("dim")).first()["dim"]
+
+
+@query("train_nn_classifier")
+def train_nn_classifier(spark, d):
+    labelled, dim = _sentence_vectors(spark, d)
     train, validate = splits.split_train_validate(labelled, "doc_id")
-    dim = vectors.select(F.size("vector").alias("dim")).first()["dim"]
     model = training.train_nn_classifier(train, CLASSES, dim)
     features = validate.withColumn("features", training.array_to_vector(F.col("embedding")))
     return _quality(model, features, "label")
+
+
+def _trained_network(spark, d):
+    labelled, dim = _sentence_vectors(spark, d)
+    train, validate = splits.split_train_validate(labelled, "doc_id")
+    steps = network.dealt(train, "doc_id", "embedding", "label")
+    state, log = network.train(steps, network.initial([dim, *network.HIDDEN, CLASSES]))
+    return log, network.predict(validate, state, "embedding")
+
+
+@query("train_network", CLEAN + f"""
+SELECT epoch, (SELECT count(*) FROM clean WHERE {sql.u(SPLIT_SEED)} < {TRAIN_RATIO}) AS "rows", (SELECT count(*) FROM validate) AS scored,
+  true AS chances_add_up FROM (SELECT unnest(range(1, {NETWORK_EPOCHS} + 1))::INT AS epoch)""")
+def train_network(spark, d):
+    """Rows that each epoch's gradients came from, and rows the network scored, as its tasks counted them."""
+    log, scored = _trained_network(spark, d)
+    one = F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p)
+    fits = (F.abs(one - 1) < 1e-9) & (F.get("probabilities", F.col("prediction")) == F.array_max("probabilities"))
+    counts = scored.agg(F.count("prediction").alias("scored"), F.every(fits).alias("fits"))
+    return log.select("epoch", "rows", counts.select("scored").scalar().alias("scored"), counts.select("fits").scalar().alias("chances_add_up"))
+
+
+@query("train_network_quality")
+def train_network_quality(spark, d):
+    """Quality of the network on the validation rows."""
+    return quality.evaluate(_trained_network(spark, d)[1].select("label", "prediction"))
+
+
+def _network_grid(spark, d):
+    labelled, dim = _sentence_vectors(spark, d)
+    train, validate = splits.split_train_validate(labelled, "doc_id")
+    return halving.network_grid(train, validate, [dim, *network.HIDDEN, CLASSES], "doc_id", "embedding")
+
+
+@query("network_grid", CLEAN + """
+SELECT rung, trials, epochs, trials * (SELECT count(*) FROM validate) AS scored, 1::BIGINT AS kept FROM (VALUES (1, 2::BIGINT, 2), (2, 1::BIGINT, 5)) AS t(rung, trials, epochs)""")
+def network_grid(spark, d):
+    """Rungs of the search: trials, epochs they have had, rows they were scored on, trials that went on."""
+    return _network_grid(spark, d).groupBy("rung").agg(
+        F.count("*").alias("trials"), F.max("epochs").alias("epochs"), F.sum("scored").alias("scored"),
+        F.count_if("kept").alias("kept"),
+    )
+
+
+@query("network_grid_figures")
+def network_grid_figures(spark, d):
+    """The trial table with its quality figures."""
+    return _network_grid(spark, d).drop("state")

@@ -71,3 +71,11 @@ ALERT_TYPES = {
     "dataset_summary": "Dataset Summary Issue",
 }
 RUN_NAME_FORMAT = "yyyy-MM-dd_HH-mm-ss"
+
+# How the network is trained and what its grid tries.
+NETWORK_EPOCHS = 10
+NETWORK_RATE = 0.003
+NETWORK_BATCH = 8
+GRID_NETWORK_RATE = (0.003, 0.01)
+GRID_NETWORK_BATCH = (8,)
+GRID_NETWORK_EPOCHS = 5
