@@ -100,21 +100,37 @@ def score_and_gate(spark, d):
     )
 
 
-def _in_range(*figures):
-    checked = F.lit(True)
-    for figure in figures:
-        checked = checked & F.col(figure).between(0, 1)
-    return checked.alias("figures_in_range")
+class KnownScores:
+    """A fit that learns nothing: it is right on the rows whose hash is small, so its figures are known."""
 
+    def fit(self, rows):
+        return self
 
-@query("kfold_cross_validate", CLEAN + f"""
-SELECT floor({sql.u(SPLIT_SEED)} * {FOLDS})::INT AS fold, count(*) AS scored, true AS figures_in_range FROM clean GROUP BY 1""")
+    def transform(self, rows):
+        return rows.withColumn("prediction", fx.wrong_above(31, 0.7, F.col("Label")))
+
+
+@query("kfold_cross_validate", CLEAN + ", known AS (SELECT floor(" + sql.u(SPLIT_SEED) + f""" * {FOLDS})::INT AS fold, label,
+  CASE WHEN {sql.u(31)} < 0.7 THEN label ELSE (label + 1) % 3 END AS prediction
+  FROM (SELECT c.doc_id, {sql.ENCODE} AS label FROM clean c JOIN labeled USING (doc_id))),
+""" + sql.evaluation("known", by="fold") + """
+SELECT fold, (SELECT count(*) FROM known k WHERE k.fold = ev.fold) AS scored, round(accuracy, 9) AS accuracy, round("precision", 9) AS "precision",
+  round(recall, 9) AS recall, round(f1, 9) AS f1 FROM ev""")
 def kfold_cross_validate(spark, d):
+    """Rows that fitted models scored, and the figures of known scores on the same way."""
     folds = training.tokenized_folds(fx.clean_labeled(spark, d), "doc_id", k=FOLDS)
     estimator = training.Pipeline(stages=training.learned_stages(True))
-    found = training.k_fold_cross_validate(folds, estimator, k=FOLDS)
-    rows = folds.groupBy("fold").agg(F.count("*").alias("scored"))
-    return found.join(rows, "fold").select("fold", "scored", _in_range("accuracy", "precision", "recall", "f1"))
+    fitted = training.k_fold_cross_validate(folds, estimator, k=FOLDS).select("fold", "scored")
+    known = training.k_fold_cross_validate(folds, KnownScores(), k=FOLDS).drop("scored")
+    figures = [F.round(m, 9).alias(m) for m in quality.METRICS]
+    return fitted.join(known, "fold").select("fold", "scored", *figures)
+
+
+@query("kfold_model_figures")
+def kfold_model_figures(spark, d):
+    """Quality of the fitted models, fold by fold."""
+    folds = training.tokenized_folds(fx.clean_labeled(spark, d), "doc_id", k=FOLDS)
+    return training.k_fold_cross_validate(folds, training.Pipeline(stages=training.learned_stages(True)), k=FOLDS)
 
 
 def _grid_sql(size_name, sizes):
@@ -122,20 +138,30 @@ def _grid_sql(size_name, sizes):
     return [", ".join(sorted((f"regParam={r}", f"{size_name}={n}"))) for r, n in points]
 
 
-@query("grid_search_cv", CLEAN + "SELECT grid, params, (SELECT count(*) FROM clean) AS \"rows\", true AS figures_in_range FROM (VALUES " + ", ".join(
+@query("grid_search_cv", CLEAN + "SELECT grid, params, (SELECT count(*) FROM clean) AS scored FROM (VALUES " + ", ".join(
     f"('{grid}', '{params}')"
     for grid, points in (("hashing", _grid_sql("numFeatures", GRID_NUM_FEATURES)), ("counts", _grid_sql("vocabSize", GRID_VOCAB_SIZE)))
     for params in points
 ) + ") AS t(grid, params)")
 def grid_search_cv(spark, d):
+    """Points of both grids with the rows their models scored."""
+    return _grids(spark, d).select("grid", "params", "scored")
+
+
+@query("grid_search_figures")
+def grid_search_figures(spark, d):
+    """Mean F1 over the folds of every point of both grids."""
+    return _grids(spark, d)
+
+
+def _grids(spark, d):
     folds = training.tokenized_folds(fx.clean_labeled(spark, d), "doc_id", k=3)
-    rows = folds.agg(F.count("*")).scalar()
     hashing, counts = (
         training.grid_trials(training.grid_search(folds, use_hashing=hashing), folds)
         .withColumn("grid", F.lit("hashing" if hashing else "counts"))
         for hashing in (True, False)
     )
-    return hashing.unionByName(counts).select("grid", "params", rows.alias("rows"), _in_range("f1"))
+    return hashing.unionByName(counts)
 
 
 def _sentence_vectors(spark, d):

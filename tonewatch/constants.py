@@ -52,6 +52,7 @@ TRAIN_RATIO = 0.8
 ACCURACY_GATE = 0.8
 PSI_THRESHOLD = 0.1
 TEXT_DRIFT_THRESHOLD = 0.5
+DRIFT_CONFIDENCE = 0.99
 QUALITY_TOLERANCE = 0.1
 DRIFT_SHARE = 0.5
 PSI_ZERO_SHARE = 0.0001

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
+    DRIFT_CONFIDENCE,
     DRIFT_SHARE,
     MAX_DISCRETE_VALUES,
     PSI_THRESHOLD,
@@ -22,7 +23,7 @@ from ..constants import (
 from ..functions.hashing import unit_hash
 from ..session import materialize
 from .features import feature_tokens
-from .running import roc_auc
+from .running import auc_interval
 
 _HASH_BITS = 32768
 
@@ -194,22 +195,66 @@ def domain_scores(
     return scored.select(vector_to_array("probability")[1].alias("score"), F.col("label").cast("int").alias("label"))
 
 
+def drift_of_scores(
+    scores: DataFrame, column: str = "text", threshold: float = TEXT_DRIFT_THRESHOLD, confidence: float = DRIFT_CONFIDENCE
+) -> DataFrame:
+    """Drift by the AUC of ``scores(score, label)`` that tell current rows (1) from reference rows.
+
+    The column has drifted when the whole interval lies above the threshold, so
+    that chance alone fires once in ``2 / (1 - confidence)`` batches at 0.5.  With
+    fewer than two rows on a side there is no interval and no verdict but null.
+    """
+    found = auc_interval(scores, confidence=confidence)
+    return found.select(
+        F.lit(column).alias("column"), F.col("auc").alias("value"), F.lit(float(threshold)).alias("threshold"),
+        (F.col("low") > threshold).alias("drifted"), "low", "high",
+    )
+
+
 def text_content_drift(
     reference: DataFrame,
     current: DataFrame,
     text_col: str = "text",
     key_col: str = "doc_id",
     threshold: float = TEXT_DRIFT_THRESHOLD,
+    confidence: float = DRIFT_CONFIDENCE,
 ) -> DataFrame:
-    """Drift of a text column: the domain classifier's AUC on held-out rows.
+    """Drift of a text column: the domain classifier's AUC on held-out rows, with DeLong's interval.
+
+    0.5 means that the batches cannot be told apart.
+    """
+    return drift_of_scores(domain_scores(reference, current, text_col, key_col), text_col, threshold, confidence)
 
-    0.5 means the batches cannot be told apart, so chance alone can exceed the
-    default threshold; 0.65 is a calmer choice.
+
+def drifted_terms(
+    reference: DataFrame, current: DataFrame, words_col: str = "words", prior: float = 0.01, least_z: float = 0.0
+) -> DataFrame:
+    """What drifted in a text column: ``(term, reference, current, log_odds, z)`` of each term.
+
+    The log odds of a term in the current batch over those in the reference, both
+    pulled towards the term's share in the two together by a Dirichlet prior that
+    weighs ``prior`` times what the two hold, so that a rare term needs
+    more to stand out.  ``z`` is in standard deviations; positive terms are more
+    frequent now.  Terms with ``abs(z) < least_z`` are left out.  Terms are counted
+    in one pass that combines first; empty batches and null words give no terms.
     """
-    auc = roc_auc(domain_scores(reference, current, text_col, key_col))
-    return auc.select(
-        F.lit(text_col).alias("column"), F.col("auc").alias("value"), F.lit(float(threshold)).alias("threshold")
-    ).withColumn("drifted", F.col("value") > F.col("threshold"))
+    sides = reference.select(F.lit(0).alias("side"), words_col).unionByName(current.select(F.lit(1).alias("side"), words_col))
+    terms = sides.select("side", F.explode(words_col).alias("term")).filter("term IS NOT NULL")
+    counts = materialize(terms.groupBy("term").agg(
+        F.count_if(F.col("side") == 0).alias("reference"), F.count_if(F.col("side") == 1).alias("current")
+    ), "term_counts")
+    sizes = counts.agg(F.sum("reference").alias("r"), F.sum("current").alias("c"))
+    r, c = sizes.select("r").scalar(), sizes.select("c").scalar()
+    weight = prior * (F.col("reference") + F.col("current"))
+
+    def log_odds(own: Column, size: Column) -> Column:
+        # Null for the only term there is, whose odds say nothing.
+        return F.log(F.try_divide(own + weight, size + prior * (r + c) - own - weight))
+
+    odds = log_odds(F.col("current"), c) - log_odds(F.col("reference"), r)
+    spread = F.sqrt(1 / (F.col("current") + weight) + 1 / (F.col("reference") + weight))
+    found = counts.withColumn("log_odds", F.coalesce(odds, F.lit(0.0))).withColumn("z", F.col("log_odds") / spread)
+    return found.filter(F.abs("z") >= least_z)
 
 
 def dataset_drift_share(columns: DataFrame, drift_share: float = DRIFT_SHARE) -> DataFrame:

@@ -75,17 +75,25 @@ def run_name(started_at: Column) -> Column:
     return F.date_format(started_at, RUN_NAME_FORMAT)
 
 
-def run_log(runs: DataFrame, run_id: str, started_at: Column, params: dict[str, Column], metrics: dict[str, Column]) -> DataFrame:
-    """Long table ``(run_id, run_name, kind, key, value)``: a row per parameter and metric of each run."""
+def run_log(
+    runs: DataFrame, run_id: str, started_at: Column, params: dict[str, Column], metrics: dict[str, Column],
+    tags: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Long table ``(run_id, run_name, kind, key, value)``: a row per parameter, metric and tag of each run.
+
+    A tag without value, one that does not hold for the run, has no row.
+    """
     def entry(kind: str, key: str, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(key).alias("key"), value.cast("string").alias("value"))
 
     entries = [entry("param", k, v) for k, v in params.items()]
     entries += [entry("metric", k, v) for k, v in metrics.items()]
-    return runs.select(
+    entries += [entry("tag", k, v) for k, v in (tags or {}).items()]
+    log = runs.select(
         F.col(run_id).cast("string").alias("run_id"), run_name(started_at).alias("run_name"),
         F.inline(F.array(*entries)),
     )
+    return log.filter((F.col("kind") != "tag") | F.col("value").isNotNull())
 
 
 def run_table(log: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Running totals over a whole ordered table, and what follows from them: ranks, quantiles, AUC.
+"""Running totals over a whole ordered table, and what follows from them: ranks, quantiles, AUC with its interval.
 
 An ordered window without a partition would send every row to one task.  Here
 equal values are counted first, so a frequent value is one row; the rest is cut
@@ -9,6 +9,7 @@ its own and raised by the total of the ranges before it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -85,17 +86,57 @@ def exact_quantiles(
     return ranked.agg(*columns)
 
 
-def roc_auc(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Exact area under the ROC curve of 0/1 labels; ties count half."""
+def _score_counts(scores: DataFrame, score: str, label: str) -> DataFrame:
     positive = F.col(label) == 1
     counts = (
         scores.groupBy(F.col(score).cast("double").alias("score"))
         .agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
     )
-    ranked = running_totals(materialize(counts, "score_counts"), "score", ["neg"])
+    return materialize(counts, "score_counts")
+
+
+def roc_auc(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """Exact area under the ROC curve of 0/1 labels; ties count half."""
+    ranked = running_totals(_score_counts(scores, score, label), "score", ["neg"])
     wins = F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)
     return ranked.agg(
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),
         F.try_divide(F.sum(wins), F.sum("pos") * F.sum("neg")).alias("auc"),
     )
+
+
+def auc_interval(scores: DataFrame, score: str = "score", label: str = "label", confidence: float = 0.99) -> DataFrame:
+    """``positives, negatives, auc, std, low, high``: the AUC and its two-sided interval by DeLong's variance.
+
+    A positive's placement is the share of negatives below it, a negative's the
+    share of positives above it, ties half; both follow from the running totals
+    over equal scores.  The variance is that of the mean placements.  Null with
+    fewer than two rows on a side; rows without score or label are left out.
+    """
+    known = scores.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
+    counts = _score_counts(known, score, label)
+    sizes = counts.agg(F.sum("pos").alias("m"), F.sum("neg").alias("n"))
+    m, n = sizes.select("m").scalar(), sizes.select("n").scalar()
+    ranked = running_totals(counts, "score", ["neg", "pos"])
+    of_positive = F.try_divide(F.col("before_neg") + F.col("neg") / 2, n)
+    of_negative = F.try_divide(m - F.col("before_pos") - F.col("pos") / 2, m)
+    placed = ranked.select("pos", "neg", of_positive.alias("p"), of_negative.alias("q"))
+
+    def variance(times: str, value: str, size: Column) -> Column:
+        # Around a half, where placements of like batches lie, so that little is lost in the difference.
+        first, second = F.sum(F.col(times) * (F.col(value) - 0.5)), F.sum(F.col(times) * (F.col(value) - 0.5) ** 2)
+        return F.try_divide(F.greatest(second - F.try_divide(first * first, size), F.lit(0.0)), size - 1)
+
+    figures = placed.agg(
+        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
+        F.try_divide(F.sum(F.col("pos") * F.col("p")), F.sum("pos")).alias("auc"),
+        F.sqrt(
+            F.try_divide(variance("pos", "p", F.sum("pos")), F.sum("pos"))
+            + F.try_divide(variance("neg", "q", F.sum("neg")), F.sum("neg"))
+        ).alias("std"),
+    )
+    reach = F.lit(NormalDist().inv_cdf(0.5 + confidence / 2)) * F.col("std")
+    return figures.withColumns({
+        "low": F.greatest(F.col("auc") - reach, F.lit(0.0)), "high": F.least(F.col("auc") + reach, F.lit(1.0)),
+    })

@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 from itertools import product
 
-from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import GRID_NETWORK_BATCH, GRID_NETWORK_EPOCHS, GRID_NETWORK_RATE, SPLIT_SEED
 from ..operators import network
 from ..operators.quality import METRICS, evaluate
+from .fits import side_by_side
 
 TRIALS = "rung int, trial int, rate double, batch int, epochs int, scored long, accuracy double, precision double, recall double, f1 double, kept boolean, state string"
 
 
-def side_by_side(spark: SparkSession, jobs: Iterable[Callable], most: int) -> list:
-    """Results of jobs run at most ``most`` at a time, each in a scheduler pool of its own."""
-    def run(number: int, job: Callable):
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{number % most}")
-        try:
-            return job()
-        finally:
-            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
-
-    with ThreadPoolExecutor(most) as pool:
-        started = [pool.submit(inheritable_thread_target(spark)(run), i, job) for i, job in enumerate(jobs)]
-        return [x.result() for x in started]
-
-
 def rung_epochs(most: int, factor: int, trials: int) -> list[int]:
     """Epochs that trials have had by the end of each rung; the last one has ``most``.
 

@@ -19,7 +19,7 @@ from ..operators.checks import (
     shown,
     status_of,
 )
-from ..operators.drift import dataset_drift_share, psi_table, text_content_drift
+from ..operators.drift import dataset_drift_share, drift_of_scores, psi_table, text_content_drift
 from ..operators.profile import dataset_summary, summary_tests, text_length
 from ..session import materialize
 
@@ -35,18 +35,25 @@ def data_drift_report(
     text_threshold: float = TEXT_DRIFT_THRESHOLD,
     drift_share: float = DRIFT_SHARE,
     annotation_col: str | None = None,
+    text_scores: DataFrame | None = None,
 ) -> DataFrame:
     """One test per column and one for the share of drifted columns.
 
     With ``annotation_col`` the ``confidence`` comes from that printed annotation.
+    The text column's test tells the batches apart by a classifier fitted on the
+    way, or by ``text_scores(score, label)`` that one has stored.
     """
     if annotation_col is not None:
         reference, current = (
             df.withColumn("confidence", max_confidence_text(F.col(annotation_col))) for df in (reference, current)
         )
     columns = psi_table(reference, current, categorical, numeric, threshold)
-    if text_col is not None:
-        columns = columns.unionByName(text_content_drift(reference, current, text_col, key_col, text_threshold))
+    if text_scores is not None:
+        found = drift_of_scores(text_scores, text_col or "text", text_threshold)
+        columns = columns.unionByName(found.select(*columns.columns))
+    elif text_col is not None:
+        found = text_content_drift(reference, current, text_col, key_col, text_threshold)
+        columns = columns.unionByName(found.select(*columns.columns))
     columns = materialize(columns, "drifted_columns")
     share = dataset_drift_share(columns, drift_share).select(
         F.lit("data_drift").alias("report"),
