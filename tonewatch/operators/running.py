@@ -40,7 +40,7 @@ def running_totals(values: DataFrame, order_col: str, weight_cols: Sequence[str]
     read three times, so it should be a written table.
     """
     cuts = _cut_points(values, order_col)
-    splits = [float("-inf"), *cuts, float("inf")]
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol=order_col, outputCol="_range").transform(values)
     within = Window.partitionBy("_range").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     # One row per range, so at most ``MAX_RANGES`` rows: small enough for one task and for a broadcast.
