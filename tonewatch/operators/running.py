@@ -137,6 +137,8 @@ def auc_interval(scores: DataFrame, score: str = "score", label: str = "label",
         ).alias("std"),
     )
     reach = F.lit(NormalDist().inv_cdf(0.5 + confidence / 2)) * F.col("std")
+    known = F.col("std").isNotNull()
     return figures.withColumns({
-        "low": F.greatest(F.col("auc") - reach, F.lit(0.0)), "high": F.least(F.col("auc") + reach, F.lit(1.0)),
+        "low": F.when(known, F.greatest(F.col("auc") - reach, F.lit(0.0))),
+        "high": F.when(known, F.least(F.col("auc") + reach, F.lit(1.0))),
     })
