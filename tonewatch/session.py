@@ -58,6 +58,15 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote, once all that was made of it is written too."""
+    spark = df.sparkSession
+    for folder in {os.path.dirname(x) for x in df.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(_application_dir(spark).split(":", 1)[-1].lstrip("/")):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
