@@ -115,7 +115,7 @@ def plain_signature(text):
     shingles = [words[i : i + size] for i in range(len(words) - size + 1)] if words else []
     hashes = [int(windows(word_hashes(s), size)[0]) for s in shingles]
     factors, terms = fingerprints._FACTORS.tolist(), fingerprints._TERMS.tolist()
-    return [min(((a * h + b) % 2**64 for h in hashes), default=2**64 - 1) >> 32 for a, b in zip(factors, terms, strict=True)]
+    return [min(((a * h + b) % 2**64 for h in hashes), default=2**64 - 1) >> 48 for a, b in zip(factors, terms, strict=True)]
 
 
 def test_fingerprints_and_edits(spark, messy, documents):
@@ -124,7 +124,7 @@ def test_fingerprints_and_edits(spark, messy, documents):
         rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
         found = fingerprints.fingerprint_changes(docs).collect()
         assert Counter(r["doc_id"] for r in found) == Counter(i for i, _ in rows)
-        marks = {t: "".join(f"{x:08x}" for x in plain_signature(t)) for _, t in rows}
+        marks = {t: "".join(f"{x:04x}" for x in plain_signature(t)) for _, t in rows}
         if docs is not messy and len(set(i for i, _ in rows)) == len(rows):
             rows.sort()
             by_id = {r["doc_id"]: r for r in found}
@@ -135,7 +135,7 @@ def test_fingerprints_and_edits(spark, messy, documents):
                 own = plain_signature(text)
                 assert r["n_chars"] == len(text) and r["fingerprint"] == marks[text]
                 assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-                assert r["edited_fingerprint"] == "".join(f"{x:08x}" for x in changed)
+                assert r["edited_fingerprint"] == "".join(f"{x:04x}" for x in changed)
                 assert r["near_edited"] == np.mean([a == b for a, b in zip(own, changed, strict=True)])
                 assert r["near_next"] == np.mean([a == b for a, b in zip(own, plain_signature(following), strict=True)])
         else:

@@ -3,7 +3,10 @@
 A text is the set of its shingles of five words.  Each of ``PERMUTATIONS``
 multiply-shift hashes, drawn from a universal family, ranks the shingles; the
 least rank of each is a slot of the signature, and the share of equal slots of
-two signatures estimates the Jaccard similarity of their sets.
+two signatures estimates the Jaccard similarity of their sets.  Fingerprints show
+the upper 16 bits of each rank: other ranks look equal once in 65,536 slots.
+
+Whole texts move once, compressed by their tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,8 +72,8 @@ def signatures(sets: Sequence[np.ndarray]) -> np.ndarray:
 
 
 def slots(signature: np.ndarray) -> np.ndarray:
-    """The upper 32 bits of each least rank."""
-    return (signature >> np.uint64(32)).astype(">u4")
+    """The upper 16 bits of each least rank."""
+    return (signature >> np.uint64(48)).astype(">u2")
 
 
 def normalized(text: str) -> list[bytes]:
@@ -133,13 +137,20 @@ _SEAM_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string()]
 _SEAM_NAMES = ["part", "first_text", "last_id", "last_text"]
 
 
+def _packed(batches: Batches) -> Batches:
+    for batch in batches:
+        texts = [zstandard.compress(x.encode(), 1) for x in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tie"], pa.array(texts, pa.binary())], ["doc_id", "tie", "packed"])
+
+
 def _sliding(size: int):
     """Rows of a sorted partition but its last, and one row with what the seams to its neighbours need."""
     empty = [None] * len(_SEAM_NAMES)
 
     def rows(batches: Batches) -> Iterator[tuple[int | None, str]]:
         for batch in batches:
-            yield from zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)
+            for doc_id, packed in zip(batch["doc_id"].to_pylist(), batch["packed"], strict=True):
+                yield doc_id, zstandard.decompress(packed.as_py()).decode()
 
     def run(batches: Batches) -> Batches:
         ids, texts, first, length = [], [], None, 0
@@ -193,12 +204,13 @@ def fingerprint_changes(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
     order = ["doc_id", "tie"]
-    ordered = texts.withColumn("tie", F.xxhash64("text")).repartitionByRange(
+    packed = arrow_map(texts.withColumn("tie", F.xxhash64("text")), _packed, "doc_id long, tie long, packed binary")
+    ordered = packed.repartitionByRange(
         partitions_for(spark, size, BYTES_PER_PARTITION), *order
     ).sortWithinPartitions(*order)
     seams = ", part long, first_text string, last_id long, last_text string"
     found = materialize(
-        arrow_map(ordered.select("doc_id", "text"), _sliding(shingle_words), _RESULT + seams), "fingerprint_changes"
+        arrow_map(ordered.select("doc_id", "packed"), _sliding(shingle_words), _RESULT + seams), "fingerprint_changes"
     )
     cuts = found.filter("part IS NOT NULL")
     # The order of the parts alone is one task's work: a number per part.

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import discard
 from . import conversation_repair, filter_audit, fingerprints, html_text, language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, similar_texts, simhash, suffix_tree, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,7 +77,8 @@ def poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MinHash fingerprints of every document and of its edited text, and its class of similar texts."""
     docs = documents(spark, sf_dir)
-    _, classes = similar_texts.classes_of_texts(docs)
+    rows, classes = similar_texts.classes_of_texts(docs)
+    discard(rows)
     return fingerprints.fingerprint_changes(docs).join(classes, "text_key").drop("text_key")
 
 

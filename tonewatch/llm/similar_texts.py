@@ -1,76 +1,88 @@
-"""Classes of similar texts: MinHash bands propose pairs, the Jaccard similarity of their shingles decides.
+"""Classes of similar texts: MinHash bands propose groups, the Jaccard similarity of their shingles decides.
 
 Texts with the same set of shingles are one.  Sets that share a band of their
-signature are candidates.  First each set is held against the least one of each
-of its bands, which settles large groups of near copies with one comparison per
-member and band; then only sets that share a band but are not connected yet are
-held against each other.  So no link that a band shows is lost, and the pairs of
-a group that is connected already are never made.  Shingles are made only of
-texts that share a band, and are not written for the others.
+signature, by chains, form a group; bands meet in Spark as blocks of 16 bytes a
+band and set.  A group's texts are brought together in compressed form, their
+shingles made anew, and every two sets of a group that are not connected yet are
+held against each other in one task, behind a bound that loses no pair
+(``similar_groups``).  No link that a band shows is lost, and the pairs of a
+group never leave a task.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lookup import lookup_join
 from ..session import materialize
-from .common import Batches, arrow_map, require
+from .common import Batches, arrow_map, partitions_for, require
 from .components import components
-from .fingerprints import PERMUTATIONS, SHINGLE_WORDS, normalized, shingle_hashes, signatures
-from .words import mixed, word_hashes
+from .fingerprints import PERMUTATIONS, SHINGLE_WORDS, signatures
+from .similar_groups import BLOCK, BLOCKS, Packing, blocks_of, groups_of, id_of, key_of, links_in_groups, shingles
+from .words import mixed
 
 THRESHOLD = 0.8
 #: Slots of a band: two sets of similarity 0.8 share none of the 16 bands once in 4,000 times.
 BAND_SLOTS = 4
+_SETS_PER_TASK = 50_000
+_SENT_AT_ONCE = 1_000_000
+
+_SETS = "doc_id long, text_key binary, set_key binary, set_id long, n int, bands binary"
+
+
+class Texts(Packing):
+    """A set is sent as its compressed text, a third of what its hashes take."""
 
-_SETS = "doc_id long, text_key binary, set_key string, bands array<long>"
-_SHINGLES = "set_id long, shingles array<long>"
+    def pack(self, text: str, own: np.ndarray) -> bytes:
+        return zstandard.compress(text.encode(), 1)
+
+    def unpack(self, packed: bytes) -> np.ndarray:
+        return shingles(zstandard.decompress(packed).decode(), self.size)
 
 
 def _sets(size: int):
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(word_hashes(normalized(x or "")), size)) for x in batch["text"].to_pylist()]
-            keys = [hashlib.md5(x.tobytes()).hexdigest() for x in sets]
+            sets = [shingles(x, size) for x in batch["text"].to_pylist()]
+            keys = [key_of(x) for x in sets]
             grouped = signatures(sets).reshape(len(sets), PERMUTATIONS // BAND_SLOTS, BAND_SLOTS)
             bands = np.zeros(grouped.shape[:2], np.uint64)
             for k in range(BAND_SLOTS):
                 bands = mixed(bands + grouped[:, :, k])
             bands = mixed(bands + np.arange(bands.shape[1], dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text_key"], pa.array(keys), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "set_key", "bands"],
-            )
+            columns = [
+                batch["doc_id"], batch["text_key"], pa.array(keys, pa.binary()),
+                pa.array(np.array([id_of(k) for k in keys], np.uint64).view(np.int64)),
+                pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in bands], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SETS.split(", ")])
 
     return run
 
 
-def _shingles(size: int):
+def _band_blocks(blocks: int):
+    width = PERMUTATIONS // BAND_SLOTS
+
     def run(batches: Batches) -> Batches:
+        bands, sets, waiting = [], [], 0
         for batch in batches:
-            sets = [np.unique(shingle_hashes(word_hashes(normalized(x or "")), size)) for x in batch["text"].to_pylist()]
-            shingles = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["set_id"], shingles], ["set_id", "shingles"])
+            ids, at = np.unique(batch["set_id"].to_numpy().view(np.uint64), return_index=True)
+            own = np.frombuffer(b"".join(batch["bands"].to_pylist()), np.uint64).reshape(-1, width)[at]
+            bands.append(own.ravel())
+            sets.append(np.repeat(ids, width))
+            waiting += own.size
+            if waiting >= _SENT_AT_ONCE:
+                yield from blocks_of(np.concatenate(bands), [np.concatenate(bands), np.concatenate(sets)], blocks)
+                bands, sets, waiting = [], [], 0
+        if bands:
+            yield from blocks_of(np.concatenate(bands), [np.concatenate(bands), np.concatenate(sets)], blocks)
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are at least ``threshold`` alike; two empty sets are."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("right"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("left", "right"))
-    union = F.size("left") + F.size("right") - shared
-    return both.filter(shared >= threshold * union).select("a", "b")
-
-
 def similar_classes(
     docs: DataFrame, threshold: float = THRESHOLD, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id",
     text_col: str = "text",
@@ -79,7 +91,8 @@ def similar_classes(
 
     Texts with fewer words than a shingle are one shingle; null and empty texts
     are alike; rows without id lend none; repeated rows come back as often as
-    they were.  Other columns of ``docs`` are not read.
+    they were; an empty table gives no rows.  Other columns of ``docs`` are not
+    read.  ``threshold`` counts to a hundredth.
     """
     rows, classes = classes_of_texts(docs, threshold, shingle_words, id_col, text_col)
     return rows.join(classes, "text_key").select("doc_id", "class_id")
@@ -94,42 +107,28 @@ def classes_of_texts(
     docs: DataFrame, threshold: float = THRESHOLD, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id",
     text_col: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, text_key)`` of each row, and ``(text_key, class_id, class_rows)`` of each text.
+    """``(doc_id, text_key)`` of each row, and ``(text_key, class_id, class_rows)`` of each text, both written.
 
-    Classes are those of ``similar_classes``; ``class_rows`` rows are in a class.
+    Classes are those of ``similar_classes``, with the same result for missing
+    and empty values; ``class_rows`` rows are in a class.
     """
     require(docs, [id_col, text_col])
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.withColumn("text_key", text_key(F.col("text")))
-    rows = materialize(arrow_map(texts, _sets(shingle_words), _SETS), "text_sets")
-    grouped = rows.groupBy("set_key").agg(
-        F.min("doc_id").alias("least_id"), F.count("*").alias("rows"), F.any_value("bands").alias("bands"),
-        F.min(F.struct("doc_id", "text_key")).alias("sample"),
+    keyed = texts.withColumn("text_key", text_key(F.col("text")))
+    rows = materialize(arrow_map(keyed, _sets(shingle_words), _SETS), "text_sets")
+    sets = rows.groupBy("set_key", "set_id").agg(
+        F.min("doc_id").alias("least_id"), F.count("*").alias("rows"), F.max("n").alias("n")
     )
-    # Written, so that the numbers stay with their sets.
-    sets = materialize(grouped.withColumn("set_id", F.monotonically_increasing_id()), "distinct_sets")
-    bands = sets.select("set_id", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("set_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    bands = materialize(bands.join(shared, "band").select("set_id", "band", "first"), "shared_bands")
-    asked = bands.select("set_id").distinct().join(sets.select("set_id", "sample"), "set_id")
-    asked = asked.select("set_id", F.col("sample.doc_id").alias("sample_id"), F.col("sample.text_key").alias("text_key"))
-    asked = materialize(asked, "asked_texts")
-    found = lookup_join(texts, asked, "text_key", "inner").filter(F.col("doc_id").eqNullSafe(F.col("sample_id")))
-    # Rows repeated as a whole have the same shingles.
-    found = arrow_map(found.select("set_id", "text"), _shingles(shingle_words), _SHINGLES)
-    shingles = materialize(found.groupBy("set_id").agg(F.any_value("shingles").alias("shingles")), "shingle_sets")
-    stars = bands.filter("set_id <> first").select(F.col("set_id").alias("a"), F.col("first").alias("b")).distinct()
-    links = materialize(_verified(stars, shingles, threshold), "similar_pairs")
-    root = F.coalesce("root", "set_id").alias("root")
-    rooted = bands.join(components(links), F.col("set_id") == F.col("node"), "left").select("set_id", "band", root)
-    apart = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    rooted = materialize(rooted.join(apart.select("band"), "band"), "bands_apart")
-    one, two = rooted.withColumnsRenamed({"set_id": "a", "root": "ra"}), rooted.withColumnsRenamed({"set_id": "b", "root": "rb"})
-    pairs = one.join(two, "band").filter("ra < rb").select("a", "b").distinct()
-    found = components(links.unionByName(_verified(pairs, shingles, threshold)))
-    named = sets.select("set_key", "set_id", "least_id", "rows").join(found, F.col("set_id") == F.col("node"), "left")
-    named = materialize(named.select("set_key", "least_id", "rows", root), "similar_roots")
+    sets = materialize(sets, "distinct_sets")
+    blocks = partitions_for(spark, sets.count(), _SETS_PER_TASK) * BLOCKS
+    sent = arrow_map(rows.filter("n > 0").select("set_id", "bands"), _band_blocks(blocks), BLOCK)
+    found = groups_of(sent, blocks).join(sets.select("set_id", "n", "least_id"), "set_id")
+    found = materialize(found, "sets_with_bands")
+    links = links_in_groups(texts, found, round(100 * threshold), Texts(shingle_words))
+    named = sets.select("set_key", "set_id", "least_id", "rows").join(components(links), F.col("set_id") == F.col("node"), "left")
+    named = materialize(named.select("set_key", "least_id", "rows", F.coalesce("root", "set_id").alias("root")), "similar_roots")
     classes = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("rows").alias("class_rows"))
     labels = named.join(classes, "root").select("set_key", "class_id", "class_rows")
     classes = rows.select("text_key", "set_key").distinct().join(labels, "set_key").drop("set_key")
-    return rows.select("doc_id", "text_key"), classes
+    return rows.select("doc_id", "text_key"), materialize(classes, "classes_of_texts")
