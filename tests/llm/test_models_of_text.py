@@ -10,13 +10,13 @@ import numpy as np
 import pytest
 
 from tonewatch.llm import fingerprints, key_filter, language_id, suffix_tree
-from tonewatch.llm.words import windows, word_hashes
+from tonewatch.llm.words import text_words, windows, word_hashes
 
 
 class PlainTree:
     """The same model by dictionaries, contexts as tuples of words."""
 
-    def __init__(self, texts, depth, context_share, next_share, divergence):
+    def __init__(self, texts, depth, context_count, next_count, divergence):
         self.texts = [t.encode().lower().split() + [None] for t in texts]
         self.words = Counter(w for t in self.texts for w in t)
         self.tokens, self.total = sum(self.words.values()), sum(self.words.values()) + len(self.words) + 1
@@ -25,7 +25,7 @@ class PlainTree:
             for n in range(1, depth + 1):
                 for i in range(n, len(t)):
                     self.next[tuple(t[i - n : i])][t[i]] += 1
-        least, enough = max(next_share * self.tokens, 1), context_share * self.tokens
+        least, enough = next_count, context_count
         self.count = {c: sum(x.values()) for c, x in self.next.items()}
         contexts = [c for c in self.next if self.count[c] >= enough]
         self.kept_next = {c: {w: n for w, n in self.next[c].items() if n >= least} for c in contexts}
@@ -55,13 +55,15 @@ class PlainTree:
         return sum(math.log10(self.chance(tuple(t[max(0, i - depth) : i]), t[i])) for i in range(len(t)))
 
 
-@pytest.mark.parametrize("shares", [(0.002, 0.0005), (0.02, 0.002)])
-def test_tree_equals_plain_tree(spark, shares):
+@pytest.mark.parametrize("counts", [(8, 3), (3, 2), (40, 1)])
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_tree_equals_plain_tree(spark, counts, depth):
     rows = [(i, corpus.words(i, 30 + i % 40, 30), None, None) for i in range(120)]
     rows += [(1000 + i, "known " + corpus.words(i, 5) + " unseen%d" % i, None, None) for i in range(30)]
     learned = [t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    plain = PlainTree(learned, 2, *shares, 0.02)
-    found = suffix_tree.score(corpus.table(spark, rows).repartition(3), 2, *shares, 0.02).collect()
+    plain = PlainTree(learned, depth, *counts, 0.02)
+    docs = corpus.table(spark, rows).repartition(3)
+    found = suffix_tree.score(docs, depth, 0.02, context_count=counts[0], next_count=counts[1]).collect()
     texts = {i: t for i, t, *_ in rows}
     assert len(found) == len(rows) and plain.states
     for r in found:
@@ -70,12 +72,12 @@ def test_tree_equals_plain_tree(spark, shares):
         assert (r["n_tokens"], r["train_tokens"]) == (len(words), plain.tokens)
         assert r["n_known"] == sum(plain.words[w] > 0 for w in words)
         base = sum(math.log10((plain.words[w] + 1) / plain.total) for w in words)
-        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(plain.score(texts[r["doc_id"]], 2))
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(plain.score(texts[r["doc_id"]], depth))
 
 
 def test_chances_of_a_state_sum_to_one():
     texts = [corpus.words(i, 60, 12) for i in range(60)]
-    plain = PlainTree(texts, 2, 0.001, 0.0002, 0.02)
+    plain = PlainTree(texts, 2, 8, 3, 0.02)
     for state in list(plain.states)[:40]:
         known = sum(plain.chance(state, w) for w in plain.words)
         assert known < 1 and known + plain.chance(state, b"\n never seen") == pytest.approx(1)
@@ -113,7 +115,7 @@ def plain_signature(text):
     words = text.encode().lower().split()
     size = min(5, len(words))
     shingles = [words[i : i + size] for i in range(len(words) - size + 1)] if words else []
-    hashes = [int(windows(word_hashes(s), size)[0]) for s in shingles]
+    hashes = [int(windows(text_words([b" ".join(s)])[0], size)[0]) for s in shingles]
     factors, terms = fingerprints._FACTORS.tolist(), fingerprints._TERMS.tolist()
     return [min(((a * h + b) % 2**64 for h in hashes), default=2**64 - 1) >> 48 for a, b in zip(factors, terms, strict=True)]
 
@@ -264,9 +266,22 @@ def test_runs_of_a_fixed_count_are_learned_at_any_size(spark):
     assert min(gains) > 10 and max(gains) < 1.5 * min(gains) + 10
 
 
-@pytest.mark.parametrize("sent", [1.0, 0.005])
-def test_joined_runs_score_like_sent_ones(spark, monkeypatch, sent):
-    monkeypatch.setattr(suffix_tree, "SENT_SHARE", sent)
+@pytest.mark.parametrize("sent", [0, 60])
+def test_runs_looked_up_score_like_sent_ones(spark, monkeypatch, sent):
+    monkeypatch.setattr(suffix_tree, "SENT", sent)
     monkeypatch.setattr(key_filter, "MOST_BITS", 1024)
     monkeypatch.setattr(suffix_tree, "_TALLIED", 500)
-    test_tree_equals_plain_tree(spark, (0.002, 0.0005))
+    monkeypatch.setattr(suffix_tree, "_BYTES_AT_ONCE", 900)
+    test_tree_equals_plain_tree(spark, (8, 3), 2)
+
+
+def test_planted_context_of_six_words_becomes_a_state(spark):
+    """What follows ``x b c d e f`` depends on ``x``: it takes six words to see it."""
+    rows = []
+    for i in range(400):
+        first, last = ("left", "north") if i % 2 else ("right", "south")
+        rows.append((i, f"{corpus.words(i, 8, 200)} {first} b c d e f {last} {corpus.words(-i, 8, 200)}", None, None))
+    docs = corpus.table(spark, rows)
+    deep, shallow = ({r["doc_id"]: r for r in suffix_tree.score(docs, depth).collect()} for depth in (6, 5))
+    gains = [deep[i]["score"] - shallow[i]["score"] for i in range(400) if deep[i]["held_out"]]
+    assert min(gains) > 0.25 and abs(sum(gains) / len(gains) - math.log10(2)) < 0.05

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import Batches, arrow_map, partitions_for, require
-from .words import windows, word_hashes
+from .words import text_words, windows
 
 PERMUTATIONS = 64
 SHINGLE_WORDS = 5
@@ -100,17 +100,17 @@ def _compare(ids: Sequence[int | None], texts: Sequence[str], size: int) -> list
     """Result rows of all texts but the last, each with the one after it as the next document."""
     sets, edits, words = [], [], []
     for text in texts:
-        words.append(word_hashes(normalized(text)))
+        words.append(text_words([text.encode()])[0])
     for text, following, own in zip(texts, texts[1:], words, strict=False):
         stays, comes, edited = _edited(text, following)
         edits.append(hashlib.sha256(edited.encode()).digest())
         kept = normalized(stays)
         same = max(len(kept) - 1, 0)  # the last word that stays may go on in what comes
         if same < size:
-            sets += [own[:0], shingle_hashes(own, size), shingle_hashes(word_hashes(normalized(edited)), size)]
+            sets += [own[:0], shingle_hashes(own, size), shingle_hashes(text_words([edited.encode()])[0], size)]
             continue
         joint = b" " if stays[-1] in " \t\n\x0b\x0c\r" else b""
-        rest = word_hashes((kept[-1] + joint + comes.encode()).lower().split())
+        rest = text_words([kept[-1] + joint + comes.encode()])[0]
         seam = own[same - size + 1 : same]  # shingles of the words before are in both texts
         tails = [np.concatenate([seam, x]) for x in (own[same:], rest)]
         sets += [shingle_hashes(own[:same], size), *[shingle_hashes(x, size) if len(x) >= size else x[:0] for x in tails]]

@@ -22,9 +22,9 @@ from ..session import materialize
 from .common import Batches, arrow_map, partitions_for
 from .components import components
 from .count_tree import spanning_links
-from .fingerprints import normalized, shingle_hashes
+from .fingerprints import shingle_hashes
 from .key_filter import key_filter
-from .words import word_hashes
+from .words import text_words
 
 #: N-grams of a cell's block.
 CELL_SHINGLES = 4_000_000
@@ -36,7 +36,7 @@ BLOCKS = 4
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted hashes of the distinct n-grams of a text; fewer words are one n-gram, none are none."""
-    return np.unique(shingle_hashes(word_hashes(normalized(text or "")), size))
+    return np.unique(shingle_hashes(text_words([(text or "").encode()])[0], size))
 
 
 def key_of(own: np.ndarray) -> bytes:

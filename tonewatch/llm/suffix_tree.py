@@ -14,15 +14,15 @@ transitions grow with it.  They are Spark tables by the hash of their words.
 The log probability of a text is a sum over its runs of words: a run adds the
 log of what it leaves to shorter states, and how much likelier its last word is
 than by the state before.  So one table of weights by run scores all texts.
-Runs that make up at least ``SENT_SHARE`` of the tokens, a bounded number, are
-sent to the tasks; each text's other runs are joined to the table by hash.
+The most frequent runs, a bounded number, are sent to the tasks; each text's
+other runs are sent in sorted blocks to where their part of the table is held,
+and come back as a sum per text.
 
 Words, and runs of words, are told apart by their 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -30,12 +30,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .common import Batches, arrow_map, partitions_for, require
 from .key_filter import KeyFilter, key_filter
+from .words import text_words
 
 DEPTH = 2
 CONTEXT_COUNT = 8
@@ -45,12 +46,12 @@ DIVERGENCE = 0.02
 DISCOUNT = 0.75
 
 #: The end of a text; no word holds white space.
-END = xxhash.xxh64_intdigest(b"\n")
-#: Runs with this share of the tokens are sent to all tasks: at most a million of each length.
-SENT_SHARE = 1e-6
-_REMEMBERED = 200_000
-_LONGEST_REMEMBERED = 64
-_TOKENS_AT_ONCE = 1 << 18
+END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
+#: So many of the most frequent runs, at most, are sent to all tasks.
+SENT = 1_500_000
+#: Weights of rarer runs that a task holds.
+_RARE_PER_TASK = 1_000_000
+_BYTES_AT_ONCE = 1 << 21
 _TALLIED = 1_000_000
 #: Texts of this many bytes are counted by one task after the shuffle, from so many blocks of each sender.
 _BYTES_PER_COUNTER = 8 << 20
@@ -60,6 +61,7 @@ _BLOCKS = 4
 class Tree(NamedTuple):
     """What is learned: ``weights(key, n, base, score)`` of words and runs, over the weight of an unseen word."""
 
+    depth: int
     tokens: int
     words: int
     weights: DataFrame
@@ -74,39 +76,31 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-class _Hashes(dict):
-    """Hashes of words; those met lately are remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= _LONGEST_REMEMBERED:
-            if len(self) >= _REMEMBERED:
-                self.clear()
-            self[word] = value
-        return value
-
-
-def _slices(batches: Batches, columns: Sequence[str]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Rows and their words, a bounded number of tokens at a time."""
-    rows, words, size = [], [], 0
+def _slices(batches: Batches, columns: Sequence[str]) -> Iterator[tuple[list, list[bytes]]]:
+    """Rows and their texts, a bounded number of bytes at a time."""
+    rows, texts, size = [], [], 0
     for batch in batches:
         for *row, text in zip(*(batch[c] for c in [*columns, "text"]), strict=True):
             rows.append([x.as_py() for x in row])
-            words.append((text.as_py() or b"").lower().split())
-            size += len(words[-1]) + 1
-            if size >= _TOKENS_AT_ONCE:
-                yield rows, words
-                rows, words, size = [], [], 0
+            texts.append(text.as_py() or b"")
+            size += len(texts[-1]) + 1
+            if size >= _BYTES_AT_ONCE:
+                yield rows, texts
+                rows, texts, size = [], [], 0
     if rows:
-        yield rows, words
+        yield rows, texts
 
 
-def _symbols(known: _Hashes, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the symbols of all texts, each followed by the end; their places in their texts; the texts' sizes."""
-    find = known.__getitem__
-    sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    hashes = np.fromiter((h for own in words for h in (*map(find, own), END)), np.uint64, int(sizes.sum()))
-    return hashes, np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
+    words, sizes = text_words(texts)
+    sizes = sizes + 1
+    ends = np.cumsum(sizes)
+    hashes = np.full(int(ends[-1]) if len(ends) else 0, END)
+    inside = np.ones(len(hashes), bool)
+    inside[ends - 1] = False
+    hashes[inside] = words
+    return hashes, np.arange(len(hashes)) - np.repeat(ends - sizes, sizes), sizes
 
 
 def _longer(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -153,23 +147,18 @@ class _Tally:
             self.keys, self.counts = self.keys[:0], self.counts[:0]
 
 
-def _counted(docs: DataFrame, keys_of) -> DataFrame:
-    """``(key, n)`` over all rows, counted in the tasks first; ``keys_of(words)`` gives the keys of a slice."""
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """``(key, n)`` of the symbols of all rows, counted in the tasks first."""
     def run(batches: Batches) -> Batches:
-        tally, own = _Tally(), keys_of()
-        for _, words in _slices(batches, []):
-            tally.add(own(words))
+        tally = _Tally()
+        for _, texts in _slices(batches, []):
+            tally.add(_symbols(texts)[0].view(np.int64))
             yield from tally.rows(_TALLIED)
         yield from tally.rows()
 
     return arrow_map(docs.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _word_keys():
-    known = _Hashes()
-    return lambda words: _symbols(known, words)[0].view(np.int64)
-
-
 class _Pairs:
     """Counts of (context, symbol), by the key of both together."""
 
@@ -199,10 +188,13 @@ _BLOCK = "block int, context binary, symbol binary, n binary"
 _PAIR = "key long, context long, symbol long, n long"
 
 
-def _pairs(docs: DataFrame, length: int, contexts, counters: int, least: float) -> DataFrame:
-    """``_PAIR`` of what follows runs of ``length`` words that pass the filter, at least ``least`` times.
+def _pairs(docs: DataFrame, length: int, contexts, shorter, counters: int, least: float) -> DataFrame:
+    """``_PAIR`` of what follows runs of ``length`` words that pass ``contexts``, at least ``least`` times.
 
-    Tasks send blocks of sorted pairs instead of rows, dealt by the hash of the pair.
+    A run is no more frequent than the same without its first word, so only runs
+    whose shorter one passes ``shorter``, which holds those as frequent as
+    that, are sent.  Tasks send blocks of sorted pairs instead of rows, dealt by
+    the hash of the pair.
     """
     blocks = counters * _BLOCKS
 
@@ -222,13 +214,14 @@ def _pairs(docs: DataFrame, length: int, contexts, counters: int, least: float)
             )
 
     def send(batches: Batches) -> Batches:
-        known, passing, tally = _Hashes(), contexts.value, _Pairs()
-        for _, words in _slices(batches, []):
-            hashes, place, _ = _symbols(known, words)
+        passing, short, tally = contexts.value, shorter.value, _Pairs()
+        for _, texts in _slices(batches, []):
+            hashes, place, _ = _symbols(texts)
+            runs = _runs(hashes, length)[-1]
             at = np.flatnonzero(place >= length)
-            context = _runs(hashes, length)[-1][at - 1]
-            there = passing.passes(context)
-            tally.add(context[there], hashes[at[there]])
+            at = at[short.passes(runs[at])]
+            at = at[passing.passes(runs[at - 1])]
+            tally.add(runs[at - 1], hashes[at])
             if len(tally.held[0]) > _TALLIED:
                 yield from sent(tally)
                 tally = _Pairs()
@@ -251,43 +244,39 @@ def _pairs(docs: DataFrame, length: int, contexts, counters: int, least: float)
     return arrow_map(dealt, count, _PAIR)
 
 
-def _let_go(spark: SparkSession) -> None:
-    """Shuffle files of tables that are written and out of use leave the disk when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def learn(
-    docs: DataFrame, depth: int = DEPTH, context_share: float = 0.0, next_share: float = 0.0,
-    divergence: float = DIVERGENCE, context_count: int = CONTEXT_COUNT, next_count: int = NEXT_COUNT,
+    docs: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE,
+    context_count: int = CONTEXT_COUNT, next_count: int = NEXT_COUNT,
 ) -> Tree:
-    """The tree of ``docs(text)``; shares of the tokens can ask for more than the counts do.
+    """The tree of ``docs(text)``; levels end with ``depth``, or earlier where no run is frequent enough.
 
-    One pass over the texts counts words, and one each level's transitions.
+    One pass over the texts counts words, and one each level's transitions; a
+    level's tables are deleted when what follows from them is written.
     """
     spark = docs.sparkSession
-    words = materialize(_counted(docs, _word_keys), "word_counts")
+    words = materialize(_word_counts(docs), "word_counts")
     tokens, number = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     counters = partitions_for(spark, size, _BYTES_PER_COUNTER)
-    enough, least = max(context_share * tokens, context_count), max(next_share * tokens, next_count)
+    least = min(next_count, context_count)
     # Runs of one more word at each level, with their chance and the run without its first word.
     below = words.select("key", "n", ((F.col("n") + 1) / F.lit(float(tokens + number + 1))).alias("chance"))
     below = below.withColumn("shorter", F.lit(None).cast("long"))
     levels: list[tuple[DataFrame, DataFrame]] = []
     for length in range(1, depth + 1):
-        contexts = below.filter(F.col("n") >= enough).select(
+        contexts = below.filter(F.col("n") >= context_count).select(
             F.col("key").alias("context"), F.col("n").alias("total"), F.col("shorter").alias("up")
         )
         if contexts.isEmpty():
             break
         passing = spark.sparkContext.broadcast(key_filter(contexts.select(F.col("context").alias("key"))))
-        pairs = _pairs(docs, length, passing, counters, min(least, enough)).join(contexts, "context")
+        frequent = spark.sparkContext.broadcast(key_filter(below.filter(F.col("n") >= least).select("key")))
+        pairs = _pairs(docs, length, passing, frequent, counters, least).join(contexts, "context")
         shorter = F.col("symbol") if length == 1 else _longer_sql(F.col("up"), F.col("symbol"))
-        shorts = below.select(F.col("key").alias("shorter"), F.col("chance").alias("below"))
+        shorts = below.filter(F.col("n") >= least).select(F.col("key").alias("shorter"), F.col("chance").alias("below"))
         runs = materialize(pairs.withColumn("shorter", shorter).drop("symbol").join(shorts, "shorter"), "runs")
         p = F.col("n") / F.col("total")
-        sums = runs.filter(F.col("n") >= least).groupBy("context").agg(
+        sums = runs.filter(F.col("n") >= next_count).groupBy("context").agg(
             F.any_value("up").alias("up"), F.any_value("total").alias("total"),
             F.sum((F.col("n") - DISCOUNT) / F.col("total")).alias("taken"),
             F.sum(p * F.log(p / F.col("below"))).alias("gain"), F.sum(p).alias("p"), F.sum("below").alias("q"),
@@ -297,14 +286,18 @@ def learn(
         states = materialize(
             sums.select("context", "up", "total", (1 - F.col("taken")).alias("rest"), gain.alias("gain")), "states"
         )
-        del pairs, sums
-        _let_go(spark)
-        share = F.when(F.col("n") >= least, (F.col("n") - DISCOUNT) / F.col("total")).otherwise(0.0)
+        share = F.when(F.col("n") >= next_count, (F.col("n") - DISCOUNT) / F.col("total")).otherwise(0.0)
         chance = share + F.coalesce("rest", F.lit(1.0)) * F.col("below")
-        runs = runs.join(states.select("context", "rest"), "context", "left").withColumn("chance", chance)
-        below = materialize(runs, "level")
+        level = runs.join(states.select("context", "rest"), "context", "left").withColumn("chance", chance)
+        below = materialize(level.select("context", "key", "n", "shorter", "below", "rest", "chance"), "level")
+        discard(runs)
         levels.append((below, states))
-    return Tree(tokens, number, _weights(words, levels, divergence, least))
+        passing.destroy()
+        frequent.destroy()
+    tree = Tree(len(levels), tokens, number, _weights(words, levels, divergence, next_count))
+    for used in (words, *[x for level in levels for x in level]):
+        discard(used)
+    return tree
 
 
 def _weights(words: DataFrame, levels: list[tuple[DataFrame, DataFrame]], divergence: float, least: float) -> DataFrame:
@@ -336,6 +329,14 @@ def _weights(words: DataFrame, levels: list[tuple[DataFrame, DataFrame]], diverg
     )
 
 
+def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted key, -1 where it is not."""
+    if not len(sorted_keys):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == wanted, at, -1)
+
+
 class _Sent(NamedTuple):
     """What every scoring task gets: weights of frequent runs, sorted by key, and a filter of all."""
 
@@ -347,70 +348,155 @@ class _Sent(NamedTuple):
     all: KeyFilter
 
 
-def _sent(tree: Tree, depth: int) -> _Sent:
-    found = tree.weights.filter(F.col("n") >= max(SENT_SHARE * tree.tokens, 1)).drop("n").toArrow()
+def _sent_from(weights: DataFrame) -> int:
+    """The least count, a power of two, from which at most ``SENT`` runs on are sent."""
+    power = F.floor(F.log2("n")).cast("int")
+    sizes = weights.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()  # at most 64 rows
+    least, number = 62, 0
+    for found, size in sorted(sizes, reverse=True):
+        number += size
+        if number > SENT:
+            break
+        least = found
+    return 1 << least
+
+
+def _sent(tree: Tree, least: int) -> _Sent:
+    found = tree.weights.filter(F.col("n") >= least).drop("n").toArrow()
     keys = found["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     base, score = (found[c].to_numpy()[order] for c in ("base", "score"))
-    return _Sent(depth + 1, tree.unseen, keys[order], base, score, key_filter(tree.weights.select("key")))
+    return _Sent(tree.depth + 1, tree.unseen, keys[order], base, score, key_filter(tree.weights.select("key")))
+
+
+#: Rows on their way to where rarer runs are looked up: weights, runs of texts, and what the texts have so far.
+_WEIGHTS, _RUNS, _SOFAR = range(3)
+_PARCEL = "block int, kind int, uid long, one binary, two binary, three binary"
+_SCORED = "uid long, doc_id long, n_tokens long, known long, base double, score double"
+_SOFAR_KIND = np.dtype([("doc_id", "<i8"), ("no_id", "?"), ("n_tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+
+
+def _parcels(kind: int, uid: int, keys: np.ndarray, others: Sequence[np.ndarray], blocks: int) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted keys, a row per block."""
+    block = (keys >> np.uint64(20)) % np.uint64(blocks)
+    order = np.lexsort((keys, block))
+    block, columns = block[order], [x[order] for x in (keys, *others)]
+    cuts = np.flatnonzero(np.diff(block)) + 1
+    starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(block)]
+    if len(block):
+        parts = [pa.array([x[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()) for x in columns]
+        number = len(starts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block[starts].astype(np.int32)), pa.array([kind] * number, pa.int32()), pa.array([uid] * number, pa.int64()), *parts],
+            [x.split()[0] for x in _PARCEL.split(", ")],
+        )
 
 
-_SCORED = (
-    "uid long, doc_id long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>"
-)
+def _weight_parcels(blocks: int):
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            yield from _parcels(
+                _WEIGHTS, 0, batch["key"].to_numpy().view(np.uint64), [batch["base"].to_numpy(), batch["score"].to_numpy()], blocks
+            )
 
+    return run
+
+
+def _scored_parcels(shared, blocks: int):
+    """What texts have by the frequent runs, and their other runs that the filter lets pass."""
 
-def _score(shared):
     def run(batches: Batches) -> Batches:
-        sent, known = shared.value, _Hashes()
-        uid = TaskContext.get().partitionId() << 40
-        for rows, words in _slices(batches, ["doc_id"]):
-            hashes, place, sizes = _symbols(known, words)
-            text, number = np.repeat(np.arange(len(words)), sizes), len(words)
-            base, n_known = sizes * sent.unseen, np.zeros(number, np.int64)
-            score, rare = base.copy(), []
-            for n, keys in enumerate(_runs(hashes, sent.longest)):
-                at = np.flatnonzero((place >= n) & sent.all.passes(keys))
-                found = _find(sent.keys, keys[at])
+        sent = shared.value
+        part = TaskContext.get().partitionId()
+        first = uid = part << 40
+        keys, owners, waiting = [], [], 0
+        for rows, texts in _slices(batches, ["doc_id"]):
+            hashes, place, sizes = _symbols(texts)
+            number = len(texts)
+            text = np.repeat(np.arange(number), sizes)
+            sofar = np.zeros(number, _SOFAR_KIND)
+            sofar["doc_id"] = [r[0] or 0 for r in rows]
+            sofar["no_id"] = [r[0] is None for r in rows]
+            sofar["n_tokens"], sofar["base"] = sizes, sizes * sent.unseen
+            sofar["score"] = sofar["base"]
+            for n, key in enumerate(_runs(hashes, sent.longest)):
+                at = np.flatnonzero(place >= n)
+                at = at[sent.all.passes(key[at])]
+                found = _find(sent.keys, key[at])
                 hit = found >= 0
                 own, found = text[at[hit]], found[hit]
-                base += np.bincount(own, sent.base[found], number)
-                score += np.bincount(own, sent.score[found], number)
-                n_known += np.bincount(own, sent.base[found] > 0, number).astype(np.int64)
-                rare.append((text[at[~hit]], keys[at[~hit]]))
-            owner, key = (np.concatenate(x) for x in zip(*rare, strict=True))
-            order = np.lexsort((key, owner))
-            owner, key = owner[order], key[order]
-            first = np.ones(len(key), bool)
-            first[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
-            starts = np.flatnonzero(first)
-            times = np.diff(np.append(starts, len(key)))
-            offsets = pa.array(np.searchsorted(owner[starts], np.arange(number + 1)), pa.int32())
+                sofar["base"] += np.bincount(own, sent.base[found], number)
+                sofar["score"] += np.bincount(own, sent.score[found], number)
+                sofar["known"] += np.bincount(own, sent.base[found] > 0, number).astype(np.int64)
+                keys.append(key[at[~hit]])
+                owners.append((text[at[~hit]] + (uid - first)).astype(np.uint32))
+                waiting += len(keys[-1])
+            nothing = [pa.array([None], pa.binary())] * 2
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(uid, uid + number)), pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(score),
-                    pa.ListArray.from_arrays(offsets, pa.array(key[starts].view(np.int64))),
-                    pa.ListArray.from_arrays(offsets, pa.array(times)),
-                ],
-                [x.split()[0] for x in _SCORED.split(", ")],
+                [pa.array([(uid >> 10) % blocks], pa.int32()), pa.array([_SOFAR], pa.int32()), pa.array([uid]), pa.array([sofar.tobytes()]), *nothing],
+                [x.split()[0] for x in _PARCEL.split(", ")],
             )
             uid += number
+            if waiting >= _TALLIED:
+                yield from _run_parcels(first, keys, owners, blocks)
+                first, keys, owners, waiting = uid, [], [], 0
+        yield from _run_parcels(first, keys, owners, blocks)
 
     return run
 
 
-def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted key, -1 where it is not."""
-    if not len(sorted_keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == wanted, at, -1)
+def _run_parcels(first: int, keys: list[np.ndarray], owners: list[np.ndarray], blocks: int) -> Iterator[pa.RecordBatch]:
+    """Runs with their texts, each text's repeats of a run as one."""
+    if not keys:
+        return
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    starts = np.flatnonzero(new)
+    times = np.diff(np.append(starts, len(key))).astype(np.uint32)
+    yield from _parcels(_RUNS, first, key[starts], [owner[starts], times], blocks)
+
+
+def _looked_up(batches: Batches) -> Batches:
+    """``_SCORED`` rows: what texts have so far, and what each parcel of their runs adds.  Weights come first."""
+    names = [x.split()[0] for x in _SCORED.split(", ")]
+    held: list[tuple] = []
+    table = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["kind"] == _WEIGHTS:
+                held.append((np.frombuffer(row["one"], np.uint64), *(np.frombuffer(row[c], np.float64) for c in ("two", "three"))))
+                continue
+            if row["kind"] == _SOFAR:
+                sofar = np.frombuffer(row["one"], _SOFAR_KIND)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row["uid"], row["uid"] + len(sofar))), pa.array(sofar["doc_id"].copy(), mask=sofar["no_id"].copy())]
+                    + [pa.array(sofar[c].copy()) for c in names[2:]], names,
+                )
+                continue
+            if table is None:
+                empty = (np.empty(0, np.uint64), np.empty(0), np.empty(0))
+                table = [np.concatenate(x) for x in zip(empty, *held, strict=True)]
+                order = np.argsort(table[0])
+                table, held = [x[order] for x in table], []
+            found = _find(table[0], np.frombuffer(row["one"], np.uint64))
+            hit = found >= 0
+            own, times = (np.frombuffer(row[c], np.uint32)[hit] for c in ("two", "three"))
+            if not len(own):
+                continue
+            own, base, score = own.astype(np.int64), table[1][found[hit]], table[2][found[hit]]
+            texts, of = np.unique(own, return_inverse=True)
+            sums = [np.bincount(of, w) for w in ((base > 0) * times, base * times, score * times)]
+            nothing = pa.nulls(len(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts + row["uid"]), nothing, nothing, pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names
+            )
 
 
 def score(
-    docs: DataFrame, depth: int = DEPTH, context_share: float = 0.0, next_share: float = 0.0,
-    divergence: float = DIVERGENCE, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE, id_col: str = "doc_id", text_col: str = "text",
     context_count: int = CONTEXT_COUNT, next_count: int = NEXT_COUNT,
 ) -> DataFrame:
     """Learn from the rows that are not held out and score all rows.
@@ -422,23 +508,21 @@ def score(
     an empty table gives no rows.  Other columns of ``docs`` are not read.
     """
     require(docs, [id_col, text_col])
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    training = texts.filter(~held_out(F.col("doc_id")))
-    tree = learn(training, depth, context_share, next_share, divergence, context_count, next_count)
-    shared = docs.sparkSession.sparkContext.broadcast(_sent(tree, depth))
-    _let_go(docs.sparkSession)
-    scored = materialize(arrow_map(texts, _score(shared), _SCORED), "scored")
-    pairs = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r"))
-    rare = pairs.select("uid", F.col("r.rare").alias("key"), F.col("r.times").alias("t"))
-    sums = rare.join(tree.weights, "key").groupBy("uid").agg(
-        F.sum(F.col("t") * F.col("base")).alias("more_base"), F.sum(F.col("t") * F.col("score")).alias("more"),
-        F.sum(F.when(F.col("base") > 0, F.col("t"))).alias("found"),
+    tree = learn(texts.filter(~held_out(F.col("doc_id"))), depth, divergence, context_count, next_count)
+    least = _sent_from(tree.weights)
+    shared = spark.sparkContext.broadcast(_sent(tree, least))
+    rare = tree.weights.filter(F.col("n") < least)
+    blocks = partitions_for(spark, rare.count(), _RARE_PER_TASK)
+    parcels = arrow_map(rare.select("key", "base", "score"), _weight_parcels(blocks), _PARCEL)
+    parcels = parcels.unionByName(arrow_map(texts, _scored_parcels(shared, blocks), _PARCEL))
+    found = arrow_map(parcels.repartition(blocks, "block").sortWithinPartitions("kind"), _looked_up, _SCORED)
+    whole = found.groupBy("uid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"),
+        F.sum("base").alias("base_score"), F.sum("score").alias("score"),
     )
-    none = F.lit(0.0)
-    return scored.drop("rare", "times").join(sums, "uid", "left").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens",
-        (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", none)).alias("base_score"),
-        (F.col("score") + F.coalesce("more", none)).alias("score"),
+    return whole.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
+        F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score",
     )
