@@ -281,7 +281,9 @@ def test_planted_context_of_six_words_becomes_a_state(spark):
     for i in range(400):
         first, last = ("left", "north") if i % 2 else ("right", "south")
         rows.append((i, f"{corpus.words(i, 8, 200)} {first} b c d e f {last} {corpus.words(-i, 8, 200)}", None, None))
+    held = [i for i in range(1000, 1100) if zlib.crc32(b"%d" % i) % 7 == 2][:2]
+    rows += [(i, f"left b c d e f {last}", None, None) for i, last in zip(held, ("north", "south"), strict=True)]
     docs = corpus.table(spark, rows)
-    deep, shallow = ({r["doc_id"]: r for r in suffix_tree.score(docs, depth).collect()} for depth in (6, 5))
-    gains = [deep[i]["score"] - shallow[i]["score"] for i in range(400) if deep[i]["held_out"]]
-    assert min(gains) > 0.25 and abs(sum(gains) / len(gains) - math.log10(2)) < 0.05
+    for depth, least, most in ((6, 1.5, 9), (5, -0.2, 0.2)):
+        found = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, depth).filter("doc_id >= 1000").collect()}
+        assert least < found[held[0]] - found[held[1]] < most
