@@ -105,3 +105,31 @@ def test_elements_below_many_open_ones_keep_their_rules():
     for tag in ("span", "a name=x", "font", "div"):
         for number in (150, 3000):
             assert visible_text(f"<{tag}>" * number + page) == plain
+
+
+def test_spans_take_what_their_cells_take():
+    import tracemalloc
+
+    page = "<table>" + "<tr>" + "<td colspan=1000 rowspan=1000>a" * 5 + ("<tr>" + "<td colspan=1000 rowspan=1000>b" * 3) * 4 + "</table>"
+    tracemalloc.start()
+    text = visible_text(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text.split() == ["a"] * 5 + ["b"] * 12 and peak < 5 << 20
+    spanned = "<table><tr><td rowspan=2>one<td>x<tr><td>y<tr><td>z<td>w</table>"
+    assert visible_text(spanned) == "one  x\n     y\nz    w"
+
+
+def test_output_is_linear_in_input():
+    wide = "<table><tr><td>" + "x" * 20_000 + "<td>end" + "<tr><td>a<td>b" * 500 + "</table>"
+    many = "<table><tr>" + f"<td>{'y' * 100}" * 100 + "<tr><td colspan=99><td>z" * 500 + "</table>"
+    for page in (wide, many):
+        assert len(visible_text(page)) < 20 * len(page)
+
+
+def test_what_is_shown():
+    assert visible_text("<dialog>no</dialog><dialog open>yes</dialog>") == "yes"
+    assert visible_text("<input value=a><input type=checkbox value=on><input type=Password value=s><input type=submit value=Go>") == "a Go"
+    assert visible_text("<p style='--x:display:none'>yes</p><p style='color:red; Display : none'>no</p>") == "yes"
+    assert visible_text("<ol><li>a<li value=7>b<li>c</ol>") == "1. a\n7. b\n8. c"
+    assert visible_text("<ol reversed><li>a<li>b</ol><ol reversed start=9><li>a<li>b</ol>").split() == "2. a 1. b 9. a 8. b".split()

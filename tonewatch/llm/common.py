@@ -46,6 +46,17 @@ def require(df: DataFrame, columns: Sequence[str]) -> None:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for added columns that no column of ``df`` has, whatever its case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def partitions_for(spark: SparkSession, amount: int | None, per_partition: int) -> int:
     """Partitions for ``amount`` bytes or rows, ``per_partition`` each, at least one for each core."""
     return max(-(-(amount or 0) // per_partition), spark.sparkContext.defaultParallelism)

@@ -58,7 +58,11 @@ _MARKUP = re.compile(r"<(?:!--|[!?]|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)|/)")
 _COMMENT_END = re.compile(r"--!?>")
 _TAG_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+#: Inputs that show something else than their value.
+_UNSHOWN_INPUTS = ("hidden", "password", "checkbox", "radio", "color", "range", "file", "image")
+#: Wider cells do not widen their column, and no cell begins further right than this by alignment.
+WIDEST_ALIGNED, FURTHEST_ALIGNED = 120, 400
 _BLANK = re.compile(r"[ \t\n\f\r]+")
 
 RESULT = "page_id long, url string, text string"
@@ -227,9 +231,11 @@ def shown(node: Node) -> bool:
     if node.tag in NEVER_SHOWN:
         return False
     own = node.attributes
+    if node.tag == "dialog" and "open" not in own:
+        return False
     if not own:
         return True
-    if "hidden" in own or (node.tag == "input" and own.get("type", "").lower() == "hidden"):
+    if "hidden" in own or (node.tag == "input" and own.get("type", "").strip().lower() in _UNSHOWN_INPUTS):
         return False
     return not ("style" in own and _HIDING.search(own["style"]))
 
@@ -294,7 +300,7 @@ def _flow(node: Node, layout: _Layout, kept: bool) -> Step:
     children = node.children
     if node.tag == "details" and "open" not in node.attributes:
         children = [c for c in children if not isinstance(c, str) and c.tag == "summary"][:1]
-    number = _start_number(node)
+    number, step = _start_number(node), -1 if "reversed" in node.attributes else 1
     for child in children:
         if isinstance(child, str):
             layout.pieces.append(child)
@@ -316,9 +322,10 @@ def _flow(node: Node, layout: _Layout, kept: bool) -> Step:
             elif child.tag == "table":
                 layout.add((yield _table(child)), True)
             elif child.tag == "li":
+                number = number if number is None else _number(child, "value", number)
                 bullet = "- " if number is None else f"{number}. "
                 layout.add((yield _item(child, bullet)), False)
-                number = None if number is None else number + 1
+                number = None if number is None else number + step
             else:
                 keeps = kept or child.tag in ("pre", "textarea")
                 lines = yield _block(child, keeps)
@@ -330,11 +337,16 @@ def _flow(node: Node, layout: _Layout, kept: bool) -> Step:
             yield _flow(child, layout, kept)
 
 
+def _number(node: Node, name: str, default: int) -> int:
+    value = node.attributes.get(name, "").strip()
+    return int(value) if re.fullmatch(r"-?\d{1,9}", value) else default
+
+
 def _start_number(node: Node) -> int | None:
     if node.tag != "ol":
         return None
-    start = node.attributes.get("start", "1")
-    return int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+    items = sum(not isinstance(c, str) and c.tag == "li" for c in node.children) if "reversed" in node.attributes else 1
+    return _number(node, "start", items)
 
 
 def _item(node: Node, bullet: str) -> Step:
@@ -379,38 +391,53 @@ def _outside_cells(table: Node) -> Node:
 
 
 def _table(table: Node) -> Step:
-    """Cells of a column begin at the same place; a cell with several lines keeps them in its column."""
+    """Cells of a column begin at the same place; a cell with several lines keeps them in its column.
+
+    A cell that spans rows keeps its columns of the rows below, as many as there
+    are.  What is kept is an interval of columns, and only columns in which a
+    cell begins or whose width counts are looked at, so time and memory follow
+    the cells and not their spans.  Cells wider than ``WIDEST_ALIGNED`` do not
+    widen their column, and cells that would begin beyond ``FURTHEST_ALIGNED``
+    follow the one before after two blanks, so a line is not longer than its
+    cells by more than that.
+    """
     before = yield _block(_outside_cells(table))
     grid: list[list[tuple[int, int, list[str]]]] = []  # column, columns, lines
-    taken: dict[int, set[int]] = {}
+    taken: list[tuple[int, int, int]] = []  # first column, column after the last, row after the last
     for r, cells in enumerate(_rows(table)):
-        column, row = 0, []
+        taken = sorted(x for x in taken if x[2] > r)
+        column, row, k = 0, [], 0
+        below = []
         for cell in cells:
-            while column in taken.get(r, ()):
-                column += 1
+            while k < len(taken) and taken[k][0] <= column:
+                column = max(column, taken[k][1])
+                k += 1
             wide, deep = _span(cell, "colspan"), _span(cell, "rowspan")
-            for below in range(r + 1, r + deep):
-                taken.setdefault(below, set()).update(range(column, column + wide))
+            if deep > 1:
+                below.append((column, column + wide, r + deep))
             row.append((column, wide, [x.text for x in (yield _block(cell))] or [""]))
             column += wide
+        taken += below
         grid.append(row)
     widths: dict[int, int] = {}
     for row in grid:
         for column, wide, lines in row:
             if wide == 1:
-                widths[column] = max(widths.get(column, 0), *map(len, lines))
+                fitting = [len(x) for x in lines if len(x) <= WIDEST_ALIGNED]
+                widths[column] = max(widths.get(column, 0), *fitting, 0)
     starts, place = {}, 0
-    for column in range(max([c + w for row in grid for c, w, _ in row], default=0)):
+    for column in sorted({column for row in grid for column, _, _ in row} | set(widths)):
         starts[column] = place
-        place += widths.get(column, 0) + 2 if widths.get(column) else 0
+        place += widths[column] + 2 if widths.get(column) else 0
     lines = []
     for row in grid:
         for i in range(max([len(x) for _, _, x in row], default=0)):
             line = ""
             for column, _, cell in row:
                 if i < len(cell) and cell[i]:
-                    line = line.ljust(starts[column])
-                    line += "  " * (len(line) > starts[column]) + cell[i]
+                    if starts[column] <= FURTHEST_ALIGNED:
+                        line = line.ljust(starts[column])
+                    line += "  " * (len(line) > starts[column] or starts[column] > FURTHEST_ALIGNED) + cell[i]
             if line.strip():
                 lines.append(Line(line, False))
     return before + lines

@@ -82,6 +82,11 @@ def mix(
     """
     require(docs, [id_col, source_col, text_col])
     kept = [c for c in docs.columns if c not in ADDED]
+    if any(c.startswith("__") for c in docs.columns):  # names of steps on the way
+        plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+        named = dict(zip(docs.columns, plain.columns, strict=True))
+        mixed = mix(plain, targets, seed, named[id_col], named[source_col], named[text_col])
+        return mixed.select(*[F.col(named[c]).alias(c) for c in kept], *ADDED)
     tables = rates(docs, targets, source_col, text_col).withColumns({
         "__draws": F.ceil(F.col("__rate") / DRAW_RATE),
     })
@@ -106,6 +111,14 @@ def mix(
     return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
+def mix_rows(docs: DataFrame, targets: Mapping[str, float] | None = None, **names) -> DataFrame:
+    """``mix`` with the columns of ``docs`` alone, whatever they are called."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    named = dict(zip(docs.columns, plain.columns, strict=True))
+    columns = {k: named[names.get(k, v)] for k, v in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text"))}
+    return mix(plain, targets, names.get("seed", SEED), **columns).select(*plain.columns).toDF(*docs.columns)
+
+
 def mixing_sql(columns: str, seed: str = SEED) -> str:
     """DuckDB's statement of ``mix`` without targets over ``documents``."""
     return f"""

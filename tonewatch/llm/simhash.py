@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import materialize
-from .common import Batches, arrow_map, require
+from .common import Batches, arrow_map, free_names, require
 from .components import components
 
 BITS = 64
@@ -253,9 +253,6 @@ def near_duplicates(
     return marked.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-_ADDED = ("__row", "__fingerprint")
-
-
 def keep_one(
     docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id",
     text_col: str = "text", shard_rows: int = SHARD_ROWS,
@@ -263,10 +260,12 @@ def keep_one(
     """One row of each component of ``near_duplicates``, with all columns of ``docs``.
 
     It is the row with the least ``doc_id``; among rows with the same id any one
-    of them, and a row without id only where no other has one.
+    of them, and a row without id only where no other has one.  Columns of
+    ``docs`` may have any names; an empty table stays empty.
     """
     require(docs, [id_col, text_col])
-    schema = StructType(list(docs.schema.fields)).add("__row", "long").add("__fingerprint", "long")
+    row_col, mark_col = free_names(docs, "__row", "__fingerprint")
+    schema = StructType(list(docs.schema.fields)).add(row_col, "long").add(mark_col, "long")
 
     def run(batches: Batches) -> Batches:
         row = TaskContext.get().partitionId() << 40
@@ -274,18 +273,18 @@ def keep_one(
             texts = batch[text_col].cast(pa.binary()).to_pylist()
             found = np.array([fingerprint(x, words_per_shingle) for x in texts], dtype=np.uint64).view(np.int64)
             added = [pa.array(np.arange(row, row + batch.num_rows)), pa.array(found)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *_ADDED])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, row_col, mark_col])
             row += batch.num_rows
 
     marked = materialize(arrow_map(docs, run, schema), "marked_documents")
     rows = marked.select(
-        F.col("__fingerprint").alias("fingerprint"), F.col("__row").alias("row"), F.col(id_col).alias("id")
+        F.col(mark_col).alias("fingerprint"), F.col(row_col).alias("row"), F.col(id_col).alias("id")
     )
     distinct = materialize(rows.select("fingerprint").distinct(), "distinct_fingerprints")
     rooted = materialize(component_roots(distinct, max_bits, shard_rows), "component_labels")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
-    first = rows.join(rooted, "fingerprint").groupBy("root").agg(F.min_by("row", order).alias("__row"))
-    return marked.join(first.select("__row"), "__row", "left_semi").select(*docs.columns)
+    first = rows.join(rooted, "fingerprint").groupBy("root").agg(F.min_by("row", order).alias(row_col))
+    return marked.join(first.select(row_col), row_col, "left_semi").select(*docs.columns)
 
 
 def hex_digits(fingerprint: Column) -> Column:
