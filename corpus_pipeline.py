@@ -4,7 +4,9 @@ Raw documents become packed training sequences: texts unlike those labelled good
 go, then texts in no known language, then all but one of each group of near
 copies; sources are mixed to equal shares of characters, and what is left is
 packed into sequences of 1024 ids.  All stages but the last return the columns
-of ``documents``.
+of ``documents``, under whatever further names they come.  Null and empty texts
+are judged like any other; repeated rows are each their own until the third
+stage; an empty table stays empty in all of them.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that each source has the same share of the characters, in random order."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
