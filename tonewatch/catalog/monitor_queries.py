@@ -7,8 +7,9 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from ..constants import DRIFT_CONFIDENCE
-from ..operators import checks, drift, quality, registry, running
+from ..operators import checks, drift, quality, registry, running, sketches
 from ..plans import reports
+from ..session import materialize
 from . import fixtures as fx
 from . import fixtures_sql as sql
 from .dataset_queries import TESTS_BY_PRODUCT, _tests_by_product
@@ -388,3 +389,33 @@ def data_drift_report_fitted(spark, d):
     return reports.data_drift_report(
         reference, current, categorical=["prediction", "lang", "unused"], annotation_col="category"
     )
+
+
+@query("profile_of_states", f"""
+WITH batches AS (SELECT floor({sql.u(17)} * 4) AS batch, value, event_type FROM (SELECT event_id AS doc_id, value, event_type FROM events)),
+rows_of AS (SELECT 'value' AS "column", count(*) AS row_count, count(*) FILTER (value IS NULL) AS missing, min(value) AS min, max(value) AS max,
+    avg(value) AS mean, stddev_samp(value) AS std FROM batches
+  UNION ALL SELECT 'event_type', count(*), count(*) FILTER (event_type IS NULL), NULL, NULL, NULL, NULL FROM batches)
+SELECT "column", (SELECT count(DISTINCT batch) FROM batches) AS batches, row_count, missing, min, max, round(mean, 6) AS mean, round(std, 6) AS std,
+  true AS distinct_within, true AS median_within FROM rows_of""")
+def profile_of_states(spark, d):
+    """The events' profile merged from a stored state per batch, its sketches held against exact figures."""
+    events = fx.table(spark, d, "events")
+    batch = F.floor(fx.unit_hash(17, F.col("event_id")) * 4)
+    states = materialize(sketches.batch_states(events, batch, categorical=["event_type"], numeric=["value"]), "batch_states")
+    found = sketches.profile(sketches.merged(states))
+    value, kinds = F.col("value").cast("double"), F.countDistinct("event_type")
+    median = found.filter("q50 IS NOT NULL").select("q50").scalar()
+    exact = events.agg(
+        F.countDistinct("value").alias("value"), kinds.alias("event_type"), F.count("value").alias("n"),
+        F.count_if(value < median).alias("below"), F.count_if(value <= median).alias("upto"),
+    )
+    distinct = F.when(F.col("column") == "value", exact.select("value").scalar()).otherwise(exact.select("event_type").scalar())
+    half, n = exact.select("n").scalar() / 2, exact.select("n").scalar()
+    error = F.lit(sketches.RANK_ERROR) * n + 1
+    return found.select(
+        "column", states.agg(F.countDistinct("batch")).scalar().alias("batches"), "row_count", "missing", "min", "max",
+        F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
+        (F.abs(F.col("distinct_values") / distinct - 1) <= F.col("distinct_error")).alias("distinct_within"),
+        (F.col("q50").isNull() | (exact.select("below").scalar() <= half + error) & (exact.select("upto").scalar() >= half - error)).alias("median_within"),
+    )
