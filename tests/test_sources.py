@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tonewatch.operators import registry
@@ -118,3 +119,38 @@ def test_promotion_tags_the_source_and_copies_it_to_production(spark):
         ("live", 4): ("Production", "r4", {"k": "d"}), ("live", 5): ("Production", "r1", {"k": "a", **yes}),
         ("live", 6): ("Production", "r2", yes), ("first", 1): ("Production", "r3", {"k": "c", **yes}),
     }
+
+
+@pytest.mark.parametrize("bytes_per_split", [1 << 27, 400])
+def test_first_row_goes_by_its_place(spark, tmp_path, bytes_per_split):
+    from tonewatch.sources import row_numbers
+
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("".join(f"{name},{i},text {i % 3}\n" for i in range(900)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(bytes_per_split))
+    try:
+        scan = csv_tables.read_csv(spark, str(tmp_path), "f string, i int, t string", header=False)
+        assert scan.rdd.getNumPartitions() >= (40 if bytes_per_split == 400 else 1)
+        rows = row_numbers.numbered(scan).collect()
+        rest = row_numbers.drop_first_row(scan).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["f"], r["ordinal"]) for r in rows) == sorted((f, i) for f in "ab" for i in range(900))
+    assert all(r["ordinal"] == r["i"] for r in rows)
+    assert sorted((r["f"], r["i"]) for r in rest) == sorted((f, i) for f in "ab" for i in range(1, 900))
+
+
+def test_stages_are_counted_by_one_execution(spark):
+    from tonewatch.operators import observed
+    from tonewatch.session import materialize
+
+    rows = [("p", "Positive", "fine words"), ("p", "Other", "x"), ("p", "", "y"), ("p", "Negative", None), ("p", "Neutral", "  "), ("p", "Neutral", "12 34")]
+    clean, counts = observed.counted_stages(spark.createDataFrame(rows, "Product string, Label string, Text string"))
+    written = materialize(clean, "counted")
+    assert [(r["stage"], r["rows"], r["dropped"]) for r in counts().orderBy("place").collect()] == [
+        ("input", 6, 0), ("drop_null_text", 5, 1), ("filter_not_blank", 3, 2), ("filter_known_label", 2, 1), ("clean_text", 1, 1),
+    ]
+    assert written.count() == 1
+    made = written.mapInArrow(lambda batches: batches, written.schema)  # observations do not stay in the way of later tasks
+    assert made.count() == 1

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..constants import SMOKE_SAMPLES
 from ..functions import labels, text
-from ..operators import checks, cleaning, splits
+from ..operators import checks, cleaning, observed, splits
 from ..operators.drift import psi_table as drift_table
 from ..plans import reports
 from ..plans.scoring import smoke_samples
 from ..schemas import RAW_COMMENTS
-from ..session import scratch_path
-from ..sources import csv_tables, objects, writers
+from ..session import materialize, scratch_path
+from ..sources import csv_tables, objects, row_numbers, writers
 from . import fixtures as fx
 from . import fixtures_sql as sql
 from .registry import query
@@ -221,6 +221,29 @@ def drop_header_row(spark, d):
     )
 
 
+@query("file_row_numbers", """
+SELECT doc_id, row_number() OVER () - 1 AS ordinal, row_number() OVER () > 1 AS stays FROM documents""")
+def file_row_numbers(spark, d):
+    """Places of the documents in their file, and whether they stay when its first row goes."""
+    scan = fx.table(spark, d, "documents")
+    rest = row_numbers.drop_first_row(scan).select("doc_id", F.lit(True).alias("stays"))
+    found = row_numbers.numbered(scan).select("doc_id", "ordinal").join(rest, "doc_id", "left")
+    return found.withColumn("stays", F.coalesce("stays", F.lit(False)))
+
+
+@query("observed_counts", WITH + sql.DIRTY + f""",
+counts AS (SELECT count(*) AS a, count(*) FILTER (body IS NOT NULL) AS b, count(*) FILTER (trim(body) <> '' AND trim(name) <> '') AS c,
+  count(*) FILTER (trim(body) <> '' AND name IN ('Negative', 'Positive', 'Neutral', 'Irrelevant')) AS d FROM dirty),
+kept AS (SELECT count(*) AS e FROM ({sql.clean_select("(SELECT doc_id, body FROM dirty WHERE trim(body) <> '' AND name IN ('Negative', 'Positive', 'Neutral', 'Irrelevant'))", "body", "doc_id")}) WHERE length(text) > 0)
+SELECT unnest([0, 1, 2, 3, 4])::INT AS place, unnest(['input', 'drop_null_text', 'filter_not_blank', 'filter_known_label', 'clean_text']) AS stage,
+  unnest([a, b, c, d, e]) AS "rows", unnest([0, a - b, b - c, c - d, d - e]) AS dropped FROM counts, kept""")
+def observed_counts(spark, d):
+    """Rows that entered and left each stage of preprocessing, counted by the one execution that wrote its result."""
+    clean, counts = observed.counted_stages(fx.labeled_text_dirty(spark, d).select(*RAW))
+    materialize(clean, "observed")
+    return counts()
+
+
 def _brief(df):
     return df.select("doc_id", F.col("Label").alias("label"))
 
