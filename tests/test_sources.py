@@ -154,3 +154,31 @@ def test_stages_are_counted_by_one_execution(spark):
     assert written.count() == 1
     made = written.mapInArrow(lambda batches: batches, written.schema)  # observations do not stay in the way of later tasks
     assert made.count() == 1
+
+
+def test_runs_are_seen_whole_or_not_at_all(spark, tmp_path):
+    from tonewatch.sources import committed
+
+    path, kind = str(tmp_path / "runs"), "run string, n int"
+
+    def made(run, numbers):
+        return spark.createDataFrame([(run, n) for n in numbers], kind)
+
+    def seen():
+        return sorted(map(tuple, committed.read_runs(spark, path, made("x", []).schema).collect()))
+
+    assert seen() == []
+    committed.write_run(made("a", [1]), path, "a")  # ended before its commit
+    assert seen() == []
+    committed.append_run(made("a", [1, 2]), path, "a")
+    committed.append_run(made("b", [3]), path, "b")
+    assert seen() == [("a", 1), ("a", 2), ("b", 3)]
+    broken = made("a", [7]).selectExpr("run", "raise_error('lost') as n")
+    with pytest.raises(Exception, match="lost"):
+        committed.append_run(broken, path, "a")
+    assert seen() == [("a", 1), ("a", 2), ("b", 3)]
+    committed.append_run(made("a", [8]), path, "a")
+    assert seen() == [("a", 8), ("b", 3)] and set(committed.committed_runs(spark, path)) == {"a", "b"}
+    assert committed.drop_uncommitted(spark, path) >= 2 and seen() == [("a", 8), ("b", 3)]
+    with pytest.raises(ValueError):
+        committed.append_run(made("a", [8]), path, "a/b")

@@ -12,7 +12,7 @@ from ..plans import reports
 from ..plans.scoring import smoke_samples
 from ..schemas import RAW_COMMENTS
 from ..session import materialize, scratch_path
-from ..sources import csv_tables, objects, row_numbers, writers
+from ..sources import committed, csv_tables, objects, row_numbers, writers
 from . import fixtures as fx
 from . import fixtures_sql as sql
 from .registry import query
@@ -244,6 +244,21 @@ def observed_counts(spark, d):
     return counts()
 
 
+@query("sink_committed_runs", WITH + sql.DIRTY + """
+SELECT 'first' AS run_id, doc_id, name AS label FROM dirty WHERE doc_id % 3 = 1 UNION ALL
+SELECT 'second', doc_id, name FROM dirty WHERE doc_id % 3 = 2""")
+def sink_committed_runs(spark, d):
+    """Two committed runs, the first of them repeated after it ended half-way, and one that never was committed."""
+    path = scratch_path(spark, "runs")
+    rows = fx.labeled_text_dirty(spark, d).select("doc_id", F.col("Label").alias("label"))
+    runs = {name: rows.filter(F.col("doc_id") % 3 == i).select(F.lit(name).alias("run_id"), "*") for i, name in enumerate(("lost", "first", "second"))}
+    committed.write_run(runs["first"].limit(5), path, "first")
+    committed.write_run(runs["lost"], path, "lost")
+    for name in ("first", "second"):
+        committed.append_run(runs[name], path, name)
+    return committed.read_runs(spark, path, runs["first"].schema)
+
+
 def _brief(df):
     return df.select("doc_id", F.col("Label").alias("label"))
 
