@@ -49,8 +49,8 @@ DISCOUNT = 0.75
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 #: So many of the most frequent runs, at most, are sent to all tasks.
 SENT = 1_500_000
-#: Weights of rarer runs that a task holds.
-_RARE_PER_TASK = 1_000_000
+#: Weights of rarer runs that a task holds, and tokens whose rarer runs come to it.
+_RARE_PER_TASK, _TOKENS_PER_TASK = 1_000_000, 6_000_000
 _BYTES_AT_ONCE = 1 << 21
 _TALLIED = 1_000_000
 #: Texts of this many bytes are counted by one task after the shuffle, from so many blocks of each sender.
@@ -465,14 +465,17 @@ def _looked_up(batches: Batches) -> Batches:
     held: list[tuple] = []
     table = None
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["kind"] == _WEIGHTS:
-                held.append((np.frombuffer(row["one"], np.uint64), *(np.frombuffer(row[c], np.float64) for c in ("two", "three"))))
+        for at, (kind, uid) in enumerate(zip(batch["kind"].to_pylist(), batch["uid"].to_pylist(), strict=True)):
+            def values(column: str, of, batch: pa.RecordBatch = batch, at: int = at) -> np.ndarray:
+                return np.frombuffer(batch[column][at].as_buffer(), of)
+
+            if kind == _WEIGHTS:
+                held.append((values("one", np.uint64).copy(), values("two", np.float64).copy(), values("three", np.float64).copy()))
                 continue
-            if row["kind"] == _SOFAR:
-                sofar = np.frombuffer(row["one"], _SOFAR_KIND)
+            if kind == _SOFAR:
+                sofar = values("one", _SOFAR_KIND)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row["uid"], row["uid"] + len(sofar))), pa.array(sofar["doc_id"].copy(), mask=sofar["no_id"].copy())]
+                    [pa.array(np.arange(uid, uid + len(sofar))), pa.array(sofar["doc_id"].copy(), mask=sofar["no_id"].copy())]
                     + [pa.array(sofar[c].copy()) for c in names[2:]], names,
                 )
                 continue
@@ -481,9 +484,9 @@ def _looked_up(batches: Batches) -> Batches:
                 table = [np.concatenate(x) for x in zip(empty, *held, strict=True)]
                 order = np.argsort(table[0])
                 table, held = [x[order] for x in table], []
-            found = _find(table[0], np.frombuffer(row["one"], np.uint64))
+            found = _find(table[0], values("one", np.uint64))
             hit = found >= 0
-            own, times = (np.frombuffer(row[c], np.uint32)[hit] for c in ("two", "three"))
+            own, times = (values(c, np.uint32)[hit] for c in ("two", "three"))
             if not len(own):
                 continue
             own, base, score = own.astype(np.int64), table[1][found[hit]], table[2][found[hit]]
@@ -491,7 +494,7 @@ def _looked_up(batches: Batches) -> Batches:
             sums = [np.bincount(of, w) for w in ((base > 0) * times, base * times, score * times)]
             nothing = pa.nulls(len(texts), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts + row["uid"]), nothing, nothing, pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names
+                [pa.array(texts + uid), nothing, nothing, pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names
             )
 
 
@@ -514,7 +517,7 @@ def score(
     least = _sent_from(tree.weights)
     shared = spark.sparkContext.broadcast(_sent(tree, least))
     rare = tree.weights.filter(F.col("n") < least)
-    blocks = partitions_for(spark, rare.count(), _RARE_PER_TASK)
+    blocks = max(partitions_for(spark, rare.count(), _RARE_PER_TASK), -(-tree.tokens // _TOKENS_PER_TASK))
     parcels = arrow_map(rare.select("key", "base", "score"), _weight_parcels(blocks), _PARCEL)
     parcels = parcels.unionByName(arrow_map(texts, _scored_parcels(shared, blocks), _PARCEL))
     found = arrow_map(parcels.repartition(blocks, "block").sortWithinPartitions("kind"), _looked_up, _SCORED)
