@@ -19,9 +19,9 @@ import numpy as np
 
 from .common import hold
 
-REMEMBERED_BYTES = 96 << 20
+REMEMBERED_BYTES = 160 << 20
 #: What an entry of a table takes besides its key and value.
-_ENTRY_BYTES = 104
+_ENTRY_BYTES = 72
 #: Longer parts are encoded each time they occur.
 LONGEST_REMEMBERED = 48
 BYTES_PER_ID = 4
