@@ -16,9 +16,11 @@ def _digest(edges: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` of every node of ``links(a, b)`` but the roots: the smallest node it can reach.
 
-    A step only takes the least neighbour of each node, an aggregate that
-    combines before the shuffle, and joins it back, so a node with very many
-    neighbours is never gathered.  Every step is written to the shared folder.
+    A step takes the least neighbour of each node, an aggregate that combines
+    before the shuffle, and joins it back.  That join streams the links of a node
+    through one task, unless adaptive execution cuts it: a node with very many
+    neighbours takes long there, though no memory.  Every step is written to the
+    shared folder.
     The number of steps grows with the logarithm of the longest path.  Links of
     a node to itself and links that repeat change nothing; no links, no rows.
     """
