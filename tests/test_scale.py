@@ -59,6 +59,15 @@ def test_salted_join_equals_broadcast_join(spark, how):
     assert small.count() == (600 if how == "left" else rows.filter("k = 'hot' or cast(substr(k, 2) as int) < 30").count())
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_rows_without_key_meet_nothing(spark, how):
+    rows = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(200)], "id int, k string")
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    found = lookup_join(rows, table, "k", how, max_broadcast_bytes=0, rows_per_task=30)
+    expected = [(i, None, None) if i % 2 else (i, "a", 1) for i in range(200) if how == "left" or i % 2 == 0]
+    assert Counter(map(tuple, found.select("id", "k", "v").collect())) == Counter(expected)
+
+
 def test_measured_size_follows_the_values(spark):
     df = spark.createDataFrame([("abc", [1.0, 2.0]), (None, None)], "s string, a array<double>")
     assert data_bytes(df) == 2 * 32 + 3 + 16
