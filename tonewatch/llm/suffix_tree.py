@@ -50,8 +50,10 @@ END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 #: So many of the most frequent runs, at most, are sent to all tasks.
 SENT = 1_500_000
 #: Weights of rarer runs that a task holds, and tokens whose rarer runs come to it.
-_RARE_PER_TASK, _TOKENS_PER_TASK = 1_000_000, 6_000_000
-_BYTES_AT_ONCE = 1 << 21
+_RARE_PER_TASK, _TOKENS_PER_TASK = 1_000_000, 3_000_000
+#: Rarer runs of texts that a task sends at once.
+_RUNS_AT_ONCE = 300_000
+_BYTES_AT_ONCE = 1 << 20
 _TALLIED = 1_000_000
 #: Texts of this many bytes are counted by one task after the shuffle, from so many blocks of each sender.
 _BYTES_PER_COUNTER = 8 << 20
@@ -437,7 +439,7 @@ def _scored_parcels(shared, blocks: int):
                 [x.split()[0] for x in _PARCEL.split(", ")],
             )
             uid += number
-            if waiting >= _TALLIED:
+            if waiting >= _RUNS_AT_ONCE:
                 yield from _run_parcels(first, keys, owners, blocks)
                 first, keys, owners, waiting = uid, [], [], 0
         yield from _run_parcels(first, keys, owners, blocks)
