@@ -52,9 +52,9 @@ SENT = 1_500_000
 #: Weights of rarer runs that a task holds, and tokens whose rarer runs come to it.
 _RARE_PER_TASK, _TOKENS_PER_TASK = 1_000_000, 3_000_000
 #: Rarer runs of texts that a task sends at once.
-_RUNS_AT_ONCE = 300_000
+_RUNS_AT_ONCE = 150_000
 _BYTES_AT_ONCE = 1 << 20
-_TALLIED = 1_000_000
+_TALLIED = 400_000
 #: Texts of this many bytes are counted by one task after the shuffle, from so many blocks of each sender.
 _BYTES_PER_COUNTER = 8 << 20
 _BLOCKS = 4
