@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
@@ -6,7 +7,7 @@ from tonewatch.catalog import fixtures as fx
 from tonewatch.constants import SMOKE_SAMPLES
 from tonewatch.functions.confidence import max_confidence_text
 from tonewatch.operators.cleaning import clean_text_column
-from tonewatch.operators import splits
+from tonewatch.operators import drift, splits
 from tonewatch.plans import reports, scoring, training
 from tonewatch.session import materialize, scratch_path
 
@@ -52,6 +53,23 @@ def test_text_drift_is_seen_where_there_is_some(spark):
     assert 0.35 < rows["even"] < 0.65
 
 
+def test_models_of_two_classes_score_after_an_observation(spark):
+    seen = Observation("seen")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    word = F.when(F.col("id") % 2 == 0, "good").otherwise("bad")
+    rows = materialize(spark.range(200).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("one"), word).alias("Text"), (F.col("id") % 2).cast("int").alias("Label")
+    ), "two")
+    found = drift.text_content_drift(rows.filter("Label = 0"), rows.filter("Label = 1"), "Text").first()
+    assert found["value"] == 1 and found["drifted"]
+    scored = scoring.score_batch(training.train_logreg(rows, use_hashing=True, num_features=50), rows)
+    assert scored.filter("prediction = Label").count() == 200
+    folds = training.tokenized_folds(rows, "doc_id", k=2)
+    estimator = training.Pipeline(stages=training.learned_stages(True, num_features=50))
+    assert {r["f1"] for r in training.k_fold_cross_validate(folds, estimator, k=2).collect()} == {1.0}
+
+
 def test_expressions_run_on_a_stream(spark, tmp_path):
     rows = spark.createDataFrame([("Hello @me World", "metadata={'0': '0.5'}")], "Text string, category string")
     rows.write.parquet(str(tmp_path / "in"))

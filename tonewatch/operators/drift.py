@@ -21,7 +21,7 @@ from ..constants import (
     TEXT_DRIFT_THRESHOLD,
 )
 from ..functions.hashing import unit_hash
-from ..session import materialize
+from ..session import materialize, without_session
 from .features import feature_tokens
 from .running import auc_interval
 
@@ -191,6 +191,7 @@ def domain_scores(
         IDF(inputCol="counts", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="label", maxIter=20, regParam=0.01),
     ]).fit(vectors.filter(in_train))
+    model = without_session(vectors.sparkSession, model)
     scored = model.transform(vectors.filter(~in_train))
     return scored.select(vector_to_array("probability")[1].alias("score"), F.col("label").cast("int").alias("label"))
 
