@@ -95,6 +95,34 @@ def test_many_tasks_are_summed_as_a_tree(spark, monkeypatch):
     assert np.allclose(network.train(steps, begin, epochs=1)[0].params, whole.params)
 
 
+def test_small_steps_are_taken_in_runs_of_any_length(spark, monkeypatch):
+    steps = network.dealt(table(spark), "id", "x", "y", batch=8, shards=3)
+    begin = network.initial(LAYERS)
+    monkeypatch.setattr(network, "STEP_ROWS", 0)
+    summed, log = network.train(steps, begin, epochs=2)
+    monkeypatch.undo()
+    monkeypatch.setattr(network, "_summed", None)  # no step needs a job of its own
+    for rows in (1, 60, 1000):
+        monkeypatch.setattr(network, "RUN_ROWS", rows)
+        state, own = network.train(steps, begin, epochs=2)
+        assert np.allclose(state.params, summed.params) and np.allclose(state.second, summed.second) and state.steps == summed.steps
+        assert [(r[:3], pytest.approx(r[3])) for r in own.collect()] == [(r[:3], r[3]) for r in log.collect()]
+
+
+def test_steps_go_on_over_batches(spark):
+    draw = np.random.default_rng(4)
+    x, y, places = draw.normal(size=(30, 4)), draw.integers(0, 3, 30), np.repeat(np.arange(5), 6)
+    batches = [
+        network.pa.RecordBatch.from_pydict({"place": places[a:b], "features": x[a:b].tolist(), "label": y[a:b]})
+        for a, b in ((0, 4), (4, 5), (5, 19), (19, 30))
+    ]
+    state = network.initial(LAYERS)
+    found = next(network._relay(state, 0.01)(iter(batches)))
+    for k in range(5):
+        state = network.adam(state, network.gradient(LAYERS, state.params, x[k * 6 : k * 6 + 6], y[k * 6 : k * 6 + 6])[1] / 6, 0.01)
+    assert np.allclose(found["params"][0].as_py(), state.params) and found["rows"][0].as_py() == 30
+
+
 def test_planted_signal_is_found_and_scored_natively(spark):
     rows = table(spark, 300)
     state, _ = network.train(network.dealt(rows, "id", "x", "y", shards=2), network.initial(LAYERS), epochs=3, rate=0.02)

@@ -1,11 +1,13 @@
 """A feed-forward classifier trained by synchronous mini-batch Adam, and its predictions as expressions.
 
 Rows are dealt to shards by the hash of their key.  A step takes the next
-``batch`` rows of every shard; tasks add up the gradients of their rows, the sums
-are combined as a tree of aggregates, and the driver, which holds the parameters
-and Adam's moments, sends the next parameters with the next step.  What a step
-moves is one vector of parameters per task, whatever the table holds; a step that
-loses an executor runs again with the same rows and parameters.
+``batch`` rows of every shard.  Steps follow one another, so a table of many small
+steps is dealt, epoch by epoch, into runs of steps in the order they are taken:
+a task gets the parameters and Adam's moments, takes the steps of one run, and
+hands them back for the next.  A run is bounded, whatever the table holds.  Where
+a single step has many rows, tasks add up the gradients of their rows, the sums are
+combined as a tree of aggregates, and the driver makes the step.  A run or step
+that loses an executor runs again with the same rows and parameters.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import NETWORK_BATCH, NETWORK_EPOCHS, NETWORK_RATE, SPLIT_SEED
-from ..session import materialize, scratch_path, share_package
+from ..session import discard_path, materialize, scratch_path, share_package
 
 HIDDEN = (32,)
 #: Adam's decay rates and what keeps its steps finite.
@@ -31,6 +33,8 @@ _BETA1, _BETA2, _EPSILON = 0.9, 0.999, 1e-8
 #: Sums of more tasks than this are combined in two steps.
 _FAN_IN = 32
 ROWS_PER_SHARD = 1_000_000
+#: Rows of one run, and how many rows of a step are too many for one task.
+RUN_ROWS, STEP_ROWS = 32_768, 8192
 
 
 class State(NamedTuple):
@@ -148,6 +152,73 @@ def _summed(sums: DataFrame, tasks: int) -> tuple[int, float, np.ndarray] | None
     return None if not row["n"] else (row["n"], row["loss"], np.array(row["gradient"]))
 
 
+def _relay(state: State, rate: float):
+    """The state after the steps of rows sorted by ``place``, with the steps taken, the rows and their loss."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, loss = state, 0, 0.0
+        held = (np.empty(0, np.int32), np.empty((0, state.layers[0])), np.empty(0, np.int32))
+
+        def take(features: np.ndarray, labels: np.ndarray) -> None:
+            nonlocal now, rows, loss
+            own, total = gradient(now.layers, now.params, features, labels)
+            now = adam(now, total / len(labels), rate)
+            rows, loss = rows + len(labels), loss + own
+
+        for batch in batches:
+            features = batch["features"].flatten().to_numpy().reshape(len(batch), state.layers[0])
+            places, features, labels = (
+                np.concatenate(x) for x in zip(held, (batch["place"].to_numpy(), features, batch["label"].to_numpy()), strict=True)
+            )
+            # The last step may go on in the next batch.
+            ends = np.flatnonzero(np.diff(places)) + 1
+            for begin, end in zip([0, *ends[:-1]], ends, strict=False):
+                take(features[begin:end], labels[begin:end])
+            last = ends[-1] if len(ends) else 0
+            held = (places[last:], features[last:], labels[last:])
+        if len(held[0]):
+            take(*held[1:])
+        vectors = [pa.array([x], pa.list_(pa.float64())) for x in now[1:4]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([now.steps]), pa.array([rows]), pa.array([loss]), *vectors],
+            ["steps", "rows", "loss", "params", "first", "second"],
+        )
+
+    return run
+
+
+def _epoch_in_runs(steps: DataFrame, order: list[int], per_run: int, state: State, rate: float) -> tuple[State, int, float]:
+    """``state`` after all steps in their order, the rows and the sum of their loss; each run is one task's work."""
+    spark = steps.sparkSession
+    places = spark.createDataFrame(list(zip(order, range(len(order)), strict=True)), "step int, place int")
+    run = F.floor(F.col("place") / per_run).cast("int")
+    placed = steps.join(F.broadcast(places), "step").select(run.alias("run"), "place", "features", "label")
+    path = scratch_path(spark, "epoch")
+    placed.repartition("run").write.partitionBy("run").parquet(path)
+    rows, loss = 0, 0.0
+    kinds = "steps long, rows long, loss double, params array<double>, first array<double>, second array<double>"
+    written = placed.drop("run").schema
+    for number in range(-(-len(order) // per_run)):
+        part = spark.read.schema(written).parquet(f"{path}/run={number}").coalesce(1).sortWithinPartitions("place")
+        found = part.mapInArrow(_relay(state, rate), kinds).collect()[0]
+        state = state._replace(steps=found["steps"], **{x: np.array(found[x]) for x in ("params", "first", "second")})
+        rows, loss = rows + found["rows"], loss + found["loss"]
+    discard_path(spark, path)
+    return state, rows, loss
+
+
+def _epoch_in_steps(steps: DataFrame, order: list[int], tasks: int, state: State, rate: float) -> tuple[State, int, float]:
+    """As ``_epoch_in_runs``, but each step is the work of many tasks."""
+    seen, lost = 0, 0.0
+    for step in order:
+        rows = steps.filter(F.col("step") == step).select("features", "label")
+        sums = rows.mapInArrow(_gradients(state.layers, state.params), "n long, loss double, gradient array<double>")
+        found = _summed(sums, tasks)
+        if found is not None:
+            state = adam(state, found[2] / found[0], rate)
+            seen, lost = seen + found[0], lost + found[1]
+    return state, seen, lost
+
+
 def train(
     steps: DataFrame, state: State, epochs: int = NETWORK_EPOCHS, rate: float = NETWORK_RATE, seed: int = SPLIT_SEED
 ) -> tuple[State, DataFrame]:
@@ -159,20 +230,18 @@ def train(
     """
     spark = steps.sparkSession
     share_package(spark)
-    last = steps.agg(F.max("step")).first()[0]
+    sizes = steps.groupBy("step").agg(F.count(F.lit(1)).alias("n")).agg(F.max("step").alias("last"), F.max("n").alias("most"))
+    last, most = sizes.first()
     tasks, log = len(steps.inputFiles()), []
     for epoch in range(state.epochs + 1, state.epochs + epochs + 1):
-        taken = seen = 0
-        lost = 0.0
-        for step in np.random.default_rng([seed, epoch]).permutation(0 if last is None else last + 1).tolist():
-            rows = steps.filter(F.col("step") == step).select("features", "label")
-            sums = rows.mapInArrow(_gradients(state.layers, state.params), "n long, loss double, gradient array<double>")
-            found = _summed(sums, tasks)
-            if found is not None:
-                state = adam(state, found[2] / found[0], rate)
-                taken, seen, lost = taken + 1, seen + found[0], lost + found[1]
+        order = np.random.default_rng([seed, epoch]).permutation(0 if last is None else last + 1).tolist()
+        before, seen, lost = state.steps, 0, 0.0
+        if order and most > STEP_ROWS:
+            state, seen, lost = _epoch_in_steps(steps, order, tasks, state, rate)
+        elif order:
+            state, seen, lost = _epoch_in_runs(steps, order, max(RUN_ROWS // most, 1), state, rate)
         state = state._replace(epochs=epoch)
-        log.append((epoch, taken, seen, lost / seen if seen else None))
+        log.append((epoch, state.steps - before, seen, lost / seen if seen else None))
     return state, spark.createDataFrame(log, "epoch int, steps long, rows long, loss double")
 
 
