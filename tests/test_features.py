@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.ml.feature import IDF, CountVectorizer, StopWordsRemover, Tokenizer
 from pyspark.ml.functions import vector_to_array
@@ -6,6 +8,8 @@ from pyspark.sql import functions as F
 from tonewatch.catalog import fixtures as fx
 from tonewatch.constants import ENGLISH_STOP_WORDS
 from tonewatch.operators import annotate, features
+from tonewatch.operators.lookup import lookup_join
+from tonewatch.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +88,34 @@ def test_counted_tokens_pool_like_single_ones(spark, strategy):
     ]
     assert pooled[0].keys() == pooled[1].keys()
     assert all(pooled[0][k] == pytest.approx(pooled[1][k]) for k in pooled[0])
+
+
+def test_weights_need_no_shuffle_of_counts_by_term(spark, monkeypatch):
+    rows = [(i, ["a", "b", "b", f"w{i}"] if i else ["a", "c"]) for i in range(40)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, filtered_words array<string>"), "docs")
+    vocab = materialize(features.count_vectorizer_vocab(docs, size=2), "vocab")
+    monkeypatch.setattr(features.lookup_join, "__defaults__", ("left", 600, 1_000_000, False))  # all terms are too many to send
+    monkeypatch.setattr(features, "BROADCAST_BYTES", 600)
+    weights = features.tfidf_weights(features.term_frequencies(docs, vocab), features.idf_weights(docs, vocab=vocab))
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    found = {(r["doc_id"], r["term"]): (r["tf"], round(r["tfidf"], 9)) for r in weights.collect()}
+    idf = {"a": math.log(41 / 41), "b": math.log(41 / 40)}
+    expected = {(i, t): (n, round(n * idf[t], 9)) for i in range(40) for t, n in (("a", 1), ("b", 2)) if t == "a" or i}
+    assert found == expected
+    every = {r["term"] for r in features.idf_weights(docs).collect()}
+    assert len(every) == 42
+    monkeypatch.setattr(features, "BROADCAST_BYTES", 0)
+    again = features.term_frequencies(docs, vocab).collect()
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in again} == {k: n for k, (n, _) in expected.items()}
+
+
+def test_a_large_lookup_evaluates_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.sparkContext.parallelize([(i, i % 7 if i % 5 else None) for i in range(100)], 2)
+    counted = spark.createDataFrame(rows.map(lambda r: (seen.add(1), r)[1]), "id long, k long")
+    table = materialize(spark.range(6).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x")), "table")
+    found = lookup_join(counted, table, "k", max_broadcast_bytes=0, rows_per_task=5)
+    expected = {(i, k, k * 10 if k is not None and k < 6 else None) for i in range(100) for k in [i % 7 if i % 5 else None]}
+    assert {(r["id"], r["k"], r["x"]) for r in found.collect()} == expected
+    assert seen.value == 100
