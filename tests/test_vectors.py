@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from tonewatch.operators import annotate, drift, running, vectors
+from tonewatch.operators import annotate, drift, lookup, running, vectors
 
 
 def plain_pairs(docs, window):
@@ -145,3 +145,48 @@ def test_drifted_terms(spark):
     assert drift.drifted_terms(one.limit(0), two.limit(0)).count() == 0
     only = drift.drifted_terms(spark.createDataFrame([(["a"],)], kind), two.limit(0)).first()
     assert (only["term"], only["z"]) == ("a", 0.0)
+
+
+def test_vectors_of_a_large_table_are_pooled_where_the_tokens_are(spark, monkeypatch):
+    draw = random.Random(2)
+    tokens = [(i if i % 9 else None, draw.choice([None, *range(12)]), draw.randrange(1, 5)) for i in range(40) for _ in range(draw.randrange(1, 9))]
+    tokens += [(77, k % 12, 1) for k in range(60)]
+    table = [(k, [float(k), -1.5, k * k / 7]) for k in range(9)] + [(9, None), (3, [0.5, 0.5, 0.5])]
+    rows = spark.createDataFrame(tokens, "doc_id long, bucket long, n long")
+    held = spark.createDataFrame(table, "bucket long, vector array<float>")
+    deal = lookup.in_blocks
+    monkeypatch.setattr(annotate, "in_blocks", lambda *args: deal(*args, rows_per_block=20))
+    found = {}
+    for limit in (1 << 20, 0):
+        given = annotate.token_embeddings(rows, held, "bucket", pooled_by="doc_id", times_col="n", max_broadcast_bytes=limit)
+        counts = given.groupBy("doc_id").agg(F.sum("n"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)))
+        pooled = annotate.sentence_embedding(given, times_col="n")
+        found[limit] = {r[0]: r[1:] for r in counts.collect()}, {r[0]: r[1] for r in pooled.collect()}
+    (counts, means), (many_counts, many_means) = found.values()
+    assert many_counts == counts and many_means.keys() == means.keys()
+    assert all(many_means[k] == pytest.approx(means[k]) for k in means)
+    # What leaves a block is no row per token.
+    assert given.count() < len(tokens) / 2 and "MapInArrow" in given._jdf.queryExecution().executedPlan().toString()
+
+
+def test_products_in_blocks_give_the_same_vectors(spark):
+    draw = random.Random(5)
+    value = {(i, j): draw.random() for i in range(30) for j in range(i + 1) if draw.random() < 0.5}
+    cells = [(f"t{a}", f"t{b}", v) for (i, j), v in value.items() for a, b in {(i, j), (j, i)}]
+    cells = spark.createDataFrame(cells, "term string, context string, pmi double")
+    small, many = (vectors.word_vectors(cells, 4, max_broadcast_bytes=limit) for limit in (1 << 20, 0))
+    assert many[1] == pytest.approx(small[1])
+    one, two = ({r["term"]: r["vector"] for r in found.collect()} for found, _ in (small, many))
+    assert one.keys() == two.keys() and all(two[t] == pytest.approx(one[t], abs=1e-8) for t in one)
+
+
+def test_pairs_of_documents_counted_apart(spark, docs, monkeypatch):
+    monkeypatch.setattr(vectors, "WORDS_AT_ONCE", 40)
+    monkeypatch.setattr(vectors, "DOCUMENTS_AT_ONCE", 2)
+    monkeypatch.setattr(vectors, "PAIRS_PER_TASK", 500)
+    odd = docs.unionByName(spark.createDataFrame([(1, [None, "a", None, "é", "a"]), (2, [None, None])], docs.schema))
+    counted = vectors.cooccurrences(odd)
+    expected = plain_pairs(DOCS, 2) + Counter({("a", "é"): 2, ("é", "a"): 2})
+    assert {(r["term"], r["context"]): r["n"] for r in counted.collect()} == expected
+    # Not one task a share of the corpus, but as many as there are words.
+    assert "REPARTITION_BY_NUM" in counted._jdf.queryExecution().executedPlan().toString()
