@@ -1,6 +1,7 @@
 import pytest
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Observation
+from pyspark.ml import Transformer
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
@@ -165,3 +166,20 @@ def test_data_drift_report_fails_where_batches_differ(spark, sf_dir):
     status = {r["test"]: r["status"] for r in tests.collect()}
     assert status["drift:lang"] == status["drift:text"] == status["dataset_drift"] == "FAIL"
     assert set(status) == {"drift:lang", "drift:text", "drift:prediction", "drift:confidence", "dataset_drift"}
+
+
+def test_stages_that_learn_nothing_run_once_for_all_folds(spark):
+    calls = []
+
+    class Words(Transformer):
+        def _transform(self, rows):
+            calls.append(1)
+            return rows.withColumn("filtered_words", F.split("Text", " "))
+
+    rows = [(i, f"good w{i % 5}" if i % 2 else f"bad w{i % 7}", i % 2, i % 3) for i in range(60)]
+    folds = spark.createDataFrame(rows, "doc_id long, Text string, Label int, fold int")
+    learned = training.learned_stages(True, num_features=64)
+    found = training.k_fold_cross_validate(folds, training.Pipeline(stages=[Words(), *learned]), k=3).orderBy("fold").collect()
+    assert len(calls) == 1 and [(r["fold"], r["scored"], r["accuracy"]) for r in found] == [(i, 20, 1.0) for i in range(3)]
+    again = training.k_fold_cross_validate(Words().transform(folds), training.Pipeline(stages=learned), k=3)
+    assert again.orderBy("fold").collect() == found
