@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import corpus
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tonewatch.llm import fingerprints, key_filter, language_id, suffix_tree
@@ -275,6 +276,38 @@ def test_runs_looked_up_score_like_sent_ones(spark, monkeypatch, sent):
     test_tree_equals_plain_tree(spark, (8, 3), 2)
 
 
+def test_sums_come_back_as_a_row_per_parcel():
+    """However many texts and parts of the table there are, what is looked up leaves in as many rows as it came."""
+    keys = np.arange(1, 2001, dtype=np.uint64) << np.uint64(20)
+    ones, owners = np.ones(2000), np.repeat(np.arange(500, dtype=np.uint32), 4)
+    sofar = np.zeros(500, suffix_tree._SOFAR_KIND)
+    sofar["doc_id"], sofar["n_tokens"] = np.arange(500), 7
+    for blocks in (1, 16):
+        weights = list(suffix_tree._parcels(suffix_tree._WEIGHTS, 0, keys, [ones, -ones], blocks))
+        group = list(suffix_tree._group_parcels(1 << 40, [sofar], [keys], [owners], blocks))
+        sums = list(suffix_tree._looked_up(iter([*weights, *group[1:], group[0]])))
+        assert sum(x.num_rows for x in sums) == blocks + 1
+        rows = pa.Table.from_batches(sums).sort_by([("uid", "ascending"), ("kind", "descending"), ("block", "ascending")])
+        found = pa.Table.from_batches(suffix_tree._added_up(iter(rows.to_batches()))).to_pylist()
+        assert [r["doc_id"] for r in found] == list(range(500))
+        assert all((r["n_known"], r["base_score"], r["score"]) == (4, 4, -4) for r in found)
+
+
+@pytest.mark.parametrize(("tokens", "texts"), [(100, 20_000), (100, 3)])
+def test_many_parts_of_the_table_score_like_one(spark, messy, monkeypatch, tokens, texts):
+    monkeypatch.setattr(suffix_tree, "SENT", 0)
+    rows = [(i, corpus.words(i % 40, 60, 300), None, None) for i in range(120)]
+    docs = corpus.table(spark, rows).unionByName(messy.filter("length(text) < 100 OR text IS NULL"))
+    want = sorted(suffix_tree.score(docs).collect(), key=str)
+    monkeypatch.setattr(suffix_tree, "_TOKENS_PER_TASK", tokens)
+    monkeypatch.setattr(suffix_tree, "_TEXTS_AT_ONCE", texts)
+    monkeypatch.setattr(suffix_tree, "_BYTES_AT_ONCE", 900)
+    found = sorted(suffix_tree.score(docs).collect(), key=str)
+    assert len(found) == len(want) == docs.count()
+    for a, b in zip(found, want, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+
+
 def test_planted_context_of_six_words_becomes_a_state(spark):
     """What follows ``x b c d e f`` depends on ``x``: it takes six words to see it."""
     rows = []

@@ -16,7 +16,8 @@ log of what it leaves to shorter states, and how much likelier its last word is
 than by the state before.  So one table of weights by run scores all texts.
 The most frequent runs, a bounded number, are sent to the tasks; each text's
 other runs are sent in sorted blocks to where their part of the table is held,
-and come back as a sum per text.
+and come back as sums, a row for each group of texts and part of the table,
+which are added up where the group is.
 
 Words, and runs of words, are told apart by their 64-bit hashes.
 """
@@ -51,8 +52,9 @@ END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 SENT = 1_500_000
 #: Weights of rarer runs that a task holds, and tokens whose rarer runs come to it.
 _RARE_PER_TASK, _TOKENS_PER_TASK = 1_000_000, 3_000_000
-#: Rarer runs of texts that a task sends at once.
-_RUNS_AT_ONCE = 150_000
+#: Rarer runs, or weights, that a task sends at once: as many to each block, within bounds.
+_KEYS_PER_PARCEL, _KEYS_AT_ONCE, _MOST_KEYS_AT_ONCE = 2_000, 150_000, 1_000_000
+_TEXTS_AT_ONCE = 20_000
 _BYTES_AT_ONCE = 1 << 20
 _TALLIED = 400_000
 #: Texts of this many bytes are counted by one task after the shuffle, from so many blocks of each sender.
@@ -374,8 +376,15 @@ def _sent(tree: Tree, least: int) -> _Sent:
 #: Rows on their way to where rarer runs are looked up: weights, runs of texts, and what the texts have so far.
 _WEIGHTS, _RUNS, _SOFAR = range(3)
 _PARCEL = "block int, kind int, uid long, one binary, two binary, three binary"
-_SCORED = "uid long, doc_id long, n_tokens long, known long, base double, score double"
+_SUMS = "uid long, kind int, block int, sums binary"
+_SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 _SOFAR_KIND = np.dtype([("doc_id", "<i8"), ("no_id", "?"), ("n_tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+_SUM_KIND = np.dtype([("text", "<u4"), ("known", "<u4"), ("base", "<f8"), ("score", "<f8")])
+
+
+def _at_once(blocks: int) -> int:
+    """Keys that a task sorts and sends at once: more for more blocks, so that rows stay long."""
+    return min(max(_KEYS_AT_ONCE, blocks * _KEYS_PER_PARCEL), _MOST_KEYS_AT_ONCE)
 
 
 def _parcels(kind: int, uid: int, keys: np.ndarray, others: Sequence[np.ndarray], blocks: int) -> Iterator[pa.RecordBatch]:
@@ -396,22 +405,32 @@ def _parcels(kind: int, uid: int, keys: np.ndarray, others: Sequence[np.ndarray]
 
 def _weight_parcels(blocks: int):
     def run(batches: Batches) -> Batches:
+        waiting, size = [], 0
         for batch in batches:
-            yield from _parcels(
-                _WEIGHTS, 0, batch["key"].to_numpy().view(np.uint64), [batch["base"].to_numpy(), batch["score"].to_numpy()], blocks
-            )
+            waiting.append((batch["key"].to_numpy().view(np.uint64), batch["base"].to_numpy(), batch["score"].to_numpy()))
+            size += batch.num_rows
+            if size >= _at_once(blocks):
+                key, *others = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                waiting, size = [], 0
+                yield from _parcels(_WEIGHTS, 0, key, others, blocks)
+        if waiting:
+            key, *others = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            yield from _parcels(_WEIGHTS, 0, key, others, blocks)
 
     return run
 
 
 def _scored_parcels(shared, blocks: int):
-    """What texts have by the frequent runs, and their other runs that the filter lets pass."""
+    """What texts have by the frequent runs, and their other runs that the filter lets pass.
+
+    Texts leave in groups, told apart by the number of their first.
+    """
 
     def run(batches: Batches) -> Batches:
         sent = shared.value
         part = TaskContext.get().partitionId()
         first = uid = part << 40
-        keys, owners, waiting = [], [], 0
+        done, keys, owners, waiting = [], [], [], 0
         for rows, texts in _slices(batches, ["doc_id"]):
             hashes, place, sizes = _symbols(texts)
             number = len(texts)
@@ -433,24 +452,27 @@ def _scored_parcels(shared, blocks: int):
                 keys.append(key[at[~hit]])
                 owners.append((text[at[~hit]] + (uid - first)).astype(np.uint32))
                 waiting += len(keys[-1])
-            nothing = [pa.array([None], pa.binary())] * 2
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([(uid >> 10) % blocks], pa.int32()), pa.array([_SOFAR], pa.int32()), pa.array([uid]), pa.array([sofar.tobytes()]), *nothing],
-                [x.split()[0] for x in _PARCEL.split(", ")],
-            )
+            done.append(sofar)
             uid += number
-            if waiting >= _RUNS_AT_ONCE:
-                yield from _run_parcels(first, keys, owners, blocks)
-                first, keys, owners, waiting = uid, [], [], 0
-        yield from _run_parcels(first, keys, owners, blocks)
+            if waiting >= _at_once(blocks) or uid - first >= _TEXTS_AT_ONCE:
+                yield from _group_parcels(first, done, keys, owners, blocks)
+                first, done, keys, owners, waiting = uid, [], [], [], 0
+        if done:
+            yield from _group_parcels(first, done, keys, owners, blocks)
 
     return run
 
 
-def _run_parcels(first: int, keys: list[np.ndarray], owners: list[np.ndarray], blocks: int) -> Iterator[pa.RecordBatch]:
-    """Runs with their texts, each text's repeats of a run as one."""
-    if not keys:
-        return
+def _group_parcels(
+    first: int, done: list[np.ndarray], keys: list[np.ndarray], owners: list[np.ndarray], blocks: int
+) -> Iterator[pa.RecordBatch]:
+    """What a group of texts has so far, and its runs with their texts, each text's repeats of a run as one."""
+    nothing = [pa.array([None], pa.binary())] * 2
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([(first + (first >> 40)) % blocks], pa.int32()), pa.array([_SOFAR], pa.int32()), pa.array([first]),
+         pa.array([np.concatenate(done).tobytes()]), *nothing],
+        [x.split()[0] for x in _PARCEL.split(", ")],
+    )
     key, owner = np.concatenate(keys), np.concatenate(owners)
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
@@ -462,12 +484,14 @@ def _run_parcels(first: int, keys: list[np.ndarray], owners: list[np.ndarray], b
 
 
 def _looked_up(batches: Batches) -> Batches:
-    """``_SCORED`` rows: what texts have so far, and what each parcel of their runs adds.  Weights come first."""
-    names = [x.split()[0] for x in _SCORED.split(", ")]
+    """``_SUMS``: what each parcel of runs adds to the texts of its group, as one row.  Weights come first."""
+    names = [x.split()[0] for x in _SUMS.split(", ")]
     held: list[tuple] = []
     table = None
     for batch in batches:
-        for at, (kind, uid) in enumerate(zip(batch["kind"].to_pylist(), batch["uid"].to_pylist(), strict=True)):
+        rows = []
+        places = zip(*(batch[c].to_pylist() for c in ("uid", "kind", "block")), strict=True)
+        for at, (uid, kind, block) in enumerate(places):
             def values(column: str, of, batch: pa.RecordBatch = batch, at: int = at) -> np.ndarray:
                 return np.frombuffer(batch[column][at].as_buffer(), of)
 
@@ -475,11 +499,7 @@ def _looked_up(batches: Batches) -> Batches:
                 held.append((values("one", np.uint64).copy(), values("two", np.float64).copy(), values("three", np.float64).copy()))
                 continue
             if kind == _SOFAR:
-                sofar = values("one", _SOFAR_KIND)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(uid, uid + len(sofar))), pa.array(sofar["doc_id"].copy(), mask=sofar["no_id"].copy())]
-                    + [pa.array(sofar[c].copy()) for c in names[2:]], names,
-                )
+                rows.append((uid, kind, block, batch["one"][at].as_py()))
                 continue
             if table is None:
                 empty = (np.empty(0, np.uint64), np.empty(0), np.empty(0))
@@ -491,13 +511,45 @@ def _looked_up(batches: Batches) -> Batches:
             own, times = (values(c, np.uint32)[hit] for c in ("two", "three"))
             if not len(own):
                 continue
-            own, base, score = own.astype(np.int64), table[1][found[hit]], table[2][found[hit]]
+            base, score = table[1][found[hit]], table[2][found[hit]]
             texts, of = np.unique(own, return_inverse=True)
-            sums = [np.bincount(of, w) for w in ((base > 0) * times, base * times, score * times)]
-            nothing = pa.nulls(len(texts), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(texts + uid), nothing, nothing, pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names
-            )
+            sums = np.empty(len(texts), _SUM_KIND)
+            sums["text"], sums["known"] = texts, np.bincount(of, (base > 0) * times)
+            sums["base"], sums["score"] = np.bincount(of, base * times), np.bincount(of, score * times)
+            rows.append((uid, kind, block, sums.tobytes()))
+        if rows:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _added_up(batches: Batches) -> Batches:
+    """``_SCORED``: a row per text, from the sums of its group, which come one after the other."""
+    names = [x.split()[0] for x in _SCORED.split(", ")]
+
+    def scored(parts: list[np.ndarray]) -> pa.RecordBatch:
+        whole = np.concatenate(parts)
+        ids = pa.array(whole["doc_id"].copy(), mask=whole["no_id"].copy())
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(whole[c].copy()) for c in ("n_tokens", "known", "base", "score"))], names)
+
+    group, done, size = None, [], 0
+    for batch in batches:
+        for at, (uid, kind) in enumerate(zip(batch["uid"].to_pylist(), batch["kind"].to_pylist(), strict=True)):
+            values = batch["sums"][at].as_buffer()
+            if kind == _SOFAR:
+                if size >= _TEXTS_AT_ONCE:
+                    yield scored(done)
+                    done, size = [], 0
+                group, whole = uid, np.frombuffer(values, _SOFAR_KIND).copy()
+                done.append(whole)
+                size += len(whole)
+                continue
+            if uid != group:
+                raise ValueError(f"sums of texts from {uid} on without the texts")
+            sums = np.frombuffer(values, _SUM_KIND)
+            for column in ("known", "base", "score"):  # a text comes once in a row of sums
+                whole[column][sums["text"]] += sums[column]
+    if done:
+        yield scored(done)
 
 
 def score(
@@ -522,12 +574,10 @@ def score(
     blocks = max(partitions_for(spark, rare.count(), _RARE_PER_TASK), -(-tree.tokens // _TOKENS_PER_TASK))
     parcels = arrow_map(rare.select("key", "base", "score"), _weight_parcels(blocks), _PARCEL)
     parcels = parcels.unionByName(arrow_map(texts, _scored_parcels(shared, blocks), _PARCEL))
-    found = arrow_map(parcels.repartition(blocks, "block").sortWithinPartitions("kind"), _looked_up, _SCORED)
-    whole = found.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"),
-        F.sum("base").alias("base_score"), F.sum("score").alias("score"),
-    )
-    return whole.select(
+    sums = arrow_map(parcels.repartition(blocks, "block").sortWithinPartitions("kind"), _looked_up, _SUMS)
+    # The texts of a group come before what is added to them, always in the same order.
+    sums = sums.repartition(blocks, "uid").sortWithinPartitions("uid", F.desc("kind"), "block")
+    return arrow_map(sums, _added_up, _SCORED).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
         F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score",
     )
