@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import corpus
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,6 +53,41 @@ def test_remembered_parts_are_bounded(monkeypatch):
     assert held
 
 
+def test_only_parts_that_come_again_are_remembered(monkeypatch):
+    from tonewatch.llm import encoding
+
+    own, asked = Encoder(BYTES), Counter()
+    merge = own.merge
+    own.merge = lambda x: asked.update([x]) or merge(x)
+    once = [f"{a}{b}{c}once" for a in "bdfgk" for b in "aeiou" for c in "lmnr"]
+    text = "front " + " ".join(f"{x}, often" for x in once)
+    assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == plain(BYTES, text)
+    kept = {*own.words, *own.words.older}
+    assert "often" in kept and len(kept) < 10  # words that share a mark are few
+    assert asked[own.before + "often"] == 2
+    own.encode([text])
+    assert {f"{x}," for x in once} <= {*own.words} and once[0] not in own.words
+    monkeypatch.setattr(encoding, "_SEEN", 8)
+    small = Encoder(BYTES)
+    for _ in range(3):  # marks run out and are begun anew
+        assert small.encode([text]) == own.encode([text])
+        assert len(small.room.marks) == 8 and small.room.marked <= 4
+
+
+def test_ids_of_a_part_of_a_batch_are_widened():
+    none = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], ["n", "ids"])
+    assert not list(packing._widen("<u2")(iter([none])))
+    rows = [b"", np.arange(5, dtype="<u2").tobytes(), b"", np.array([65535, 7], "<u2").tobytes()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(rows, pa.binary())], ["n", "ids"])
+    for part in (batch, batch.slice(1), batch.slice(2, 2), batch.slice(0, 1)):
+        (wide,) = packing._widen("<u2")(iter([part]))
+        wide.validate(full=True)
+        want = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in part["ids"].to_pylist()]
+        assert wide["ids"].to_pylist() == want and wide["n"].equals(part["n"])
+        narrow = wide["ids"].to_pylist()
+        assert next(packing._widen("<u4")(iter([wide])))["ids"].to_pylist() == narrow
+
+
 def best_fit(lengths, capacity):
     """One piece at a time into the fullest sequence that holds it."""
     rooms = []

@@ -14,6 +14,7 @@ import os
 import re
 import sys
 from collections.abc import Iterable, Sequence
+from operator import attrgetter
 
 import numpy as np
 
@@ -22,6 +23,8 @@ from .common import hold
 REMEMBERED_BYTES = 160 << 20
 #: What an entry of a table takes besides its key and value.
 _ENTRY_BYTES = 72
+#: Marks of parts met once: a power of two, a byte each.
+_SEEN = 1 << 20
 #: Longer parts are encoded each time they occur.
 LONGEST_REMEMBERED = 48
 BYTES_PER_ID = 4
@@ -34,8 +37,14 @@ _RARE_SPACE = re.compile(r"[\t\x0b-\r\x85\xa0  -     　]")
 #: Characters that Python and the tokenizer split and lower-case alike, and that no normal form changes.
 _LATIN = re.compile(r"[\t-\r -\x84\x86-\x9f\xa1-įıĴ-ňŊ-ž]*")
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: A word, then ASCII marks.  The apostrophe is left out: it may belong to the letters next to it.
-_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+#: ASCII marks after a word.  The apostrophe is left out: it may belong to the letters next to it.
+_MARKS = "".join(filter(re.compile(r"[!-&(-/:-@\[-`{-~]").match, map(chr, range(128))))
+_ID = attrgetter("id")
+
+
+def _has_rare_space(text: str) -> bool:
+    """White space but blanks and line feeds; none of it is printable, which is the faster test."""
+    return not text.replace("\n", " ").isprintable() and _RARE_SPACE.search(text) is not None
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -51,15 +60,25 @@ class Room:
     def __init__(self) -> None:
         self.tables: list[_Recent] = []
         self.taken = 0
-
-    def take(self, key: str, value: bytes) -> None:
-        size = sys.getsizeof(key) + sys.getsizeof(value) + _ENTRY_BYTES
-        if self.taken + size > REMEMBERED_BYTES // 2:
-            for table in self.tables:
-                table.older = dict(table)
-                table.clear()
-            self.taken = 0
-        self.taken += size
+        self.marks, self.marked = bytearray(_SEEN), 0
+
+    def seen_before(self, key: str) -> bool:
+        """Whether the key was asked for lately, or one that shares its mark; most parts of a text never come again."""
+        at = hash(key) & _SEEN - 1
+        if self.marks[at]:
+            return True
+        if self.marked >= _SEEN // 2:
+            self.marks, self.marked = bytearray(_SEEN), 0
+        self.marks[at] = 1
+        self.marked += 1
+        return False
+
+    def turn(self) -> None:
+        """What was new becomes what was before, which is forgotten."""
+        for table in self.tables:
+            table.older = dict(table)
+            table.clear()
+        self.taken = 0
 
 
 class _Recent(dict):
@@ -73,11 +92,20 @@ class _Recent(dict):
         value = self.older.get(key)
         if value is None:
             value = self.find(key)
+            if not self.room.seen_before(key):
+                return value
         if len(key) <= LONGEST_REMEMBERED:
-            self.room.take(key, value)
+            room, size = self.room, sys.getsizeof(key) + sys.getsizeof(value) + _ENTRY_BYTES
+            if room.taken + size > REMEMBERED_BYTES // 2:
+                room.turn()
+            room.taken += size
             self[key] = value
         return value
 
+    def known(self, key: str) -> bytes | None:
+        """The ids if they are remembered; nothing is asked for or kept."""
+        return self.get(key) or self.older.get(key)
+
 
 class Encoder:
     """Encodes texts as bytes of unsigned little-endian 32-bit ids, without adding special tokens."""
@@ -92,13 +120,15 @@ class Encoder:
         longest_first = sorted(map(re.escape, added), key=len, reverse=True)
         self.parting = re.compile(f"({'|'.join(longest_first)})") if added else None
         self.by_blank = self.tokenizer.normalizer is None  # a blank belongs to the word after it
-        self.alphabet = _byte_alphabet()
-        self.before = chr(self.alphabet[ord(" ")]) if self.by_blank else ""
+        alphabet = _byte_alphabet()
+        self.before = chr(alphabet[ord(" ")]) if self.by_blank else ""
+        letters = filter(_LETTERS.match, map(chr, range(256)))
+        self.spelled = {x: x.encode().decode("latin-1").translate(alphabet) for x in letters}
         self.merge = self.tokenizer.model.tokenize
         self.packed = [i.to_bytes(BYTES_PER_ID, "little") for i in range(self.vocabulary)]
         self.room = Room()
         self.words = _Recent(self._word, self.room)
-        self.literal = _Recent(self._whole, self.room)
+        self.literal = _Recent(self._part, self.room)
 
     @property
     def vocabulary(self) -> int:
@@ -107,21 +137,33 @@ class Encoder:
     def _whole(self, part: str) -> bytes:
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _merged(self, letters: str) -> bytes:
+    def _merged(self, letters: str, before: str = "") -> bytes:
         """Ids of a word of letters, which the tokenizer itself would not split further."""
         if not letters.isascii():
-            letters = letters.encode().decode("latin-1").translate(self.alphabet)
-        return b"".join([self.packed[x.id] for x in self.merge(self.before + letters)])
+            letters = "".join(map(self.spelled.__getitem__, letters))
+        return b"".join(map(self.packed.__getitem__, map(_ID, self.merge(before + letters))))
+
+    def _marked(self, word: str, table: _Recent, before: str) -> bytes | None:
+        """Ids of letters that marks may follow; None for other words."""
+        letters = word.rstrip(_MARKS)
+        if not (letters.isalpha() and (letters.isascii() or _LETTERS.fullmatch(letters))):
+            return None
+        if len(letters) == len(word):
+            return self._merged(letters, before)
+        # The word as a whole is remembered; its letters alone would take room that others need.
+        return (table.known(letters) or self._merged(letters, before)) + self.literal[word[len(letters) :]]
 
     def _word(self, word: str) -> bytes:
         """Ids of a word after a blank; a word that begins with a line feed has no blank before it."""
         if word[0] == "\n":
             return self.literal["\n"] + self.literal[word[1:]]
-        if _LETTERS.fullmatch(word):
-            return self._merged(word)
-        if found := _MARKED.fullmatch(word):
-            return self.words[found[1]] + self.literal[found[2]]
-        return self._whole(" " + word if self.by_blank else word)
+        found = self._marked(word, self.words, self.before)
+        return self._whole(" " + word if self.by_blank else word) if found is None else found
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part as it stands, be it after a line feed, in front of a text, or white space."""
+        found = self._marked(part, self.literal, "") if self.by_blank else None
+        return self._whole(part) if found is None else found
 
     def _ids(self, text: str) -> Iterable[bytes]:
         if not self.by_blank:
@@ -129,7 +171,7 @@ class Encoder:
                 return map(self.words.__getitem__, low.split())
             return map(self.literal.__getitem__, _WORDS.findall(text))
         runs = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-        if runs or text[0] in " \n" or text[-1] in " \n" or _RARE_SPACE.search(text):
+        if runs or text[0] in " \n" or text[-1] in " \n" or _has_rare_space(text):
             return map(self.literal.__getitem__, _PARTS.findall(text))
         first, *rest = text.replace("\n", " \n").split(" ")
         return [self.literal[first], *map(self.words.__getitem__, rest)]
