@@ -4,8 +4,8 @@ The tokenizers used here never let a token reach from a visible character over
 the white space after it, so a text may be cut there and the parts encoded on
 their own.  The strings of special tokens part a text as well; they become their
 one id, as in a plain call of the library.  A worker remembers the ids of parts
-it has met lately, ``REMEMBERED_BYTES`` in all of its tables together, so its
-memory is bounded whatever the corpus holds.
+it has met lately more than once, ``REMEMBERED_BYTES`` in all of its tables
+together, so its memory is bounded whatever the corpus holds.
 """
 
 from __future__ import annotations
