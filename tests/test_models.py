@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Observation
 from pyspark.ml import Transformer
@@ -55,6 +56,27 @@ def test_text_drift_is_seen_where_there_is_some(spark):
     assert 0.35 < rows["even"] < 0.65
 
 
+def test_texts_of_two_comparisons_are_hashed_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(drift, "HashingTF", lambda **names: made.append(names) or HashingTF(**names))
+    assert driver.queries()["text_content_drift"](spark, "/root/testdata/sf0.001").count() == 2
+    assert len(made) == 1
+
+
+def test_drift_by_vectors_is_that_by_texts(spark):
+    text = F.when(F.col("id") % 9 > 0, F.concat_ws(" ", F.lit("the"), F.col("id") % 5, F.col("id") % 7 + F.col("id") % 2))
+    rows = materialize(spark.range(300).select(
+        F.col("id").alias("doc_id"), text.alias("text"), (F.col("id") % 2).alias("words")
+    ), "rows")
+    hashed = drift.text_vectors(rows.unionByName(rows))
+    assert hashed.columns == ["doc_id", "words", "text_vector"]
+    assert hashed.count() == 2 * rows.filter("text IS NOT NULL").count()
+    sides = [[df.filter(f"words = {i}") for i in (0, 1)] for df in (rows.unionByName(rows), hashed)]
+    by_text = drift.text_content_drift(*sides[0]).first().asDict()
+    by_vector = drift.text_content_drift(*sides[1], vector_col="text_vector").first().asDict()
+    assert 0.5 < by_text["value"] and by_vector == pytest.approx(by_text)
+
+
 def test_models_of_two_classes_score_after_an_observation(spark):
     seen = Observation("seen")
     spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()

@@ -84,9 +84,10 @@ def roc_auc(spark, d):
 
 @query("text_content_drift")
 def text_content_drift(spark, d):
-    documents = fx.texts(spark, d)
-    even = drift.text_content_drift(*fx.even_batches(documents))
-    shifted = drift.text_content_drift(documents.filter("lang = 'en'"), documents.filter("lang <> 'en'"))
+    documents = drift.text_vectors(fx.texts(spark, d))  # all texts are in both comparisons
+    even = drift.text_content_drift(*fx.even_batches(documents), vector_col="text_vector")
+    english, others = documents.filter("lang = 'en'"), documents.filter("lang <> 'en'")
+    shifted = drift.text_content_drift(english, others, vector_col="text_vector")
     return even.withColumn("batches", F.lit("even")).unionByName(shifted.withColumn("batches", F.lit("shifted")))
 
 

@@ -167,6 +167,20 @@ def psi_numeric(reference: DataFrame, current: DataFrame, column: str, threshold
     return psi_table(reference, current, numeric=[column], threshold=threshold)
 
 
+def text_vectors(
+    docs: DataFrame, text_col: str = "text", vector_col: str = "text_vector", num_features: int = 2**14
+) -> DataFrame:
+    """``docs`` with hashed word counts in place of the text, written once for any number of comparisons.
+
+    Rows without a text are left out, as in every comparison of texts.
+    """
+    others = F.struct(*docs.drop(text_col).columns).alias("_others")  # which may be named like those of the words
+    texts = docs.select(others, F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
+    kept = feature_tokens(texts, "_text")
+    hashed = HashingTF(inputCol="filtered_words", outputCol=vector_col, numFeatures=num_features).transform(kept)
+    return materialize(hashed.select("_others.*", vector_col), "text_vectors")
+
+
 def domain_scores(
     reference: DataFrame,
     current: DataFrame,
@@ -174,18 +188,23 @@ def domain_scores(
     key_col: str,
     num_features: int = 2**14,
     seed: int = 7,
+    vector_col: str | None = None,
 ) -> DataFrame:
-    """Held-out ``(score, label)`` rows of a classifier that tells current from reference texts."""
+    """Held-out ``(score, label)`` rows of a classifier that tells current from reference texts.
+
+    With ``vector_col`` both batches are rows of ``text_vectors``, whose texts are not hashed again.
+    """
+    column = text_col if vector_col is None else vector_col
     both = (
-        reference.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"), F.lit(0.0).alias("label"))
+        reference.select(F.col(key_col).alias("key"), F.col(column).alias("content"), F.lit(0.0).alias("label"))
         .unionByName(
-            current.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"), F.lit(1.0).alias("label"))
+            current.select(F.col(key_col).alias("key"), F.col(column).alias("content"), F.lit(1.0).alias("label"))
         )
-        .filter(F.col("text").isNotNull())
     )
-    kept = feature_tokens(both, "text")
-    hashed = HashingTF(inputCol="filtered_words", outputCol="counts", numFeatures=num_features).transform(kept)
-    vectors = materialize(hashed.select("key", "counts", "label"), "domain_vectors")
+    if vector_col is None:
+        vectors = text_vectors(both, "content", "counts", num_features)
+    else:
+        vectors = both.withColumnRenamed("content", "counts").filter(F.col("counts").isNotNull())
     in_train = unit_hash(seed, F.col("key")) < 0.5
     model = Pipeline(stages=[
         IDF(inputCol="counts", outputCol="features"),
@@ -219,12 +238,15 @@ def text_content_drift(
     key_col: str = "doc_id",
     threshold: float = TEXT_DRIFT_THRESHOLD,
     confidence: float = DRIFT_CONFIDENCE,
+    vector_col: str | None = None,
 ) -> DataFrame:
     """Drift of a text column: the domain classifier's AUC on held-out rows, with DeLong's interval.
 
-    0.5 means that the batches cannot be told apart.
+    0.5 means that the batches cannot be told apart.  Where a text is in several
+    comparisons, ``text_vectors`` spares hashing it for each; ``vector_col`` is its column.
     """
-    return drift_of_scores(domain_scores(reference, current, text_col, key_col), text_col, threshold, confidence)
+    scores = domain_scores(reference, current, text_col, key_col, vector_col=vector_col)
+    return drift_of_scores(scores, text_col, threshold, confidence)
 
 
 def drifted_terms(
