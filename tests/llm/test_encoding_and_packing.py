@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tonewatch.llm import packing, token_files
+from tonewatch.llm.common import arrow_map
 from tonewatch.llm.encoding import Encoder
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -88,6 +89,38 @@ def test_ids_of_a_part_of_a_batch_are_widened():
         assert next(packing._widen("<u4")(iter([wide])))["ids"].to_pylist() == narrow
 
 
+def test_widened_ids_come_back_in_parts():
+    rows = [np.full(n, i, "<u2").tobytes() for i, n in enumerate([1024] * 3000 + [0, 3, 0] + [700] * 2000 + [0])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, pa.binary())], ["n", "ids"])
+    parts = list(packing._widen("<u2")(iter([batch, batch.slice(3000, 3)])))
+    assert max(x.nbytes for x in parts) < 3 << 20  # one batch of 17 MB before
+    whole = pa.Table.from_batches(parts)
+    assert whole["n"].to_pylist() == [*range(len(rows)), 3000, 3001, 3002]
+    assert whole["ids"].to_pylist() == [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in rows + rows[3000:3003]]
+
+
+def test_a_worker_gives_back_memory_after_each_batch(monkeypatch):
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            self.released += 1
+
+    pool = Pool()
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: pool)
+
+    class Table:
+        class sparkSession:  # noqa: N801
+            class sparkContext:  # noqa: N801
+                environment: dict = {}
+
+        def mapInArrow(self, function, schema):  # noqa: N802
+            return function
+
+    seen = [(x, pool.released) for x in arrow_map(Table(), lambda batches: iter([*batches, 7]), "n long")([5, 6])]
+    assert seen == [(5, 0), (6, 1), (7, 2)] and pool.released == 4
+
+
 def best_fit(lengths, capacity):
     """One piece at a time into the fullest sequence that holds it."""
     rooms = []

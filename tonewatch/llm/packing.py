@@ -32,6 +32,8 @@ BUCKETS = 1 << 20
 #: At ``CAPACITY`` ids a piece, 16 MB.
 PIECES_PER_BUCKET = 4000
 _BATCH_BYTES = 1 << 23
+#: Batches of widened ids go back to Spark in parts of about so much.
+_WIDE_BYTES = 1 << 21
 
 PACKED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 PIECES = "doc_id long, piece int, start long, length int, ids binary, bucket int"
@@ -156,7 +158,15 @@ def _widen(kind: str):
             wide = np.frombuffer(values, np.uint8)[places[0] : places[-1]].view(kind).astype("<u4")
             places = ((places - places[0]) * times).astype(np.int32)
             wide = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(places), pa.py_buffer(wide)])
-            yield batch.set_column(at, "ids", wide)
+            batch = batch.set_column(at, "ids", wide)
+            # In parts, since whoever reads a batch holds all of it.
+            ends = np.searchsorted(places, np.arange(_WIDE_BYTES, int(places[-1]) + _WIDE_BYTES, _WIDE_BYTES))
+            ends = [*np.unique(np.minimum(ends, len(ids))).tolist(), len(ids)]
+            first = 0
+            for end in ends:
+                if end > first:
+                    yield batch.slice(first, end - first)
+                    first = end
 
     return run
 
