@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ from ..session import materialize
 from .common import Batches, arrow_map, partitions_for, require
 from .components import components
 from .fingerprints import PERMUTATIONS, SHINGLE_WORDS, signatures
-from .similar_groups import BLOCK, BLOCKS, Packing, blocks_of, groups_of, id_of, key_of, links_in_groups, shingles
+from .similar_groups import BLOCK, BLOCKS, blocks_of, groups_of, id_of, key_of, links_in_groups, shingles
 from .words import mixed
 
 THRESHOLD = 0.8
@@ -33,16 +32,6 @@ _SENT_AT_ONCE = 1_000_000
 _SETS = "doc_id long, text_key binary, set_key binary, set_id long, n int, bands binary"
 
 
-class Texts(Packing):
-    """A set is sent as its compressed text, a third of what its hashes take."""
-
-    def pack(self, text: str, own: np.ndarray) -> bytes:
-        return zstandard.compress(text.encode(), 1)
-
-    def unpack(self, packed: bytes) -> np.ndarray:
-        return shingles(zstandard.decompress(packed).decode(), self.size)
-
-
 def _sets(size: int):
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -125,7 +114,7 @@ def classes_of_texts(
     sent = arrow_map(rows.filter("n > 0").select("set_id", "bands"), _band_blocks(blocks), BLOCK)
     found = groups_of(sent, blocks).join(sets.select("set_id", "n", "least_id"), "set_id")
     found = materialize(found, "sets_with_bands")
-    links = links_in_groups(texts, found, round(100 * threshold), Texts(shingle_words))
+    links = links_in_groups(texts, found, round(100 * threshold), shingle_words)
     named = sets.select("set_key", "set_id", "least_id", "rows").join(components(links), F.col("set_id") == F.col("node"), "left")
     named = materialize(named.select("set_key", "least_id", "rows", F.coalesce("root", "set_id").alias("root")), "similar_roots")
     classes = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("rows").alias("class_rows"))
