@@ -140,6 +140,12 @@ def test_planted_signal_is_found_and_scored_natively(spark):
     assert hits > 0.95
 
 
+def test_network_is_computed_once_a_row(spark):
+    scored = network.predict(table(spark, 10), network.initial(LAYERS), "x").filter("prediction IS NOT NULL").select("prediction")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with") == len(LAYERS) - 1
+
+
 def test_nothing_to_learn_from(spark):
     steps = network.dealt(table(spark).limit(0), "id", "x", "y", shards=2)
     state, log = network.train(steps, network.initial(LAYERS), epochs=1)

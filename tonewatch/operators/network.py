@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..constants import NETWORK_BATCH, NETWORK_EPOCHS, NETWORK_RATE, SPLIT_SEED
 from ..session import discard_path, materialize, scratch_path, share_package
+from .pinning import pinned
 
 HIDDEN = (32,)
 #: Adam's decay rates and what keeps its steps finite.
@@ -268,7 +269,8 @@ def scores(state: State, features: Column) -> Column:
 
 def predict(df: DataFrame, state: State, features: str) -> DataFrame:
     """Add ``probabilities`` and ``prediction``, null where there are no features; ties go to the first class."""
-    raised = df.withColumn("_scores", scores(state, F.col(features).cast("array<double>")))
+    # Pinned: what follows names the scores many times, and each would be the whole network again.
+    raised = pinned(df.withColumn("_scores", scores(state, F.col(features).cast("array<double>"))), "_scores")
     raised = raised.withColumn("_scores", F.transform("_scores", lambda x: F.exp(x - F.array_max("_scores"))))
     total = F.aggregate("_scores", F.lit(0.0), lambda a, b: a + b)
     most = (F.array_position("_scores", F.array_max("_scores")) - 1).cast("int")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..constants import GRID_NETWORK_BATCH, GRID_NETWORK_EPOCHS, GRID_NETWORK_RATE, SPLIT_SEED
 from ..operators import network
 from ..operators.quality import METRICS, evaluate
+from ..session import materialize
 from .fits import side_by_side
 
 TRIALS = "rung int, trial int, rate double, batch int, epochs int, scored long, accuracy double, precision double, recall double, f1 double, kept boolean, state string"
@@ -62,6 +63,7 @@ def network_grid(
         state = network.load_state(spark, states[trial])
         state, _ = network.train(steps[batch], state, until - state.epochs, rate, seed)
         found = network.predict(validate, state, features).select(F.col(label).cast("int").alias("label"), "prediction")
+        found = materialize(found, "trial_scores")
         figures = {**evaluate(found).first().asDict(), "scored": found.filter("prediction IS NOT NULL").count()}
         return network.save_state(spark, state), figures
 
