@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from tonewatch.operators import annotate, drift, lookup, running, vectors
+from tonewatch.operators import annotate, drift, lookup, running, tall, vectors
 
 
 def plain_pairs(docs, window):
@@ -169,6 +169,41 @@ def test_vectors_of_a_large_table_are_pooled_where_the_tokens_are(spark, monkeyp
     assert given.count() < len(tokens) / 2 and "MapInArrow" in given._jdf.queryExecution().executedPlan().toString()
 
 
+def test_vectors_of_a_small_table_are_pooled_in_place(spark):
+    """Against plain sums; no vector leaves for each token, and none is shuffled for one."""
+    draw = random.Random(6)
+    tokens = [(i, draw.choice([None, *"abcdefg"])) for i in range(30) for _ in range(draw.randrange(1, 60))]
+    table = {k: [float(n), n * n / 7] for n, k in enumerate("abcde")}
+    rows = spark.createDataFrame([(*x, 1) for x in tokens], "doc_id long, term string, n int").coalesce(2)
+    held = spark.createDataFrame([*table.items(), ("f", None)], "term string, vector array<double>")
+    given = annotate.token_embeddings(rows, held, pooled_by="doc_id", times_col="n")
+    assert given.count() <= 4 * 30 and "Join" not in given._jdf.queryExecution().executedPlan().toString()
+    pooled = {r["doc_id"]: r["embedding"] for r in annotate.sentence_embedding(given, times_col="n").collect()}
+    for doc in range(30):
+        own = [table.get(t, [0.0, 0.0]) for d, t in tokens if d == doc]
+        assert pooled[doc] == pytest.approx(list(np.mean(own, axis=0)))
+
+
+@pytest.mark.parametrize("limit", [8 * 61 * 25, 1 << 20])
+def test_products_send_columns_as_far_as_they_may(spark, monkeypatch, limit):
+    """The vectors are those of the dense matrix, whatever is sent at once."""
+    monkeypatch.setattr(tall, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(vectors, "OVERSAMPLED", 56)  # all directions there are
+    draw = np.random.default_rng(3)
+    dense = np.triu(draw.random((61, 61)) * (draw.random((61, 61)) < 0.3))
+    dense += dense.T
+    cells = [(f"t{i:02}", f"t{j:02}", float(dense[i, j])) for i, j in zip(*np.nonzero(dense), strict=True)]
+    cells = spark.createDataFrame(cells, "term string, context string, pmi double")
+    found, values = vectors.word_vectors(cells, 5, power_steps=0, max_broadcast_bytes=limit)
+    expected, axes = np.linalg.eigh(dense)
+    best = np.argsort(-np.abs(expected))[:5]
+    assert values == pytest.approx(np.abs(expected[best]))
+    rows = {r["term"]: r["vector"] for r in found.collect()}
+    made = np.array([rows[f"t{i:02}"] for i in range(61)])
+    assert made @ np.diag(np.sign(expected[best])) @ made.T == pytest.approx(axes[:, best] * expected[best] @ axes[:, best].T, abs=1e-8)
+    assert (made.sum(axis=0) >= -1e-9).all()
+
+
 def test_products_in_blocks_give_the_same_vectors(spark):
     draw = random.Random(5)
     value = {(i, j): draw.random() for i in range(30) for j in range(i + 1) if draw.random() < 0.5}
