@@ -153,6 +153,13 @@ def test_grid_search_vectorizes_once_for_all_regularizations(spark, planted, mon
     assert written.count("grid_vectors") == 2 and written.count("grid_scores") == 6 and len(search.points) == 3
 
 
+def test_grid_search_writes_hashed_words_once_for_all_folds(spark, planted, monkeypatch):
+    folds, written = training.tokenized_folds(planted, "doc_id", k=2), []
+    monkeypatch.setattr(training, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    search = training.grid_search(folds, True, k=2, num_features=(20, 30), reg_params=(0.1,))
+    assert written.count("grid_vectors") == 2 and search.scored == [360, 360]
+
+
 def test_grid_search_query_tells_whether_figures_are_in_range(spark, monkeypatch):
     from tonewatch.catalog import model_queries
 
